@@ -9,6 +9,7 @@ salt's share of the tasks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from emberline.llm.common import SPACE, materialize, text_of
 
 #: A row's rank is length * 2**65 + (2**63 - id), or + 0 without an id: the larger rank stays.
 #: As a decimal it is a fixed-width buffer, so that Spark aggregates by hash, not by sort.
-SHIFT, HALF = 2**65, 2**63
+SHIFT, HALF = Decimal(2**65), Decimal(2**63)
 
 
 def normalised(text: str = "text") -> Column:
@@ -30,13 +31,13 @@ def sha256_of(norm: Column) -> Column:
 
 def winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256_of, keep_text: bool = False) -> DataFrame:
     """A row for each distinct normalised text: _digest, keep_id, group_size (and _norm)."""
-    rank = F.char_length(text_of(text)).cast("decimal(12,0)") * F.lit(SHIFT).cast("decimal(20,0)") + F.coalesce(F.lit(HALF).cast("decimal(20,0)") - F.col(doc_id).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    rank = F.char_length(text_of(text)).cast("decimal(12,0)") * F.lit(SHIFT) + F.coalesce(F.lit(HALF) - F.col(doc_id).cast("decimal(20,0)"), F.lit(Decimal(0)))
     rows = docs.select(normalised(text).alias("_norm"), rank.cast("decimal(38,0)").alias("_rank"), (F.spark_partition_id() % salts).alias("_salt"))
     rows = rows.select(digest(F.col("_norm")).alias("_digest"), "*")
     salted = rows.groupBy("_digest", "_norm", "_salt").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_digest", "_norm").agg(F.max("_rank").alias("_rank"), F.sum("_n").alias("group_size"))
-    behind = F.col("_rank") % F.lit(SHIFT).cast("decimal(20,0)")
-    keep_id = F.when(behind > 0, (F.lit(HALF).cast("decimal(20,0)") - behind).cast("long"))
+    behind = F.col("_rank") % F.lit(SHIFT)
+    keep_id = F.when(behind > 0, (F.lit(HALF) - behind).cast("long"))
     return merged.select("_digest", keep_id.alias("keep_id"), "group_size", *["_norm"] * keep_text)
 
 

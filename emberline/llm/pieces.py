@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from emberline.llm.common import map_columns
 
 BLANK = "▁"
 #: Words longer than this are merged one by one; words remembered by a Python worker; slots of its cache of pairs.
-LONG, REMEMBERED, SLOTS = 64, 400_000, 1 << 20
+LONG, REMEMBERED, SLOTS = 64, 1_000_000, 1 << 20
 
 
 class Vocabulary:
@@ -150,25 +149,22 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        counter = count()
-        self.words: dict[str, int] = {}
-        self.next = counter.__next__
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.words = _Numbers()
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether the two pieces stay apart when encoded together. -1 before: the start of a word."""
         out = (before == -1) | (before == self.unknown) | (piece == self.unknown)
         ask = np.flatnonzero(~out)
         pair = before[ask] * (self.unknown + 1) + piece[ask]
-        slot = (pair * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
+        slot = slots(pair)
         found = self.slots[slot]
         hit = (found >> 1) == pair
         for k in np.unique(pair[~hit]).tolist():
             if (ok := self.known_pairs.get(k)) is None:
                 a, b = self.v.pieces[k // (self.unknown + 1)], self.v.pieces[k % (self.unknown + 1)]
                 ok = self.known_pairs[k] = self.v.merge(a + b) == [a, b]
-            s = (np.int64(k) * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) & np.int64(SLOTS - 1)
-            self.slots[s] = (k << 1) | ok
+            self.slots[slots(np.array([k]))] = (k << 1) | ok
         found = self.slots[slot]
         late = np.flatnonzero((found >> 1) != pair)  # pairs that share a slot
         good = (found & 1).astype(bool)
@@ -233,45 +229,52 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Encode words that are not known yet, in the order of their numbers."""
-        plain = [i for i, w in enumerate(new) if len(w) <= LONG and not w.startswith(BLANK * 2) and BLANK not in w[1:] and "\0" not in w and w]
-        each: list[np.ndarray | None] = [None] * len(new)
-        if plain:
-            flat, many = self.lattice([new[i] for i in plain])
-            for i, part in zip(plain, np.split(flat, np.cumsum(many)[:-1]), strict=True):
-                each[i] = part
-        for i, w in enumerate(new):
-            if each[i] is None:
-                each[i] = np.array(self.v.to_ids(self.v.merge(w)), np.int32)
-        self.flat = np.concatenate([self.flat, *each])
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(p) for p in each])))
+        plain = np.array([0 < len(w) <= LONG and w[1:2] != BLANK and "\0" not in w for w in new], bool)
+        begin, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        flat = np.zeros(0, np.int32)
+        if plain.any():
+            flat, size[plain] = self.lattice([w for w, ok in zip(new, plain.tolist(), strict=True) if ok])
+        odd = [self.v.to_ids(self.v.merge(new[i])) for i in np.flatnonzero(~plain).tolist()]
+        size[~plain] = [len(x) for x in odd]
+        ends = np.cumsum(np.concatenate((size[plain], size[~plain])))
+        begin[plain], begin[~plain] = np.split(ends - np.concatenate((size[plain], size[~plain])), [int(plain.sum())])
+        self.begin, self.size = np.concatenate((self.begin, begin + len(self.flat))), np.concatenate((self.size, size))
+        self.flat = np.concatenate([self.flat, flat, *[np.array(x, np.int32) for x in odd]])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
         if len(self.words) > REMEMBERED:
             self.forget()
-        words, new = self.words, []
-        known = len(words)
-
-        class Numbers(dict):
-            def __missing__(self, w: str) -> int:
-                new.append(w)
-                self[w] = n = known + len(new) - 1
-                return n
-
-        numbers = Numbers(words)
         rows = []
         for t in texts:
             units = units_of(t or "")
-            rows.append(np.fromiter(map(numbers.__getitem__, units), np.int64, len(units)))
-        self.words = dict(numbers)
-        if new:
+            rows.append(np.fromiter(map(self.words.__getitem__, units), np.int64, len(units)))
+        if new := self.words.new:
             self.learn(new)
+            self.words.new = []
         w = np.concatenate([np.zeros(0, np.int64), *rows])
-        n = np.diff(self.starts)[w]
-        ids = self.flat[np.repeat(self.starts[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        n = self.size[w]
+        ids = self.flat[np.repeat(self.begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ends = np.concatenate(([0], np.cumsum(n)))
-        bounds = np.cumsum([0, *map(len, rows)])
-        return ids, np.diff(ends[bounds])
+        return ids, np.diff(ends[np.cumsum([0, *map(len, rows)])])
+
+
+class _Numbers(dict):
+    """Numbers words as they come; new: the words that came since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def slots(pair: np.ndarray) -> np.ndarray:
+    """Places of pairs in the cache."""
+    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 def units_of(text: str) -> list[str]:

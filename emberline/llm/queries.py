@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import archives, audio, exact_dedup, mixing, simhash
+from emberline.llm import archives, audio, exact_dedup, language, mixing, pieces, quality, simhash
+from emberline.llm.common import is_held_out
+
+#: The model file of the queries' SentencePiece vocabulary.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def learnable(doc_id: str):
+    """Rows from which the classifiers may learn."""
+    return ~is_held_out(doc_id)
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), learnable, is_held_out())
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -21,10 +35,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id, n_ids, ids_hash, decoded_sha256, round_trip of each row, from real ids and their decoded text."""
+    text = F.coalesce("text", F.lit(""))
+    ids = pieces.encode(docs, path, [F.col("doc_id"), F.sha2(text.cast("binary"), 256).alias("_sha")])
+    facts = [F.col("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("_sha")]
+    back = pieces.decode(ids, path, facts).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
+    return back.select("doc_id", "n_ids", "ids_hash", "decoded_sha256", (F.col("decoded_sha256") == F.col("_sha")).alias("round_trip"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.page_records(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable, is_held_out())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,7 +64,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_mixing, op6_warc, op9_exact_dedup, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op5_sentencepiece, op6_warc, op7_quality, op9_exact_dedup, op10_media)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
 
