@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import archives, audio, exact_dedup, language, mixing, pieces, quality, simhash
+from emberline.llm import archives, audio, chats, exact_dedup, language, licenses, mixing, pieces, quality, simhash
 from emberline.llm.common import is_held_out
 
 #: The model file of the queries' SentencePiece vocabulary.
@@ -35,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids_hash, decoded_sha256, round_trip of each row, from real ids and their decoded text."""
     text = F.coalesce("text", F.lit(""))
@@ -56,6 +60,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable, is_held_out())
 
 
+def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chats.derived_calls(table(spark, sf_dir, "conversations"))
+    return chats.link_calls(calls, results, chats.DERIVED)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -64,12 +73,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op5_sentencepiece, op6_warc, op7_quality, op9_exact_dedup, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_licenses, op5_sentencepiece, op6_warc, op7_quality, op8_chats, op9_exact_dedup, op10_media)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op4_licenses": licenses.oracle(),
     "op6_warc": f"""
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as x from pages),
 g as (select *, min(page_id) over (partition by html) as least from p)
@@ -77,5 +87,6 @@ select page_id, strlen(html)::bigint as payload_bytes, {_BASE32} as payload_dige
        case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to
 from g
 """,
+    "op8_chats": chats.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
