@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,23 +81,26 @@ def rolling_dedup(rows: DataFrame, keys: list[str], seconds: int, order: list[st
     """Rows that come at least `seconds` after the last accepted row of their key.
 
     Rows that follow a quiet time of as long start anew whatever came before, so a key's rows are cut there into
-    independent runs; each run is decided in order on its own.
+    independent runs. A task reads its runs one after the other and holds only the last accepted time.
     """
     rows = lagged(rows, keys, day_of(F.col("t")), order, F.col("t"), "_before")
     starts = F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") >= seconds), F.col("t"))
     rows = last_known(rows, keys, day_of(F.col("t")), order, starts, "_run").drop("_before")
-    schema = rows.schema
-
-    def decide(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(order)
-        keep, last = [], None
-        for t in run["t"].tolist():
-            ok = last is None or t - last >= seconds
-            keep.append(ok)
-            last = t if ok else last
-        return run[keep]
-
-    return rows.groupBy(*keys, "_run").applyInPandas(decide, schema).drop("_run")
+    names = [*keys, "_run"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, *names).sortWithinPartitions(*names, *order)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, 0
+        for rows in batches:
+            keep = []
+            for *now, t in zip(*[rows[k].tolist() for k in names], rows["t"].tolist(), strict=True):
+                ok = now != run or t - last >= seconds
+                run, last = now, t if ok else last
+                keep.append(ok)
+            yield rows[keep]
+
+    return dealt.mapInPandas(decide, dealt.schema).drop("_run")
 
 
 def single_message(title: Column, symbol: Column, price: Column, t: Column, text: Column) -> Column:

@@ -70,7 +70,7 @@ def summary(evaluated: DataFrame, sent: DataFrame) -> DataFrame:
     rows = evaluated.join(counts, ["symbol", "t"], "left")
     cloud = F.when(F.col("cloud_up") == 1, "green").when(F.col("cloud_down") == 1, "red").otherwise("neutral")
     n = F.coalesce("_n", F.lit(0).cast("long"))
-    return rows.select("symbol", "t", F.when(n > 0, "ALERT_SENT").otherwise("NO_SIGNAL").alias("state"), n.alias("alerts"), cloud.alias("cloud"), F.round("mmh", 4).alias("mmh_hist"))
+    return rows.select("symbol", "t", F.when(n > 0, "ALERT_SENT").otherwise("NO_SIGNAL").alias("state"), n.alias("alerts"), cloud.alias("cloud"), (F.round("mmh", 4) + 0.0).alias("mmh_hist"))
 
 
 def run_stats(evaluated: DataFrame, sent: DataFrame, configured: int) -> DataFrame:

@@ -128,8 +128,8 @@ def gated(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def evaluated(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Rows that are evaluated: enough history, a valid candle, and a close that differs from the open."""
-    reasons = with_reason(rows.select("symbol", "t", "open", "high", "low", "close"), 15, p).where("reason is null").select("symbol", "t")
-    return rows.where("close != open and rn >= 5 and rn5 >= 3").join(reasons, ["symbol", "t"], "left_semi")
+    checked = with_reason(rows.where("close != open and rn >= 5 and rn5 >= 3"), 15, p, before=F.col("close_lag1"))
+    return checked.where("reason is null").drop("reason")
 
 
 @dataclass(frozen=True)

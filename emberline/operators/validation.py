@@ -45,10 +45,14 @@ def audit(rows: DataFrame, keys: list[str], arrival: str, required: int, gap: in
     return out.withColumn("ok", (F.col("n") >= required) & (F.col("backward") == 0))
 
 
-def with_reason(bars: DataFrame, minutes: int, p: Params = DEFAULT, reference: Column | None = None) -> DataFrame:
-    """bars with reason: the first check that fails, null if none does. The reference time is the candle's close and the publication lag unless given."""
+def with_reason(bars: DataFrame, minutes: int, p: Params = DEFAULT, reference: Column | None = None, before: Column | None = None) -> DataFrame:
+    """bars with reason: the first check that fails, null if none does.
+
+    The reference time is the candle's close and the publication lag unless given; before is the
+    close of the candle before, found here unless given.
+    """
     width = minutes * 60
-    rows = lagged(bars, ["symbol"], day_of(F.col("t")), ["t"], F.col("close"), "_c")
+    rows = lagged(bars, ["symbol"], day_of(F.col("t")), ["t"], F.col("close"), "_c") if before is None else bars.withColumn("_c", before)
     ref = reference if reference is not None else F.col("t") + width + p.lag
     start = F.floor(ref / width) * width
     o, h, lo, c = (F.col(f) for f in OHLC)

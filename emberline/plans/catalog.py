@@ -484,7 +484,7 @@ def suppression_reasons(d: Data) -> DataFrame:
 
 
 @query(
-    "select e.symbol, e.t, case when alerts > 0 then 'ALERT_SENT' else 'NO_SIGNAL' end as state, coalesce(alerts, 0) as alerts, case when cloud_up = 1 then 'green' when cloud_down = 1 then 'red' else 'neutral' end as cloud, round(mmh, 4) as mmh_hist from evd e left join (select symbol, t, count(*) as alerts from cap3 group by 1, 2) c on c.symbol = e.symbol and c.t = e.t",
+    "select e.symbol, e.t, case when alerts > 0 then 'ALERT_SENT' else 'NO_SIGNAL' end as state, coalesce(alerts, 0) as alerts, case when cloud_up = 1 then 'green' when cloud_down = 1 then 'red' else 'neutral' end as cloud, round(mmh, 4) + 0.0 as mmh_hist from evd e left join (select symbol, t, count(*) as alerts from cap3 group by 1, 2) c on c.symbol = e.symbol and c.t = e.t",
     "evd", "cap3",
 )
 def pair_summary(d: Data) -> DataFrame:

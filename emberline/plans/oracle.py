@@ -234,8 +234,8 @@ view("lat", "select * from (select *, lag(trigger) over (partition by symbol, ke
 view("cap8", f"select * from (select *, row_number() over (partition by symbol, t order by ord) as k from lat) where k <= {P.cap_symbol}", "lat")
 view(
     "cap3",
-    f"""select *, row_number() over (partition by symbol, t order by case when many > {P.cap_pivots} and pivot then 1 else 0 end, ord) as rank from (
-    select *, key like 'pivot\\_%' escape '\\' as pivot, sum((key like 'pivot\\_%' escape '\\')::int) over (partition by symbol, t) as many, row_number() over (partition by symbol, t, key like 'pivot\\_%' escape '\\' order by ord) as j from cap8)
-    where not pivot or many <= {P.cap_pivots} or j <= {P.cap_pivots}""",
+    f"""select *, row_number() over (partition by symbol, t order by case when many > {P.cap_pivots} and is_piv then 1 else 0 end, ord) as rank from (
+    select *, key like 'pivot\\_%' escape '\\' as is_piv, sum((key like 'pivot\\_%' escape '\\')::int) over (partition by symbol, t) as many, row_number() over (partition by symbol, t, key like 'pivot\\_%' escape '\\' order by ord) as j from cap8)
+    where not is_piv or many <= {P.cap_pivots} or j <= {P.cap_pivots}""",
     "cap8",
 )
