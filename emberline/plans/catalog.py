@@ -17,6 +17,7 @@ from emberline.params import DEFAULT as P
 from emberline.plans.oracle import VIEWS, sql
 from emberline.sources import candles
 from emberline.storage import materialize
+from emberline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -563,3 +564,49 @@ def latch_ttl(d: Data) -> DataFrame:
     """The latch with states that expire: exact, run by run."""
     return delivery.latched_with_ttl(d.alerts, P).select("symbol", "t", "key", "text")
 
+
+
+# streams -----------------------------------------------------------------------------------------
+
+_live = "symbol string, t long, open double, high double, low double, close double, n long"
+_stream_bars = f"""select symbol, t, open, high, low, close, n from (select symbol, t // 900 * 900 as t, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as n
+from ev where %s group by 1, 2) where t + 900 <= (select epoch(max(ts)) from ev) - {P.lag}"""
+
+
+@query(_stream_bars % "true", "ev")
+def stream_bars(d: Data) -> DataFrame:
+    rows = live.events(live.stream(d.spark, f"{d.dir}/event[s].parquet"))
+    return live.run(live.live_candles(rows, 15), live.scratch(d.spark), _live)
+
+
+@query(_stream_bars % "t >= 1705276800", "ev")
+def stream_late(d: Data) -> DataFrame:
+    """Events of the first half of the month come after those of the second half, and are dropped."""
+    folder = live.scratch(d.spark)
+    source = d.spark.read.parquet(f"{d.dir}/events.parquet")
+    late = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    source.where(~late).write.mode("append").parquet(f"{folder}/in")
+    live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live)
+    source.where(late).write.mode("append").parquet(f"{folder}/in")
+    return live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live)
+
+
+@query("select distinct user_id, event_type as symbol from events")
+def stream_dedup(d: Data) -> DataFrame:
+    rows = live.events(live.stream(d.spark, f"{d.dir}/event[s].parquet"))
+    return live.run(live.live_dedup(rows, ["user_id", "symbol"]).select("user_id", "symbol"), live.scratch(d.spark), "user_id long, symbol string")
+
+
+@query("select symbol, t, key, title, text from lat", "lat")
+def stream_alerts(d: Data) -> DataFrame:
+    folder = live.scratch(d.spark)
+    d.alerts.write.parquet(f"{folder}/in")
+    return live.run(live.live_latch(live.stream(d.spark, f"{folder}/in")), folder, "symbol string, t long, key string, title string, text string")
+
+
+@query("select symbol, t, key from la where trigger or reset", "la")
+def stream_sink(d: Data) -> DataFrame:
+    """The sink alone: each row once."""
+    folder = live.scratch(d.spark)
+    d.alerts.select("symbol", "t", "key").write.parquet(f"{folder}/in")
+    return live.run(live.stream(d.spark, f"{folder}/in"), folder, "symbol string, t long, key string")
