@@ -17,18 +17,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import map_columns
 
 BLANK = "▁"
-#: Words longer than this are merged one by one; words remembered by a Python worker; slots of its cache of pairs.
-LONG, REMEMBERED, SLOTS = 64, 1_000_000, 1 << 20
+#: Words longer than this are merged one by one; words and pairs remembered by a Python worker; slots of its cache of pairs.
+LONG, REMEMBERED, PAIRS, SLOTS = 64, 250_000, 400_000, 1 << 20
+#: Characters of text that a task encodes, and ids that it decodes, at once.
+AT_ONCE = 1 << 21
 
 
 class Vocabulary:
@@ -156,7 +159,7 @@ class Encoder:
         """Whether the two pieces stay apart when encoded together. -1 before: the start of a word."""
         out = (before == -1) | (before == self.unknown) | (piece == self.unknown)
         ask = np.flatnonzero(~out)
-        pair = before[ask] * (self.unknown + 1) + piece[ask]
+        pair = before[ask].astype(np.int64) * (self.unknown + 1) + piece[ask]
         slot = slots(pair)
         found = self.slots[slot]
         hit = (found >> 1) == pair
@@ -178,24 +181,25 @@ class Encoder:
         data = b"\0".join(raw) + b"\0"
         x = np.frombuffer(data, np.uint8)
         at = np.flatnonzero((x & 0xC0) != 0x80)  # starts of characters and the ends of words
-        step = np.zeros(len(at), np.int64)
         ends = np.flatnonzero(x[at] == 0)
         if len(ends) != len(words):
             raise ValueError("a word holds a zero byte")
         length = np.diff(np.concatenate(([-1], ends)))  # characters and the end
-        step = np.arange(len(at)) - np.repeat(ends + 1 - length, length)
+        step = (np.arange(len(at)) - np.repeat(ends + 1 - length, length)).astype(np.uint16)
         ids, _, _, _, chars, _ = self.v.shapes
         src, which = occurrences(data, at, self.v)
-        piece, width = ids[which], chars[which]
+        src, piece, width = src.astype(np.int32), ids[which].astype(np.int32), chars[which].astype(np.uint16)
+        del which
         covered = np.zeros(len(at), bool)
         covered[src[width == 1]] = True
         covered[ends] = True
         lone = np.flatnonzero(~covered)
-        src, piece, width = np.concatenate((src, lone)), np.concatenate((piece, np.full(len(lone), self.unknown))), np.concatenate((width, np.ones(len(lone), np.int64)))
-        by_end = np.argsort((step[src] + width).astype(np.uint16), kind="stable")
+        src, piece, width = np.concatenate((src, lone.astype(np.int32))), np.concatenate((piece, np.full(len(lone), self.unknown, np.int32))), np.concatenate((width, np.ones(len(lone), np.uint16)))
+        by_end = np.argsort(step[src] + width, kind="stable")
         src, piece, width = src[by_end], piece[by_end], width[by_end]
+        del by_end
         cuts = np.searchsorted(step[src] + width, np.arange(1, int(length.max(initial=1)) + 1))
-        last, back = np.full(len(at), -2, np.int64), np.zeros(len(at), np.int64)
+        last, back = np.full(len(at), -2, np.int32), np.zeros(len(at), np.int32)
         last[ends + 1 - length] = -1
         for i, j in zip(cuts, cuts[1:], strict=False):
             s, p = src[i:j], piece[i:j]
@@ -245,6 +249,9 @@ class Encoder:
         """Ids of all texts in a row, and the number of ids of each."""
         if len(self.words) > REMEMBERED:
             self.forget()
+        if len(self.known_pairs) > PAIRS:
+            self.known_pairs.clear()
+            self.slots.fill(-1)
         rows = []
         for t in texts:
             units = units_of(t or "")
@@ -293,31 +300,51 @@ def units_of(text: str) -> list[str]:
     return units + [blanks] * bool(blanks)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    """This process's vocabulary of the model file."""
+    return Vocabulary.load(path)
 
 
+@cache
 def encoder(path: str) -> Encoder:
     """This process's encoder of the model file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Vocabulary.load(path))
-    return _ENCODERS[path]
+    return Encoder(vocabulary(path))
 
 
-def encode(docs: DataFrame, path: str, carry: list[Column], text: str = "text", rows_at_once: int = 2000) -> DataFrame:
-    """The carried columns and ids (array<int>). path: the model file, at the same place on every executor. A null text has no ids."""
+def runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows that hold AT_ONCE in all, or a single row."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= AT_ONCE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def encode(docs: DataFrame, path: str, carry: list[Column], text: str = "text", with_decoded: bool = False) -> DataFrame:
+    """The carried columns and ids (array<int>); with_decoded also the text that these ids decode to, from the same Python worker.
+
+    path: the model file, at the same place on every executor. A null text has no ids and decodes to the empty text.
+    """
     kept = docs.select(*carry).schema
     names = [f.name for f in kept]
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for i in range(0, batch.num_rows, rows_at_once):
-            some = batch.slice(i, rows_at_once)
-            ids, n = e.encode(some.column(0).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*some.columns[1:], lists], names=[*names, "ids"])
+        for batch in batches:
+            for a, b in runs(pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)):
+                some = batch.slice(a, b - a)
+                ids, n = e.encode(some.column(0).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
+                more = [pa.array(decoded(ids, n, e.v), pa.string())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], lists, *more], names=[*names, "ids", *["decoded"] * with_decoded])
+        e.forget()  # the worker may wait long for its next task
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_columns(docs, [F.col(text), *carry], f"{schema}, ids array<int>", step)
+    return docs.select(F.col(text), *carry).mapInArrow(run, f"{schema}, ids array<int>" + ", decoded string" * with_decoded)
 
 
 def decoded(ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> list[str]:
@@ -333,15 +360,15 @@ def decoded(ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> list[str]:
     return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
-def decode(encoded: DataFrame, path: str, carry: list[Column], ids: str = "ids", rows_at_once: int = 2000) -> DataFrame:
+def decode(encoded: DataFrame, path: str, carry: list[Column], ids: str = "ids") -> DataFrame:
     """The carried columns and decoded (string)."""
     kept = encoded.select(*carry).schema
     names = [f.name for f in kept]
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v = encoder(path).v
-        for i in range(0, batch.num_rows, rows_at_once):
-            some = batch.slice(i, rows_at_once)
+        v = vocabulary(path)
+        for a, b in runs(np.diff(batch.column(0).offsets.to_numpy())):
+            some = batch.slice(a, b - a)
             lists = some.column(0)
             flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(decoded(flat, n, v), pa.string())], names=[*names, "decoded"])
@@ -356,6 +383,5 @@ def encode_and_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
     A null or empty text has no ids and decodes to the empty text. Rows may repeat;
     other columns are neither read nor returned. An empty table gives no rows.
     """
-    ids = encode(docs, path, [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")], text)
-    back = decode(ids, path, [F.col("doc_id"), F.col("_text"), F.col("ids").alias("_ids")])
-    return back.select("doc_id", F.col("_ids").alias("ids"), "decoded", (F.col("decoded") == F.col("_text")).alias("round_trip"))
+    rows = encode(docs, path, [F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_sha")], text, with_decoded=True)
+    return rows.select("doc_id", "ids", "decoded", (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("_sha")).alias("round_trip"))

@@ -41,11 +41,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids_hash, decoded_sha256, round_trip of each row, from real ids and their decoded text."""
-    text = F.coalesce("text", F.lit(""))
-    ids = pieces.encode(docs, path, [F.col("doc_id"), F.sha2(text.cast("binary"), 256).alias("_sha")])
-    facts = [F.col("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("_sha")]
-    back = pieces.decode(ids, path, facts).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
-    return back.select("doc_id", "n_ids", "ids_hash", "decoded_sha256", (F.col("decoded_sha256") == F.col("_sha")).alias("round_trip"))
+    rows = pieces.encode_and_decode(docs, path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "round_trip")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
