@@ -42,7 +42,7 @@ def rows_of(frame, columns: list[str]) -> list[tuple]:
     """Rows as comparable tuples: numbers as floats, missing values as None, in a fixed order."""
 
     def plain(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) == "<NA>" or x != x:
             return None
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return bool(x)
