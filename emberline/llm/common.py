@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.storage import ensure_checkpoint_dir, materialize, small
+
 #: The white space of the word definitions: blank and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word by white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a lookup table of short rows may be broadcast (some MB).
-BROADCAST_ROWS = 50_000
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a temporary one only in local mode without that setting."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder once and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "is_held_out", "map_columns", "materialize", "parts", "small", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:

@@ -21,8 +21,8 @@ from emberline.llm.common import SPACE, materialize, text_of
 SHIFT, HALF = Decimal(2**65), Decimal(2**63)
 
 
-def normalised(text: str = "text") -> Column:
-    return F.regexp_replace(text_of(text), f"{SPACE}+", "")
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", "")
 
 
 def sha256_of(norm: Column) -> Column:
@@ -32,7 +32,7 @@ def sha256_of(norm: Column) -> Column:
 def winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256_of, keep_text: bool = False) -> DataFrame:
     """A row for each distinct normalised text: _digest, keep_id, group_size (and _norm)."""
     rank = F.char_length(text_of(text)).cast("decimal(12,0)") * F.lit(SHIFT) + F.coalesce(F.lit(HALF) - F.col(doc_id).cast("decimal(20,0)"), F.lit(Decimal(0)))
-    rows = docs.select(normalised(text).alias("_norm"), rank.cast("decimal(38,0)").alias("_rank"), (F.spark_partition_id() % salts).alias("_salt"))
+    rows = docs.select(normalised(F.col(text)).alias("_norm"), rank.cast("decimal(38,0)").alias("_rank"), (F.spark_partition_id() % salts).alias("_salt"))
     rows = rows.select(digest(F.col("_norm")).alias("_digest"), "*")
     salted = rows.groupBy("_digest", "_norm", "_salt").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_digest", "_norm").agg(F.max("_rank").alias("_rank"), F.sum("_n").alias("group_size"))
@@ -54,7 +54,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     """
     won = materialize(winners(docs, doc_id, text, salts, digest))
     shared = won.groupBy("_digest").count().where("count > 1").select("_digest")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("_norm"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_norm"))
     rows = rows.select("doc_id", digest(F.col("_norm")).alias("_digest"), sha256_of(F.col("_norm")).alias("text_sha256"), "_norm")
     if shared.isEmpty():
         out = rows.drop("_norm").join(won, "_digest", "left")
@@ -67,9 +67,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
-    keep = materialize(winners(docs, doc_id, text, salts).select(F.col("keep_id").alias("_keep_id")))
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The rows of docs that exact_groups keeps, with all their columns. Of a group without any id all rows stay."""
+    keep = materialize(winners(docs, doc_id, text, salts).select("_digest", "keep_id"))
+    same = (sha256_of(normalised(docs[text])) == keep["_digest"]) & docs[doc_id].eqNullSafe(keep["keep_id"])
+    return docs.join(keep, same, "left_semi")
 
 
 ORACLE = r"""

@@ -92,7 +92,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     rare = sorted({r[0] for r in rows})
 
     body = text_of(text)
-    hint = "(?i)" + "|".join([BETWEEN.join(p.split()) for p in phrases] + [rf"\b(?:{'|'.join(rare)})\b"] * bool(rare))
+    hint = "(?i)" + "|".join([BETWEEN.join(p.split()) for p in phrases] + [f"(?<!{WORD[:-1]})(?:{'|'.join(rare)})(?!{WORD[:-1]})"] * bool(rare))
     # words only where a phrase or a rare word may stand; elsewhere their number alone is needed
     base = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"), F.when(body.rlike(hint), words_of(body)).alias("_words"))
     base = base.withColumn("_at", F.when(F.size("_words") > 0, F.array(*[places(F.col("_words"), p.split()) for p in phrases])))

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as mixed: a document that is taken n times has n rows, one that is not taken has none."""
-    taken = mix(docs, doc_id, text, source).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    taken = mix(docs, doc_id, text, source).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_n"))
     rows = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")))
     return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc
     if not have:
         return None
     chance = F.when(F.col("_y") == 1, per_label / have.get(1, 1)).otherwise(per_label / have.get(0, 1))
-    picked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < chance * 1_000_000)
+    picked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < chance * 1_000_000).limit(4 * per_label)  # proves the bound of the broadcast
     short = docs.where(F.octet_length(text) <= most_bytes).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     got = short.join(F.broadcast(picked), "_id").select("_id", "_y", "_text").limit(4 * per_label).collect()  # a bounded sample
     got = sorted({(r["_id"], r["_text"], r["_y"]) for r in got})

@@ -122,7 +122,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """The document of the smallest id of each group, with all its columns. A group without ids keeps all its rows."""
+    """The document of the smallest id of each group, with all its columns. Rows without an id stay."""
     groups = near_groups(docs, doc_id, text, radius, width)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id"))
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep_id")), "left_semi")
+    keep = groups.where("doc_id = component_id").select("doc_id")
+    return docs.join(keep, docs[doc_id] == keep["doc_id"], "left_semi").union(docs.where(docs[doc_id].isNull()))
