@@ -58,7 +58,9 @@ class Data:
 
     @cached_property
     def features(self) -> DataFrame:
-        return signals.features(self.b15, self.b5, self.daily)
+        """From 5-minute candles, made once; longer ones are rolled up from them."""
+        five = materialize(self.bars(5))
+        return signals.features(numbered(candles.rollup(five, 15)), numbered(five), candles.rollup(five, 1440))
 
     @cached_property
     def alerts(self) -> DataFrame:

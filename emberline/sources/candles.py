@@ -42,6 +42,14 @@ def candles(rows: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+def rollup(bars: DataFrame, minutes: int) -> DataFrame:
+    """Longer candles of shorter ones."""
+    width = minutes * 60
+    return bars.groupBy("symbol", (F.floor(F.col("t") / width) * width).alias("_t")).agg(
+        F.min_by("open", "t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "t").alias("close"), F.sum("volume").alias("volume")
+    ).withColumnRenamed("_t", "t")
+
+
 def value_candles(rows: DataFrame, minutes: int) -> DataFrame:
     """Candles of the raw values, which jump wildly: input for checks."""
     width, place = minutes * 60, F.struct("ts", "event_id")
