@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +150,12 @@ def number(x: Column) -> Column:
 
 
 def alerts(p: Params = DEFAULT) -> list[Alert]:
-    """All alerts in the order in which caps count them."""
+    """All alerts in the order in which caps count them, made once for each Spark application."""
+    return _alerts(p, SparkContext.getOrCreate().applicationId)
+
+
+@cache
+def _alerts(p: Params, application: str) -> list[Alert]:
     ppo, ppo1, sig, sig1, rsi, rsi1 = (F.col(c) for c in ("ppo", "ppo_lag1", "sig", "sig_lag1", "srsi", "srsi_lag1"))
     c, c1, v, v1, m, m1 = (F.col(x) for x in ("close", "close_lag1", "vwap", "vwap_lag1", "mmh", "mmh_lag1"))
     buy, sell, on = F.col("buy"), F.col("sell"), F.lit(True)
@@ -203,12 +210,21 @@ def alerts(p: Params = DEFAULT) -> list[Alert]:
     return out
 
 
-def long_alerts(rows: DataFrame, p: Params = DEFAULT, keys: list[str] | None = None) -> DataFrame:
-    """A row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, close, ord, key, title, text, trigger, reset, daily."""
+def long_alerts(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A narrow row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, ord, key, trigger, reset, daily."""
     yes = lambda x: F.coalesce(x, F.lit(False))
     each = [
-        F.struct(F.lit(i).alias("ord"), F.lit(a.key).alias("key"), F.lit(a.title).alias("title"), yes(a.enabled & a.trigger).alias("trigger"), yes(a.enabled & a.reset).alias("reset"), F.when(yes(a.enabled & a.trigger), a.text).alias("text"), F.lit(a.daily).alias("daily"))
+        F.struct(F.lit(i).alias("ord"), F.lit(a.key).alias("key"), yes(a.enabled & a.trigger).alias("trigger"), yes(a.enabled & a.reset).alias("reset"), F.lit(a.daily).alias("daily"))
         for i, a in enumerate(alerts(p))
-        if keys is None or a.key in keys
     ]
-    return rows.select("symbol", "t", "eval_day", "close", F.inline(F.array(*each))).where("trigger or reset")
+    return rows.select("symbol", "t", "eval_day", F.inline(F.array(*each))).where("trigger or reset")
+
+
+def with_text(fired: DataFrame, rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Alerts (symbol, t, ord) with close, title and text from their evaluated candles."""
+    each = alerts(p)
+    text = F.lit(None).cast("string")
+    for i, a in enumerate(each):
+        text = F.when(F.col("ord") == i, a.text).otherwise(text)
+    title = F.element_at(F.array(*[F.lit(a.title) for a in each]), F.col("ord") + 1)
+    return fired.join(rows, ["symbol", "t"]).select(*[fired[c] for c in fired.columns if c not in ("symbol", "t")], "symbol", "t", "close", title.alias("title"), text.alias("text"))

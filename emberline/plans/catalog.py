@@ -62,9 +62,13 @@ class Data:
         five = materialize(self.bars(5))
         return signals.features(numbered(candles.rollup(five, 15)), numbered(five), candles.rollup(five, 1440))
 
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return materialize(signals.evaluated(self.features))
+
     @cached_property
     def alerts(self) -> DataFrame:
-        return materialize(signals.long_alerts(signals.evaluated(self.features)))
+        return signals.long_alerts(self.evaluated)
 
     @cached_property
     def fired(self) -> DataFrame:
@@ -74,6 +78,9 @@ class Data:
     def capped(self) -> DataFrame:
         return delivery.cap_pivots(delivery.cap_symbol(self.fired))
 
+    def told(self, alerts: DataFrame) -> DataFrame:
+        return signals.with_text(alerts.drop("eval_day", "trigger", "reset", "daily"), self.evaluated)
+
 
 def query(statement: str | None = None, *needs: str) -> Callable:
     """Registers a function of Data under its name, with its SQL."""
@@ -386,7 +393,7 @@ def mmh_reversal(d: Data) -> DataFrame:
 
 @query("select symbol, t, eval_day, rn from evd", "evd")
 def evaluated_bars(d: Data) -> DataFrame:
-    return signals.evaluated(d.features).select("symbol", "t", "eval_day", "rn")
+    return d.evaluated.select("symbol", "t", "eval_day", "rn")
 
 
 # alerts ------------------------------------------------------------------------------------------
@@ -394,12 +401,12 @@ def evaluated_bars(d: Data) -> DataFrame:
 
 @query("select symbol, t, key, text from la where trigger and key not like 'pivot%'", "la")
 def alerts_raw_base(d: Data) -> DataFrame:
-    return d.alerts.where(F.col("trigger") & ~F.col("key").startswith("pivot")).select("symbol", "t", "key", "text")
+    return d.told(d.alerts.where(F.col("trigger") & ~F.col("key").startswith("pivot"))).select("symbol", "t", "key", "text")
 
 
 @query("select symbol, t, key, text from la where trigger and key like 'pivot%'", "la")
 def alerts_raw_pivot(d: Data) -> DataFrame:
-    return d.alerts.where(F.col("trigger") & F.col("key").startswith("pivot")).select("symbol", "t", "key", "text")
+    return d.told(d.alerts.where(F.col("trigger") & F.col("key").startswith("pivot"))).select("symbol", "t", "key", "text")
 
 
 @query(
@@ -418,7 +425,7 @@ def vwap_cross_diag(d: Data) -> DataFrame:
 
 @query("select symbol, t, key, title, text from lat", "lat")
 def alerts_latched(d: Data) -> DataFrame:
-    return d.fired.select("symbol", "t", "key", "title", "text")
+    return d.told(d.fired).select("symbol", "t", "key", "title", "text")
 
 
 @query("select symbol, 'ALERT:' || upper(key) as state_key, case when arg_max(trigger, t) then 'ACTIVE' else 'INACTIVE' end as state, max(t) as t from la where trigger or reset group by symbol, key", "la")
@@ -483,7 +490,7 @@ def cooldown(d: Data) -> DataFrame:
 
 @query("select symbol, t, coalesce(nullif(concat_ws(', ', case when not buy then 'buy_common' end, case when not sell then 'sell_common' end, case when not close > open then 'is_green' end, case when not close < open then 'is_red' end, " + reports.SQL + "), ''), 'No conditions met') as suppression from evd", "evd")
 def suppression_reasons(d: Data) -> DataFrame:
-    return signals.evaluated(d.features).select("symbol", "t", reports.suppression().alias("suppression"))
+    return d.evaluated.select("symbol", "t", reports.suppression().alias("suppression"))
 
 
 @query(
@@ -491,7 +498,7 @@ def suppression_reasons(d: Data) -> DataFrame:
     "evd", "cap3",
 )
 def pair_summary(d: Data) -> DataFrame:
-    return reports.summary(signals.evaluated(d.features), d.capped)
+    return reports.summary(d.evaluated, d.capped)
 
 
 @query(
@@ -500,7 +507,7 @@ def pair_summary(d: Data) -> DataFrame:
     "evd", "cap3",
 )
 def run_stats(d: Data) -> DataFrame:
-    return reports.run_stats(signals.evaluated(d.features), d.capped, len(SYMBOLS))
+    return reports.run_stats(d.evaluated, d.capped, len(SYMBOLS))
 
 
 _esc = lambda x: f"regexp_replace({x}, '[_*\\[\\]()~`>#+-=|{{}}.!]', '\\\\\\0', 'g')"
@@ -513,7 +520,7 @@ _ist = lambda t: f"strftime(make_timestamp(({t} + 19800) * 1000000), '%d-%m-%Y %
     "lat",
 )
 def msg_single(d: Data) -> DataFrame:
-    return d.fired.select("symbol", "t", "key", delivery.single_message(F.col("title"), F.col("symbol"), F.col("close"), F.col("t"), F.col("text")).alias("message"))
+    return d.told(d.fired).select("symbol", "t", "key", delivery.single_message(F.col("title"), F.col("symbol"), F.col("close"), F.col("t"), F.col("text")).alias("message"))
 
 
 _batched = f"""select symbol, t, count(*) as alerts, {_esc(f'''split_part(arg_min(title, rank), ' ', 1) || ' **' || symbol || '** • $' || any_value({_price}) || '  ' || {_ist('t')} || chr(10) || string_agg(case when rank = last then '└➤' else '├➤' end || ' ' || title || ' | ' || text, chr(10) order by rank)''')} as message
@@ -522,7 +529,7 @@ from (select *, max(rank) over (partition by symbol, t) as last from cap3 where
 
 @query(_batched, "cap3")
 def msg_batched(d: Data) -> DataFrame:
-    return delivery.batched_messages(d.capped)
+    return delivery.batched_messages(d.told(d.capped))
 
 
 @query(f"select doc_id, {_esc('text')} as escaped from documents")
@@ -533,7 +540,7 @@ def md_escape(d: Data) -> DataFrame:
 @query()
 def msg_pack(d: Data) -> DataFrame:
     """The day's messages of each symbol, packed."""
-    rows = delivery.batched_messages(d.capped).withColumn("day", day_of(F.col("t")))
+    rows = delivery.batched_messages(d.told(d.capped)).withColumn("day", day_of(F.col("t")))
     return delivery.packed(rows, ["symbol", "day"], "t")
 
 
@@ -558,13 +565,13 @@ def ist_time(d: Data) -> DataFrame:
 @query(f"select symbol, t, alerts, message from ({_batched})", "cap3")
 def alert_feed(d: Data) -> DataFrame:
     """What the sink gets: a row for each message, keyed by symbol and candle; written as a table and read back."""
-    return materialize(delivery.batched_messages(d.capped))
+    return materialize(delivery.batched_messages(d.told(d.capped)))
 
 
 @query()
 def latch_ttl(d: Data) -> DataFrame:
     """The latch with states that expire: exact, run by run."""
-    return delivery.latched_with_ttl(d.alerts, P).select("symbol", "t", "key", "text")
+    return d.told(delivery.latched_with_ttl(d.alerts, P)).select("symbol", "t", "key", "text")
 
 
 
@@ -603,7 +610,8 @@ def stream_dedup(d: Data) -> DataFrame:
 def stream_alerts(d: Data) -> DataFrame:
     folder = live.scratch(d.spark)
     d.alerts.write.parquet(f"{folder}/in")
-    return live.run(live.live_latch(live.stream(d.spark, f"{folder}/in")), folder, "symbol string, t long, key string, title string, text string")
+    fired = live.run(live.live_latch(live.stream(d.spark, f"{folder}/in")), folder, "symbol string, t long, ord int, key string")
+    return d.told(fired).select("symbol", "t", "key", "title", "text")
 
 
 @query("select symbol, t, key from la where trigger or reset", "la")

@@ -59,7 +59,7 @@ class Latch(StatefulProcessor):
             day = r["eval_day"]
             if r["trigger"] and not on:
                 since = r["t"]
-                yield Row(symbol=r["symbol"], t=r["t"], key=r["key"], title=r["title"], text=r["text"])
+                yield Row(symbol=r["symbol"], t=r["t"], ord=r["ord"], key=r["key"])
             on = r["trigger"]
         self.state.update((on, day, since))
 
@@ -74,7 +74,7 @@ def live_latch(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     gives the same alerts. Needs the RocksDB state store.
     """
     return rows.groupBy("symbol", "key").transformWithState(
-        statefulProcessor=Latch(p.state_ttl), outputStructType="symbol string, t long, key string, title string, text string", outputMode="Append", timeMode="None"
+        statefulProcessor=Latch(p.state_ttl), outputStructType="symbol string, t long, ord int, key string", outputMode="Append", timeMode="None"
     )
 
 
