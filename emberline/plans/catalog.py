@@ -442,9 +442,7 @@ def alert_state_read(d: Data) -> DataFrame:
     """States stored as JSON, broken for one symbol, and read for every configured symbol and key."""
     latest = delivery.latest_state(d.alerts)
     stored = latest.select("symbol", "state_key", F.when(F.col("symbol") == "error", "{broken").otherwise(F.to_json(F.struct("state", F.col("t").alias("ts")))).alias("value"))
-    symbols = d.spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
-    keys = stored.select("state_key").distinct()
-    wanted = keys.select(F.explode(F.array(*[F.lit(s) for s in SYMBOLS])).alias("symbol"), "state_key").join(symbols, "symbol", "left_semi")
+    wanted = stored.select("state_key").distinct().select(F.explode(F.array(*[F.lit(s) for s in SYMBOLS])).alias("symbol"), "state_key")
     return delivery.read_state(wanted, stored)
 
 
