@@ -2,7 +2,7 @@
 
 The distinct words of a batch are joined to one text and its suffixes are sorted. Each
 piece of the vocabulary finds its occurrences as one range of the suffix array by binary
-search. The occurrences are edges of a lattice, sorted by the place where they end, and are
+search, a piece of over 16 bytes as the true places of such a range. The occurrences are edges of a lattice, sorted by the place where they end, and are
 relaxed in that order over all words at once: a place is reached by the one edge whose
 piece may follow the piece before it.
 
@@ -133,12 +133,14 @@ def occurrences(data: bytes, at: np.ndarray, vocabulary: Vocabulary) -> tuple[np
 
     if len(more):
         start[more], end[more] = search(low[more], False), search(upper, True)
-    for p in np.flatnonzero((size > 16) & (start < end)).tolist():  # few pieces are so long: compare the rest
-        ok = [q for q in range(start[p], end[p]) if data[at[order[q]] : at[order[q]] + size[p]] == raw[p]]
-        start[p], end[p] = (min(ok), max(ok) + 1) if ok else (0, 0)
+    long, true = np.flatnonzero((size > 16) & (start < end)), []
+    for p in long.tolist():  # few pieces are so long: compare the rest; places between two true ones may share the 16 bytes only
+        places = order[start[p] : end[p]]
+        true.append(places[[data[at[q] : at[q] + size[p]] == raw[p] for q in places.tolist()]])
+    start[long] = end[long] = 0
     n = end - start
-    which = np.repeat(np.arange(len(n)), n)
-    return order[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], which
+    which = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(long, [len(t) for t in true])))
+    return np.concatenate((order[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], *true)), which
 
 
 class Encoder:

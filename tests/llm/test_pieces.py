@@ -59,3 +59,24 @@ def test_occurrences_are_all_places():
     got = {(int(at[s]), v.shapes[5][w]) for s, w in zip(src, which, strict=True)}
     want = {(int(a), p) for p in v.shapes[5] for a in at if data.startswith(p, a)}
     assert got == want
+
+
+LONG_WORDS = [p.lstrip("▁") for p in pieces.encoder(queries.MODEL).v.ids if len(p.encode()) > 16 and p.strip("▁")]
+
+
+def test_words_that_share_16_bytes_encode_as_in_the_library():
+    for p in LONG_WORDS:
+        for other in (p[:-1], p[:-1] + "x", p[:-2] + p[-1]):
+            words = [p, other, p + ",", other + ".", p + "s"]
+            pieces.encoder(queries.MODEL).forget()
+            assert encoded(words) == LIBRARY.encode(words)
+    pieces.encoder(queries.MODEL).forget()
+    assert encoded(LONG_WORDS) == LIBRARY.encode(LONG_WORDS)
+
+
+def test_places_between_two_true_ones_are_no_occurrences():
+    v = pieces.encoder(queries.MODEL).v
+    data = "▁representations\0▁representation\0▁representations,\0".encode()
+    at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    src, which = pieces.occurrences(data, at, v)
+    assert all(data.startswith(v.shapes[5][w], int(at[s])) for s, w in zip(src, which, strict=True))
