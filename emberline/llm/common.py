@@ -14,7 +14,7 @@ from emberline.storage import ensure_checkpoint_dir, materialize, small
 SPACE = r"[\x20\x09-\x0D]"
 #: A word by white space.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "is_held_out", "map_columns", "materialize", "parts", "small", "text_of"]
+__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "is_held_out", "map_columns", "materialize", "one_of_each", "parts", "small", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
@@ -57,3 +57,18 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, step: Callabl
                 yield from out
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def one_of_each(rows: DataFrame, group: Column, columns: list[str]) -> DataFrame:
+    """One row of each group, with the given columns: of several the one whose columns have the least hash.
+
+    Groups with several rows are looked for first. As a rule there are none, and nothing is moved; else a minimum is
+    aggregated for these groups alone.
+    """
+    rows = rows.select(group.alias("_group"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+    held = [f"_{i}" for i in range(len(columns))]
+    many = materialize(rows.groupBy("_group").count().where("count > 1").select("_group"))
+    if not many.isEmpty():
+        rest = rows.join(many, "_group", "left_semi").groupBy("_group").agg(F.min_by(F.struct(*held), F.xxhash64(*held)).alias("_row")).select("_group", "_row.*")
+        rows = rows.join(many, "_group", "left_anti").unionByName(rest)
+    return rows.select(*[F.col(h).alias(c) for h, c in zip(held, columns, strict=True)])

@@ -4,83 +4,37 @@ Every distinct fingerprint emits all variants within half the radius. Two finger
 within the radius meet at a variant; a variant has at most as many fingerprints as a
 ball has points (65 for radius 2), so no group grows with the data. Copies of a text share a
 fingerprint and are one node.
+
+With a similarity, fingerprints only propose: a pair is linked if its sets of shingles have that Jaccard
+similarity, and the pairs that lie beyond the radius (at a similarity of 0.8 nearly all do: ten bits of 64 differ, and the
+balls of that radius can't be listed) are completed by an exact search, see similar.py.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberline.llm.common import as_bytes, map_columns, materialize
+from emberline.llm import similar
+from emberline.llm.common import as_bytes, map_columns, materialize, one_of_each
 from emberline.llm.graph import components
-
-SEED = 42
-#: Shingle hashes whose bits are unpacked at once (64 bytes each).
-BLOCK = 1 << 18
-
-
-def hashes(text: bytes | None, width: int) -> np.ndarray:
-    """XXH64 of each shingle of the lower-cased words."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if n <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if n else [], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    of = xxhash.xxh64_intdigest
-    return np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n - width + 1)
-
-
-def bit_counts(h: np.ndarray) -> np.ndarray:
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), BLOCK):
-        total += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return total
-
-
-def fingerprints(texts: list[bytes | None], width: int = 3) -> np.ndarray:
-    """A 64-bit fingerprint of each text, as signed integers."""
-    counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
-    held: list[np.ndarray] = []
-    first = waiting = 0
-
-    def flush(upto: int) -> None:
-        nonlocal held, first, waiting
-        n = sizes[first:upto]
-        some = np.flatnonzero(n)
-        if len(some):
-            bits = np.unpackbits(np.concatenate(held).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[first + some] = np.add.reduceat(bits, np.cumsum(n[some]) - n[some], axis=0, dtype=np.int64)
-        held, first, waiting = [], upto, 0
-
-    for i, text in enumerate(texts):
-        h = hashes(text, width)
-        if waiting + len(h) > BLOCK:
-            flush(i)
-        sizes[i] = len(h)
-        if len(h) > BLOCK:
-            counts[i], first = bit_counts(h), i + 1
-        else:
-            held.append(h)
-            waiting += len(h)
-    flush(len(texts))
-    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+from emberline.llm.shingles import fingerprints, hashes
 
 
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id and fp (long)."""
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(as_bytes(batch.column(1)), width))], names=["doc_id", "fp"])
+        texts = as_bytes(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints((hashes(t, width) for t in texts), len(texts)))], names=["doc_id", "fp"])
 
-    return map_columns(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")], "doc_id long, fp long", step)
+    return map_columns(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], f"doc_id {kind}, fp long", step)
 
 
 def balls(radius: int) -> list[int]:
@@ -104,25 +58,55 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.col("fp").alias("u"), F.col("_centre").alias("v")).distinct()
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, doc_id: str, text: str, radius: int, width: int) -> DataFrame:
+    """doc_id, fp and component_id, linked by fingerprints alone."""
+    prints = materialize(fingerprint_table(docs, doc_id, text, width))
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
+    roots = components(links(points, radius))
+    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return prints.join(placed.join(least, "_root").select("fp", "component_id"), "fp", "left")
+
+
+def similar_groups(docs: DataFrame, doc_id: str, text: str, radius: int, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp, root (a hash that a group shares) and text_hash of each row, linked by similarity."""
+    s = similar.Search(docs, doc_id, text, width, Fraction(similarity).limit_denominator(1000))
+    by_print = s.points.groupBy("fp").agg(F.min("node").alias("first"))
+    u, v = (by_print.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "uv")
+    near = links(s.points.select("fp").distinct(), radius).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    same = s.points.join(by_print, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return similar.rooted(s.prints, s.complete(s.verified(near.union(same))))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """For every row: doc_id, fingerprint (16 hex digits), component_id.
 
     A text without words (null, empty, white space) has fingerprint zero, linked like any
     other; one with fewer words than the width is a single shingle. component_id is the
     smallest id that is reachable over links; ids that are null don't count, and a group with none but those has null. Rows may repeat.
-    Other columns are neither read nor returned. An empty table gives no rows.
+    Other columns are neither read nor returned. An empty table gives no rows. Ids may be numbers or texts.
+
+    Without a similarity, fingerprints link if at most radius bits differ. With one, texts link if the Jaccard similarity of their sets of
+    shingles is as high or higher, exactly; texts without words are one group.
     """
-    prints = materialize(fingerprint_table(docs, doc_id, text, width))
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
-    roots = components(links(points, radius))
-    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = placed.join(least, "_root").select("fp", "component_id")
-    return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if similarity is None:
+        rows = fingerprint_groups(docs, doc_id, text, radius, width)
+    else:
+        rows = materialize(similar_groups(docs, doc_id, text, radius, width, similarity))
+        rows = rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """The document of the smallest id of each group, with all its columns. Rows without an id stay."""
-    groups = near_groups(docs, doc_id, text, radius, width)
-    keep = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, docs[doc_id] == keep["doc_id"], "left_semi").union(docs.where(docs[doc_id].isNull()))
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group that near_groups finds by similarity, with all its columns: that of the smallest id.
+
+    Of rows that repeat the smallest id, and of a group without any id, one row stays too, see one_of_each. docs is read
+    several times and must give the same texts each time.
+    """
+    groups = materialize(similar_groups(docs, doc_id, text, radius, width, similarity).select("root", F.col("doc_id").alias("_id"), "text_hash"))
+    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash")).alias("_k")).select("root", F.col("_k._id").alias("_id"), F.col("_k.text_hash").alias("_t"))
+    columns = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    at = {c: rows[f"_c{i}"] for i, c in enumerate(columns)}
+    rows = rows.join(keep, similar.text_hash(at[text]).eqNullSafe(F.col("_t")) & at[doc_id].eqNullSafe(F.col("_id")))
+    return one_of_each(rows, F.col("root"), [f"_c{i}" for i in range(len(columns))]).toDF(*columns)

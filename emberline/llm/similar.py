@@ -1,90 +1,102 @@
-"""Near copies by Jaccard similarity of word shingles, all pairs exactly, by a prefix filter.
-
-Shingles are ordered with common ones last (as counted in a sample of the texts; any order
-is exact, this one is fast). Two sets with a similarity of 0.8 share a shingle within the
-first fifth of both, so that only documents of one bucket (a shingle of that fifth) are
-compared. A bucket is first compared with one centre, in a few rounds with other centres,
-and then only documents that aren't connected yet, so that a large group of near copies
-doesn't cost all its pairs. Sets are known by a 64-bit hash; equal sets are one node.
+"""Texts whose sets of word shingles have a given Jaccard similarity: all pairs, exactly, without comparing all pairs.
+
+Shingles are ordered, common ones last (by a table of counts over all documents; any order is exact, this one is fast). Two
+sets of similarity 0.8 share a shingle within the first fifth of both, their prefixes, so that only
+texts that share a bucket (a shingle of their prefixes) can be linked. A bucket is first compared with one centre, in a
+few rounds with other centres, and then only texts that aren't connected yet, so
+that a large group of near copies doesn't cost all its pairs. A pair's prefixes are compared before its sets
+are. Sets are known by a 64-bit hash; equal sets are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from emberline.llm.common import as_bytes, map_columns, materialize, parts, small
+from emberline.llm.common import as_bytes, map_columns, materialize, parts, small, text_of
 from emberline.llm.graph import components
-from emberline.llm.simhash import SEED, hashes
+from emberline.llm.shingles import SEED, fingerprints, hashes
 
-#: One text in so many is counted for the order of shingles; a shingle is common from so many texts on; as many are listed.
-SAMPLED, COMMON, LISTED = 8, 4, 1 << 17
-#: Rounds with a centre for each bucket; bytes of text that a task hashes at once; nodes that may be broadcast (8 bytes each).
-ROUNDS, AT_ONCE, NODES = 3, 1 << 23, 500_000
+#: Counters of shingles, and the slices in which tasks send them.
+SLOTS, SLICES = 1 << 20, 64
+#: Rounds with a centre for each bucket; bytes of text that a task hashes at once; rows of a number or two that may be broadcast.
+ROUNDS, AT_ONCE, NODES = 3, 1 << 22, 500_000
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The set of shingle hashes, as sorted signed integers."""
-    return np.unique(hashes(text, width).view(np.int64))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def lists(sets: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that are common in a sample, and in how many of its texts each is."""
+def commonness(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """By slot: four times the binary logarithm of how often shingles of that slot occur in all documents, each text counted once.
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = as_bytes(batch.column(0))
-        for a, b in parts(texts, AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts[a:b]]))], names=["h"])
+    Each task adds up its texts' counters and sends them in slices; a slice is added up in one stream. What comes to the
+    driver is SLOTS numbers, whatever the input.
+    """
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0)
-    counted = map_columns(some, [F.col(text)], "h long", step).groupBy("h").count().where(F.col("count") >= COMMON)
-    rows = counted.orderBy(F.desc("count"), "h").limit(LISTED).toPandas().sort_values("h")
-    return rows["h"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for a, b in parts(texts, AT_ONCE):
+                n += np.bincount(slot(np.concatenate([np.unique(hashes(t, width)) for t in texts[a:b]])), minlength=SLOTS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(n, SLICES)], pa.binary())], names=["slice", "n"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(n, np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "n"])
 
-def sets_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, node (hash of the set) and set: shingle hashes, common ones last."""
-    known, counts = common_shingles(docs, text, width)
+    counted = docs.select(text_of(text)).mapInArrow(count, "slice int, n binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, n binary")
+    out = np.zeros((SLICES, SLOTS // SLICES))
+    for r in counted.collect():  # SLICES rows
+        out[r["slice"]] = np.frombuffer(r["n"], np.uint64)
+    return np.floor(4 * np.log2(out.ravel() + 1)).astype(np.uint8)
 
-    def ordered(s: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return s
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        return s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = as_bytes(batch.column(1))
-        for a, b in parts(texts, AT_ONCE):
-            sets = [shingles(t, width) for t in texts[a:b]]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes), lists([ordered(s) for s in sets])], names=["doc_id", "node", "set"])
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
 
-    return map_columns(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")], "doc_id long, node long, set array<long>", step)
+def node_of(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
-def may_reach(n: str, i: str, m: str, j: str) -> F.Column:
-    """Whether sets of n and m shingles that share the ones at places i and j first can have a similarity of 0.8."""
-    return F.expr(f"9 * (1 + least({n} - {i}, {m} - {j})) >= 4 * ({n} + {m})")
+def print_table(docs: DataFrame, doc_id: str, text: str, width: int, share: Fraction) -> DataFrame:
+    """doc_id, text_hash, fp, node, n (shingles) and prefix of each row."""
+    common = commonness(docs, text, width)
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    names = ["doc_id", "text_hash", "fp", "node", "n", "prefix"]
 
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = as_bytes(batch.column(2))
+        for a, b in parts(texts, AT_ONCE):
+            every = [hashes(t, width) for t in texts[a:b]]
+            sets = [np.unique(h.view(np.int64)) for h in every]
+            first = [s[np.argsort(common[slot(s)], kind="stable")[: len(s) - needed(len(s), share) + 1]] if len(s) else s for s in sets]
+            nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(fingerprints(every, len(every))), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), lists(first)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def similar_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs u, v whose similarity is 0.8 or more. Only sets of these nodes are moved."""
-    pairs = materialize(pairs)
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = prints.join(small(nodes, nodes.count(), NODES), "node", "left_semi").dropDuplicates(["node"])
-    a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("_a")), sets.select(F.col("node").alias("v"), F.col("set").alias("_b"))
-    both = pairs.join(a, "u").join(b, "v")
-    return both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("u", "v")
+    return map_columns(docs, [F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text")], f"doc_id {kind}, text_hash long, fp long, node long, n int, prefix array<long>", step)
+
+
+def needed(n: int | Column, share: Fraction) -> int | Column:
+    """Shingles that a set of n has at least in common with another of that similarity."""
+    up = n * share.numerator + share.denominator - 1
+    return F.floor(up / share.denominator).cast("int") if isinstance(n, Column) else up // share.denominator
 
 
 def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -93,42 +105,90 @@ def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def similar_roots(prints: DataFrame) -> DataFrame:
-    """Of prints (node, set): node and root, for every node that isn't the smallest of those it is connected with."""
-    n = F.size("set")
-    first = prints.select("node", n.alias("n"), F.posexplode(F.slice("set", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)).alias("i", "h"))
-    bucket = Window.partitionBy("h")
-    met = first.withColumn("_least", F.min("node").over(bucket)).withColumn("_most", F.max("node").over(bucket))
-    met = materialize(met.where("_least != _most").select("h", "node", "n", (F.col("i") + 1).alias("i")).distinct())
-    links = roots = None
-    for k in range(ROUNDS + 1):
-        at = F.min_by(F.struct("node", "n", "i", "root"), F.xxhash64("node", F.lit(k))).over(bucket)
-        rows = rooted(met, roots).withColumn("_c", at)
-        rows = rows.select("*", F.col("_c.node").alias("c"), F.col("_c.n").alias("cn"), F.col("_c.i").alias("ci"), F.col("_c.root").alias("c_root")).drop("_c")
-        apart = rows.where("root != c_root")
-        if k < ROUNDS:  # one centre for a node: the one of most of its buckets
-            votes = apart.where(may_reach("n", "i", "cn", "ci")).groupBy("node", "c").count()
-            found = votes.groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("v")).select(F.col("node").alias("u"), "v")
-        else:  # all that aren't connected yet; at least one of the two isn't connected with the centre
-            other = rows.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
-            pair = apart.join(other, "h").where((F.col("root") != F.col("_root")) & (F.col("_near") | (F.col("node") < F.col("v"))))
-            pair = pair.where("5 * least(n, m) >= 4 * greatest(n, m)").groupBy(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), (F.col("n") + F.col("m")).alias("both"), F.greatest("n", "m").alias("more")).count()
-            found = pair.where("9 * (count + (4 * more + 4) div 5 - 1) >= 4 * both")  # shared in both prefixes, and at most all behind one of them
-        pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = materialize(similar_pairs(pairs, prints))
-        if not new.isEmpty() or links is None:
-            links = new if links is None else links.union(new)
-            roots = materialize(components(links))
-    return roots
-
-
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The document of the smallest id of each group, with all its columns. Rows without an id stay.
-
-    Documents are linked if the Jaccard similarity of their sets of shingles of lower-cased
-    words is 0.8 or more; a group is what links connect. Texts without words are one group.
-    """
-    prints = materialize(sets_of(docs, doc_id, text, width))
-    placed = rooted(prints.select("doc_id", "node"), similar_roots(prints.select("node", "set")))
-    keep = placed.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept")
-    return docs.join(keep, docs[doc_id] == keep["_kept"], "left_semi").union(docs.where(docs[doc_id].isNull()))
+class Search:
+    """The search for all links of one table. prints: a row for each row; points: a row for each distinct set."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, share: Fraction) -> None:
+        self.docs, self.text, self.width, self.share = docs, text, width, share
+        rows = materialize(print_table(docs, doc_id, text, width, share))
+        self.points = materialize(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
+        self.prints = rows.select("doc_id", "text_hash", "fp", "node")
+
+    def reaches(self, both: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m shingles with `both` in common are as similar."""
+        return both * (self.share.numerator + self.share.denominator) >= (n + m) * self.share.numerator
+
+    def alike(self, n: Column, m: Column) -> Column:
+        """Whether the sizes allow it."""
+        return F.least(n, m) * self.share.denominator >= F.greatest(n, m) * self.share.numerator
+
+    def may_reach(self, shared: Column, n: Column, m: Column) -> Column:
+        """Whether sets with so many shingles in both prefixes can be: the others in common lie behind one of the two prefixes."""
+        return self.reaches(shared + needed(F.greatest(n, m), self.share) - 1, n, m)
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node and set of these nodes, from one text of each."""
+        width = self.width
+        nodes = materialize(nodes.distinct())
+        wanted = small(nodes, nodes.count(), NODES)
+        hashed = materialize(self.points.join(wanted, "node", "left_semi").select("text_hash"))
+        texts = self.docs.select(text_hash(F.col(self.text)).alias("text_hash"), F.col(self.text).alias("text"))
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            texts = as_bytes(batch.column(0))
+            for a, b in parts(texts, AT_ONCE):
+                sets = [np.unique(hashes(t, width).view(np.int64)) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), lists(sets)], names=["node", "set"])
+
+        made = map_columns(texts.join(small(hashed, hashed.count(), NODES), "text_hash", "left_semi"), [F.col("text")], "node long, set array<long>", step)
+        return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of nodes u, v that are similar, as links. Prefixes are compared first; only sets of pairs that pass are made and moved."""
+        pairs = materialize(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if pairs.isEmpty():
+            return pairs
+
+        def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+            return tuple(table.select(F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in columns]) for c in "uv")
+
+        nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+        a, b = sides(self.points.join(small(nodes, nodes.count(), NODES), "node", "left_semi"), ["n", "prefix"])
+        n, m = F.col("_n_u"), F.col("_n_v")
+        near = pairs.join(a, "u").join(b, "v").where(self.alike(n, m)).where(self.may_reach(F.size(F.array_intersect("_prefix_u", "_prefix_v")), n, m))
+        near = materialize(near.select("u", "v"))
+        if near.isEmpty():
+            return near
+        a, b = sides(self.sets(near.select(F.col("u").alias("node")).union(near.select("v"))), ["set"])
+        both = near.join(a, "u").join(b, "v")
+        return materialize(both.where(self.reaches(F.size(F.array_intersect("_set_u", "_set_v")), F.size("_set_u"), F.size("_set_v"))).select("u", "v"))
+
+    def buckets(self) -> DataFrame:
+        """h, node, n: the shingles of prefixes that several nodes have."""
+        first = self.points.select("node", "n", F.explode("prefix").alias("h"))
+        shared = first.groupBy("h").count().where("count > 1").select("h")
+        return materialize(first.join(shared, "h").select("h", "node", "n"))
+
+    def complete(self, links: DataFrame) -> DataFrame:
+        """node and root, for every node that isn't the smallest of those it is connected with; links has links that are known."""
+        met = self.buckets()
+        roots = materialize(components(links)) if not links.isEmpty() else None
+        for k in range(ROUNDS + 1):
+            rows = rooted(met, roots)
+            centres = rows.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("_c"))
+            rows = rows.join(centres.select("h", F.col("_c.node").alias("c"), F.col("_c.n").alias("c_n"), F.col("_c.root").alias("c_root")), "h")
+            apart = rows.where("root != c_root")
+            n, m = F.col("n"), F.col("m")
+            if k < ROUNDS:  # one centre for a node: the one of most of its buckets
+                votes = apart.where(self.alike(n, F.col("c_n"))).groupBy("node", "c").count()
+                found = votes.groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("v")).select(F.col("node").alias("u"), "v")
+            else:  # all that aren't connected yet; at least one of the two isn't connected with the centre
+                other = rows.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
+                pair = apart.join(other, "h").where((F.col("root") != F.col("_root")) & (F.col("_near") | (F.col("node") < F.col("v"))))
+                pair = pair.where(self.alike(n, m)).groupBy(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.max(n + m).alias("both"), F.max(F.greatest(n, m)).alias("more"))
+                found = pair.where(self.may_reach(F.col("shared"), F.col("both") - F.col("more"), F.col("more"))).select("u", "v")
+            new = self.verified(found)
+            if not new.isEmpty():
+                links = links.union(new)
+                roots = materialize(components(links))
+        return roots if roots is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root"))

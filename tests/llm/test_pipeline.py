@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from emberline.llm import mixing, quality, queries
-from test_duplicates import brute_components, brute_fingerprint
+from test_similar import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,8 +24,7 @@ def test_stages_against_brute_force(spark):
     for i, r in good.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"]), []).append(i)
     single = sorted(min(g, key=lambda i: (-len(good[i]["text"]), i)) for g in groups.values())
-    roots = brute_components({i: brute_fingerprint(good[i]["text"], 5) for i in single}, 2)
-    apart = sorted(i for i in single if roots[i] == i)
+    apart = sorted(kept_by_brute_force({i: good[i]["text"] for i in single}))
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs.where(F.col("doc_id").isin(apart))).collect() if r["size"]}
     want = Counter({i: n for i, n in taken.items() if n})
     got = corpus_pipeline.run(spark, SF).collect()

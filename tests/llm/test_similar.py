@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import queries, similar
+from emberline.llm import queries, simhash, similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,10 +52,31 @@ def test_a_large_group_and_clean_documents(docs, monkeypatch, rounds):
         rows.append((100 - i, " ".join(words)))
     rows += [(200 + i, " ".join(f"clean{i}_{j}" if j % 3 == 0 else base[j] for j in range(80))) for i in range(5)]
     rows += [(300, None), (301, ""), (302, "Two words"), (303, "two  WORDS"), (304, "two words more")]
-    got = {r["doc_id"] for r in similar.drop_similar(docs(*rows)).collect()}
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs(*rows)).collect()}
     assert got == kept_by_brute_force(dict(rows)) and {200, 201, 202, 203, 204, 300, 302, 304} <= got
 
 
-def test_rows_without_id_and_no_rows(odd):
-    assert sum(r["doc_id"] is None for r in similar.drop_similar(odd).collect()) == 2
-    assert similar.drop_similar(odd.where(F.lit(False))).count() == 0
+def test_odd_rows_and_no_rows(odd):
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 6, 7, 8]  # one of the repeated rows of 5
+    groups = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(odd, width=5, similarity=0.8).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (5, 5), (None, 5), (None, 1)} <= groups
+    assert simhash.drop_near_copies(odd.where(F.lit(False))).count() == 0
+    alone = odd.where("doc_id is null and text is not null")
+    assert simhash.drop_near_copies(alone.union(alone)).count() == 1
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_any_similarity(docs, share):
+    rows = [(i, " ".join(f"w{(j * j + (j % (i + 2) == 0) * i) % 97}" for j in range(60))) for i in range(12)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    linked = {(i, j) for i, j in combinations(sets, 2) if len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(*rows), width=5, similarity=share).collect()}
+    assert all(got[i] == got[j] for i, j in linked) and len(set(got.values())) >= len(rows) - len(linked)
+
+
+def test_text_ids(spark):
+    rows = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "other words here")], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_groups(rows).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(rows).collect()) == ["a", "c"]
