@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import exact_dedup, mixing, quality, similar
+from emberline.llm import exact_dedup, mixing, quality, simhash
 from emberline.llm.common import ensure_checkpoint_dir
 from emberline.llm.queries import learnable, table, tokens
 
@@ -22,8 +22,8 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked sets of five-word shingles (similarity 0.8 or more)."""
-    return similar.drop_similar(docs, width=5)
+    """One document of each group of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return simhash.drop_near_copies(docs, width=5, similarity=0.8)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
