@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import materialize, small
+from emberline.llm.common import materialize
 
 #: JSON types of schemas and the names that Spark gives values of a variant.
 KINDS = {"integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "string": r"^STRING$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY.*$", "object": r"^OBJECT.*$"}
@@ -26,10 +26,15 @@ Schemas = dict[str, dict[str, Parameter]]
 
 
 def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Sorted texts of what is wrong with the arguments (JSON text) of a call of the tool."""
+    """Sorted texts of what is wrong with the arguments (JSON text) of a call of the tool.
+
+    Arguments that repeat a key, or are beyond the size of a variant, can't be read; their values aren't checked.
+    """
     value = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
-    found: list[Column] = [F.when(~F.coalesce(name.isin(list(schemas)), F.lit(False)), F.array(F.lit("unknown tool"))), F.when(F.json_object_keys(arguments).isNull(), F.array(F.lit("arguments are no JSON object")))]
+    given = F.json_object_keys(arguments)
+    readable = given.isNotNull() & value.isNotNull()
+    keys = F.coalesce(given, F.array().cast("array<string>"))
+    found: list[Column] = [F.when(~F.coalesce(name.isin(list(schemas)), F.lit(False)), F.array(F.lit("unknown tool"))), F.when(given.isNull(), F.array(F.lit("arguments are no JSON object"))), F.when(given.isNotNull() & value.isNull(), F.array(F.lit("arguments repeat a key or are too long")))]
     for tool, parameters in schemas.items():
         each: list[Column] = []
         for key, p in parameters.items():
@@ -42,54 +47,106 @@ def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
                 check = check.when(~F.try_variant_get(value, f"$.{key}", "string").isin(list(p.choices)), F.lit(f"{key}: not a choice"))
             each.append(check)
         other = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in parameters]).cast("array<string>")), lambda k: F.concat(k, F.lit(": unexpected")))
-        found.append(F.when((name == tool) & F.json_object_keys(arguments).isNotNull(), F.concat(F.array_compact(F.array(*each)), other)))
+        found.append(F.when((name == tool) & readable, F.concat(F.array_compact(F.array(*each)), other)))
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in found])))
 
 
+#: What identifies a call.
+CALL = ["conv_id", "call_id"]
+
+
+def links_of(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls (node, turn) and links (child, parent) between them; a node is a struct of conversation and identifier.
+
+    Identifiers that no call of the conversation has are no links. Of a call that uses its latest predecessor and calls which that one
+    uses too, the latter links are left out: they change no longest path.
+    """
+    node = F.struct(*CALL)
+    nodes = materialize(calls.where("conv_id is not null and call_id is not null").groupBy(node.alias("node")).agg(F.min("turn").alias("turn")))
+    links = calls.where("conv_id is not null and call_id is not null").select(node.alias("child"), F.explode("after").alias("_p")).select("child", F.struct(F.col("child.conv_id").alias("conv_id"), F.col("_p").alias("call_id")).alias("parent")).distinct()
+    links = materialize(links.join(nodes.select(F.col("node").alias("parent"), F.col("turn").alias("_turn")), "parent"))
+    latest = links.where("child != parent").groupBy("child").agg(F.max_by("parent", F.struct("_turn", "parent")).alias("parent"))
+    through = latest.join(links.select(F.col("child").alias("parent"), F.col("parent").alias("_far")), "parent").where("_far != parent and _far != child").select("child", F.col("_far").alias("parent")).distinct()
+    return nodes, materialize(links.select("child", "parent").join(through, ["child", "parent"], "left_anti"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level: 0 for a call that waits for none, else one more than the calls (column after) it waits for; null for those in or behind a circle.
+    """conv_id, call_id and level: 0 for a call that waits for none, else one more than the calls (column after) it waits for; null for those in or behind a circle.
 
-    Each round takes away the calls that wait for nothing that is left. Identifiers that no call has are no links.
+    Calls that wait for one call only are chains, and a chain of any length is followed by doubling its steps: its
+    calls know the end of the chain and how far it is. What is left are calls that wait for several; each round settles
+    those that wait for nothing unsettled.
     """
-    nodes = materialize(calls.select("call_id").where("call_id is not null").distinct())
-    links = calls.select(F.col("call_id").alias("child"), F.explode("after").alias("parent")).distinct()
-    links = materialize(links.join(nodes, links["parent"] == nodes["call_id"], "left_semi"))
-    done, left, level = None, nodes, 0
-    while True:
-        waiting = links.select(F.col("child").alias("call_id")).distinct()
-        ready = materialize(left.join(waiting, "call_id", "left_anti"))
-        n = ready.count()
-        if not n:
+    nodes, links = links_of(calls)
+    waits = links.groupBy("child").agg(F.count(F.lit(1)).alias("_k"), F.min("parent").alias("_one"))
+    chained = F.coalesce((F.col("_k") == 1) & (F.col("_one") != F.col("node")), F.lit(False))
+    jumps = nodes.select("node").join(waits, F.col("node") == F.col("child"), "left").select("node", F.when(chained, F.col("_one")).otherwise(F.col("node")).alias("to"), chained.cast("long").alias("far"), F.coalesce("_k", F.lit(0).cast("long")).alias("k"))
+    jumps = materialize(jumps)
+    ends = jumps.where("far = 0").select(F.col("node").alias("to"))
+    reach, open_ = jumps.select("node", "to", "far"), jumps.where("far > 0").select("node", "to", "far")
+    while True:  # each round doubles how far the open ones reach; the others stay at the end of their chain
+        settled = open_.join(ends, "to", "left_semi").select("node")
+        left = open_.join(ends, "to", "left_anti")
+        if settled.isEmpty() or left.isEmpty():  # circles are left, or nothing
             break
-        now = ready.withColumn("level", F.lit(level))
-        done = now if done is None else done.unionByName(now)
-        left = left.join(small(ready, n), "call_id", "left_anti")
-        links = materialize(links.join(small(ready.withColumnRenamed("call_id", "parent"), n), "parent", "left_anti"))
-        level += 1
-        if links.isEmpty():
-            rest = left.withColumn("level", F.lit(level))
-            return done.unionByName(rest)
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        ahead = reach.where("far > 0").select(F.col("node").alias("to"), F.col("to").alias("_next"), F.col("far").alias("_more"))
+        open_ = materialize(left.join(ahead, "to").select("node", F.col("_next").alias("to"), (F.col("far") + F.col("_more")).alias("far")))
+        reach = materialize(reach.join(open_.select("node"), "node", "left_anti").union(open_))
+
+    known = materialize(jumps.where("k = 0").select(F.col("node").alias("to"), F.lit(0).cast("long").alias("level")))
+    step = links.join(jumps.where("k > 0 and far = 0").select(F.col("node").alias("child")), "child", "left_semi")  # of calls that wait for several
+    step = materialize(step.join(reach.select(F.col("node").alias("parent"), "to", "far"), "parent", "left").select("child", "to", (F.col("far") + 1).alias("far")))
+    while not step.isEmpty():
+        tried = step.join(known, "to", "left").groupBy("child").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("_open"))
+        new = materialize(tried.where("_open = 0").select(F.col("child").alias("to"), "level"))
+        if new.isEmpty():
+            break
+        step = materialize(step.join(new.select(F.col("to").alias("child")), "child", "left_anti"))
+        known = materialize(known.union(new))
+    return nodes.select("node").join(reach, "node", "left").join(known, "to", "left").select("node.*", (F.col("level") + F.col("far")).cast("int").alias("level"))
+
+
+def canonical_number(x: Column) -> Column:
+    """A JSON number without needless zeros: 1.0 and 1e0 are 1, 1e2 is 100. What has no exponent keeps all its digits; with an exponent it is a double, written plainly where that is exact."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = F.when(plain == "-0", "0").otherwise(plain)
+    value = x.try_cast("double")
+    wide = value.try_cast("decimal(38,18)").cast("string")
+    wide = F.regexp_replace(F.regexp_replace(wide, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(F.lower(x), r"(\.[0-9]*?)0+e", "$1e"), r"\.e", "e")
+    return F.when(~x.rlike("[eE]"), plain).when(F.coalesce(wide.try_cast("double") == value, F.lit(False)), F.when(wide == "-0", "0").otherwise(wide)).otherwise(short)
+
+
+def canonical(json: Column) -> Column:
+    """JSON text as to_json writes it (sorted keys, no white space) with canonical numbers. Strings stay as they are: escapes are set aside, and of the parts between quotes every other one is a string."""
+    safe = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+    def outside(part: Column) -> Column:
+        tokens = F.regexp_extract_all(part, F.lit(r"-?[0-9][0-9.eE+-]*|[^0-9-]+"), F.lit(0))
+        return F.when(part.rlike(r"[.eE]|-0"), F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), canonical_number(t)).otherwise(t)), "")).otherwise(part)
+
+    parts = F.transform(F.split(safe, '"'), lambda p, i: F.when(i % 2 == 0, outside(p)).otherwise(p))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """Each call with its result, its place in the order, its problems and its canonical JSON.
 
-    calls: conv_id, turn, call_id, name, arguments (JSON text), after (identifiers of calls whose results it
-    uses). results: call_id, turn, content. A call is linked to the result with its
-    identifier, of several to the earliest (then the smallest content); n_results tells
+    calls: conv_id, turn, call_id, name, arguments (JSON text), after (identifiers of calls of the same conversation whose results it
+    uses). results: conv_id, call_id, turn, content. A call is linked to the result of its conversation with its
+    identifier, by a hash join, of several to the earliest (then the smallest content); n_results tells
     how many there are. Sorting a conversation by level, turn and call_id gives an order in which each
     call comes after those it uses.
 
-    json has its keys sorted at every depth and no white space; a value that is null has no
-    key, and arguments that are no JSON stand as text. Calls without an identifier have level
+    json has its keys sorted at every depth, no white space, and numbers without needless zeros or exponents (of up to 38 digits exactly; longer ones
+    are doubles); a value that is null has no
+    key, and arguments that can't be read as JSON (see problems) stand as text. Calls without a conversation or an identifier have level
     0 and no result; repeated rows stay. Extra columns are neither read nor returned. Empty tables give no rows.
     """
-    first = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    first = results.where("conv_id is not null and call_id is not null").groupBy(*CALL).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("_n"))
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")
-    rows = calls.join(first, "call_id", "left").join(levels(calls), "call_id", "left")
+    rows = calls.join(first.hint("shuffle_hash"), CALL, "left").join(levels(calls), CALL, "left")
     found = problems(F.col("name"), F.col("arguments"), schemas)
     value = F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text"))))
     rows = rows.select(
@@ -97,11 +154,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         "turn",
         "call_id",
         "name",
-        F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")).alias("level"),
+        F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), 0).otherwise(F.col("level")).alias("level"),
         F.coalesce("_n", F.lit(0).cast("long")).alias("n_results"),
         F.col("_r.turn").alias("result_turn"),
         F.array_join(found, "; ").alias("problems"),
-        F.to_json(F.struct(value.alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("_r.content").alias("result"))).alias("json"),
+        canonical(F.to_json(F.struct(value.alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("_r.content").alias("result")))).alias("json"),
     )
     return rows.withColumn("valid", F.col("problems") == "")
 
@@ -116,7 +173,7 @@ DERIVED: Schemas = {
 def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from turns: each assistant's turn is a call with its whole text as an argument, each later user's turn the result of the turn before it.
 
-    A call uses the results of the calls half and a third as far into the conversation. Some have a limit of 0, a unit that is no
+    A call uses the results of the assistant's turn before and of the calls half and a third as far into the conversation. Some have a limit of 0, a unit that is no
     choice, a missing or an unexpected argument, by their length.
     """
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -128,9 +185,9 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.char_length("text")
     search = F.to_json(F.struct(F.when(n % 7 != 0, F.col("text")).alias("query"), (n % 5).alias("limit")))
     count = F.to_json(F.struct(F.col("text"), F.when(n % 3 == 0, "word").when(n % 3 == 1, "page").alias("unit"), F.when(n % 11 == 0, True).alias("deep")))
-    earlier = F.array_distinct(F.array(key(F.floor(F.col("turn") / 2)), key(F.floor(F.col("turn") / 3))))
+    earlier = F.array_distinct(F.array(key(F.floor(F.col("turn") / 2)), key(F.floor(F.col("turn") / 3)), key(F.col("turn") - 2)))
     calls = turns.where("role = 'assistant'").select("conv_id", "turn", key(F.col("turn")).alias("call_id"), name.alias("name"), F.when(name == "search", search).otherwise(count).alias("arguments"), F.filter(earlier, lambda k: k != key(F.col("turn"))).alias("after"))
-    results = turns.where("role = 'user'").select(key(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where("role = 'user'").select("conv_id", key(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
@@ -140,7 +197,7 @@ with recursive t as (
 ), c as (
   select conv_id, turn, 'call_' || conv_id || '_' || turn as call_id, case when turn % 4 = 1 then 'search' else 'count' end as name, text, n from t where role = 'assistant'
 ), l as (
-  select distinct x.call_id as child, y.call_id as parent from c x join c y on x.conv_id = y.conv_id and (y.turn = x.turn // 2 or y.turn = x.turn // 3) and y.turn <> x.turn
+  select distinct x.call_id as child, y.call_id as parent from c x join c y on x.conv_id = y.conv_id and (y.turn = x.turn // 2 or y.turn = x.turn // 3 or y.turn = x.turn - 2) and y.turn <> x.turn
 ), p(call_id, level) as (
   select call_id, 0 from c union select l.child, p.level + 1 from p join l on l.parent = p.call_id
 ), v as (
