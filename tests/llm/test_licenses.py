@@ -48,3 +48,28 @@ def test_the_join_finds_all_blocks(docs):
         blocks = [set(words[s : s + 64]) for s in range(0, len(words), 32)]
         want = {label for t, label in templates.items() for b in blocks if 10 * len(set(t.split()) & b) >= 8 * len(set(t.split()))}
         assert got[i] == ",".join(sorted(want))
+
+
+def test_whole_texts_at_any_place(docs):
+    """A template of any length is found wherever it begins, exactly and with a few words changed."""
+    long = " ".join(f"t{i}" for i in range(50))
+    whole = next(t for t, label in licenses.TEMPLATES.items() if label == "mit-text")
+    changed = whole.split()
+    for i in (3, 77, 120):
+        changed[i] = "changed"
+    rows = [(i, f"{'x ' * i}{long} {'y ' * 40}") for i in range(0, 70, 7)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(*rows), templates={long: "long"}).collect()}
+    assert set(got.values()) == {("long", 1.0)}
+    rows = [(i, f"{'filler ' * (i * 37)}{t.upper()}. {'y ' * 300}") for i, t in enumerate([whole, " ".join(changed)] * 4)]
+    got = licenses.scan(docs(*rows)).collect()
+    assert all("mit-text" in r["labels"].split(",") for r in got)
+    half = docs((1, " ".join(whole.split()[:80])))
+    assert "mit-text" not in licenses.scan(half).first()["labels"]
+
+
+def test_without_phrases_or_templates(docs):
+    rows = docs((1, "all rights reserved"), (2, None), (3, "released under the mit license"))
+    got = {r["doc_id"]: (r["n_base"], r["base_labels"], r["labels"]) for r in licenses.scan(rows, phrases={}).collect()}
+    assert got == {1: (0, "", "reserved"), 2: (0, "", ""), 3: (0, "", "mit")}
+    got = {r["doc_id"]: (r["n_base"], r["labels"], r["score"]) for r in licenses.scan(rows, templates={}).collect()}
+    assert got == {1: (1, "reserved", 1.0), 2: (0, "", 0.0), 3: (0, "", 0.0)}
