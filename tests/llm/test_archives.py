@@ -18,7 +18,8 @@ def test_arc_records_by_version(version):
     content = b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\n<p>\n\nb</p>\n"
     data = archives.arc_head(version, "n.arc", "19990101120000") + archives.arc_record(version, "http://a/b c", "19990102", content, "n.arc", 0) + archives.arc_record(version, "http://x/", "20000101000000", b"", "n.arc", 9)
     for d in (data, gzip.compress(data)):
-        a, b = archives.parse_arc(d)
+        info, a, b = archives.parse_arc(d)
+        assert info["type"] == "filedesc" and info["url"] == "filedesc://n.arc"
         assert (a["url"], a["date"], a["type"], a["content"]) == ("http://a/b c", "19990102", "text/html", content)
         assert b["content"] == b"" and b["url"] == "http://x/"
     with pytest.raises(ValueError):
@@ -63,3 +64,47 @@ def test_empty_tables(spark):
 def test_plain_warc_is_read_too():
     record = archives.warc_record("response", [("WARC-Record-ID", "<x>"), ("WARC-Date", None)], b"abc")
     assert list(archives.parse_warc(record + record)) == [({"warc-type": "response", "warc-record-id": "<x>", "content-length": "3"}, b"abc")] * 2
+
+
+def warc_heads(warc):
+    return [h for r in warc.collect() for h, _ in archives.parse_warc(r["warc"])]
+
+
+def test_revisits_refer_to_records_and_identifiers_are_unique(spark):
+    rows = [(i % 5, f"http://x/{i}", "same" if i % 2 else f"own {i}") for i in range(20)] + [(1, "http://x/1", "same")] * 3
+    arc = archives.pages_to_arc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).persist()
+    heads = warc_heads(archives.convert(arc))
+    assert heads == warc_heads(archives.convert(arc))
+    infos = [h for h in heads if h["warc-type"] == "warcinfo"]
+    records = {h["warc-record-id"]: h for h in heads if h["warc-type"] != "warcinfo"}
+    assert len(records) == 23 and len(infos) == 4 and {h["warc-warcinfo-id"] for h in records.values()} == {h["warc-record-id"] for h in infos}
+    revisits = [h for h in records.values() if h["warc-type"] == "revisit"]
+    assert revisits
+    for h in revisits:
+        to = records[h["warc-refers-to"]]
+        assert to["warc-type"] == "response" and to["x-page-id"] == h["x-refers-to-page"] and to["warc-payload-digest"] == h["warc-payload-digest"]
+        assert (h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) == (to["warc-target-uri"], to["warc-date"])
+    assert sum("x-arc-checksum" in h for h in records.values()) > 5  # of version 2
+    versions = {r["arc"].split(b"\n")[1][:1] for r in arc.collect()}
+    assert versions == {b"1", b"2"}
+
+
+def test_fields_of_old_records_are_kept(spark):
+    data = archives.arc_head(2, "old.arc", "1997") + b"http://a/ 10.1.2.3 19970203040506 image/gif 404 abc - 99 old.arc 3\nGIF\n"
+    (head,) = [h for h in warc_heads(archives.convert(spark.createDataFrame([(data,)], "arc binary"))) if h["warc-type"] == "resource"]
+    assert (head["warc-ip-address"], head["x-arc-result-code"], head["x-arc-checksum"], head["content-type"], head["warc-date"]) == ("10.1.2.3", "404", "abc", "image/gif", "1997-02-03T04:05:06Z")
+
+
+@pytest.mark.parametrize("fault", [b"broken line\n", b"http://a/ 0 1999 text/html -5\n", b"no end of line", b"http://a/ 0.0.0.0 1999 text/html 50\nshort"])
+def test_malformed_archives(spark, fault):
+    good = archives.arc_head(1, "n.arc", "1999") + archives.arc_record(1, "http://a/", "1999", b"abc", "n.arc", 0)
+    table = spark.createDataFrame([(good + fault,), (good,), (None,), (b"",)], "arc binary")
+    assert len([h for h in warc_heads(archives.convert(table, strict=False)) if h["warc-type"] == "resource"]) == 2
+    assert archives.arc_records(table, strict=False).where("type = 'error'").count() == 1
+    with pytest.raises(ValueError):
+        list(archives.parse_arc(good + fault))
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        archives.page_records(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
