@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding by suffix arrays, for BPE models.
 
-The distinct words of a batch are joined to one text and its suffixes are sorted. Each
+The distinct words of a batch are joined to one text and its suffixes are sorted (by 16 bytes; suffixes that share these are
+told apart where a piece is longer). Each
 piece of the vocabulary finds its occurrences as one range of the suffix array by binary
-search, a piece of over 16 bytes as the true places of such a range. The occurrences are edges of a lattice, sorted by the place where they end, and are
-relaxed in that order over all words at once: a place is reached by the one edge whose
+search, a piece of over 16 bytes as the true places of such a range. The occurrences are edges of a lattice. It is cut where no edge
+crosses a place: no merge can cross it either, so that text without blanks falls into short parts. The edges are sorted by the place where they end in their part, and are
+relaxed in that order over all parts at once: a place is reached by the one edge whose
 piece may follow the piece before it.
 
 Why this is BPE: a row of pieces is the encoding of a text exactly if each neighbouring
 pair, encoded on its own, gives that pair again. So the last piece of each prefix is
 unique. Whether a pair may stand is found by merging its two pieces once, and remembered.
 Pieces have a blank only at their start, so words encode on their own. Runs of blanks, whose
-pieces have equal scores, and very long words are merged one by one instead.
+pieces have equal scores, are merged one by one instead.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from emberline.llm.common import map_columns
 
 BLANK = "▁"
-#: Words longer than this are merged one by one; words and pairs remembered by a Python worker; slots of its cache of pairs.
-LONG, REMEMBERED, PAIRS, SLOTS = 64, 250_000, 400_000, 1 << 20
+#: Words and pairs remembered by a Python worker; slots of its cache of pairs.
+REMEMBERED, PAIRS, SLOTS = 250_000, 400_000, 1 << 20
 #: Characters of text that a task encodes, and ids that it decodes, at once.
 AT_ONCE = 1 << 21
 
@@ -178,49 +180,54 @@ class Encoder:
         return out
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the number of ids of each. Words have a blank at the start only, and LONG letters at most."""
-        raw = [w.encode() for w in words]
-        data = b"\0".join(raw) + b"\0"
+        """Ids of all words in a row, and the number of ids of each. Words have a blank at the start only."""
+        data = "\0".join(words).encode() + b"\0"
         x = np.frombuffer(data, np.uint8)
         at = np.flatnonzero((x & 0xC0) != 0x80)  # starts of characters and the ends of words
         ends = np.flatnonzero(x[at] == 0)
         if len(ends) != len(words):
             raise ValueError("a word holds a zero byte")
-        length = np.diff(np.concatenate(([-1], ends)))  # characters and the end
-        step = (np.arange(len(at)) - np.repeat(ends + 1 - length, length)).astype(np.uint16)
+        starts = np.concatenate(([0], ends[:-1] + 1))
         ids, _, _, _, chars, _ = self.v.shapes
         src, which = occurrences(data, at, self.v)
-        src, piece, width = src.astype(np.int32), ids[which].astype(np.int32), chars[which].astype(np.uint16)
+        src, piece, width = src.astype(np.int32), ids[which].astype(np.int32), chars[which].astype(np.int32)
         del which
         covered = np.zeros(len(at), bool)
         covered[src[width == 1]] = True
         covered[ends] = True
         lone = np.flatnonzero(~covered)
-        src, piece, width = np.concatenate((src, lone.astype(np.int32))), np.concatenate((piece, np.full(len(lone), self.unknown, np.int32))), np.concatenate((width, np.ones(len(lone), np.uint16)))
-        by_end = np.argsort(step[src] + width, kind="stable")
-        src, piece, width = src[by_end], piece[by_end], width[by_end]
+        wide = width > 1  # from the place behind its first letter to its last letter, an edge crosses
+        crossed = np.cumsum(np.bincount(src[wide] + 1, minlength=len(at) + 1) - np.bincount(src[wide] + width[wide], minlength=len(at) + 1))[: len(at)] > 0
+        begins = ~crossed
+        begins[ends] = False
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))  # where each place's part begins
+        src, piece, width = np.concatenate((src, lone.astype(np.int32))), np.concatenate((piece, np.full(len(lone), self.unknown, np.int32))), np.concatenate((width, np.ones(len(lone), np.int32)))
+        end = (src - first[src]).astype(np.int32) + width  # place of its end in the part
+        by_end = np.argsort(end, kind="stable")
+        src, piece, width, end = src[by_end], piece[by_end], width[by_end], end[by_end]
         del by_end
-        cuts = np.searchsorted(step[src] + width, np.arange(1, int(length.max(initial=1)) + 1))
+        cuts = np.searchsorted(end, np.arange(1, int(end[-1]) + 2 if len(end) else 1))
         last, back = np.full(len(at), -2, np.int32), np.zeros(len(at), np.int32)
-        last[ends + 1 - length] = -1
         for i, j in zip(cuts, cuts[1:], strict=False):
             s, p = src[i:j], piece[i:j]
-            live = last[s] != -2
-            s, p, w = s[live], p[live], width[i:j][live]
-            fits = self.may_follow(last[s], p)
+            before = np.where(begins[s], -1, last[s])
+            live = before != -2
+            s, p, w, before = s[live], p[live], width[i:j][live], before[live]
+            fits = self.may_follow(before, p)
             last[s[fits] + w[fits]], back[s[fits] + w[fits]] = p[fits], s[fits]
-        node, rows = ends.copy(), []
-        owner = np.arange(len(words))
+        node = np.concatenate((np.flatnonzero(begins), ends))  # the ends of parts
+        node = node[~np.isin(node, starts)]
+        rows = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         while len(node):
-            keep = last[node] != -1
-            node, owner = node[keep], owner[keep]
             if (last[node] == -2).any():
                 raise AssertionError("a word has no encoding")
-            rows.append((owner, last[node], at[node], at[back[node]]))
+            rows.append((last[node], at[node], at[back[node]]))
             node = back[node]
-        owner, tokens, to, frm = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((frm, owner))
-        owner, tokens, to, frm = owner[order], tokens[order], to[order], frm[order]
+            node = node[~begins[node]]
+        tokens, to, frm = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(frm)
+        tokens, to, frm = tokens[order], to[order], frm[order]
+        owner = np.searchsorted(at[ends], frm)
         n = np.ones(len(tokens), np.int64)
         odd = tokens == self.unknown
         if odd.any():
@@ -229,13 +236,13 @@ class Encoder:
                 tokens[odd] = self.v.kinds.index("u")
             else:
                 n[odd] = (to - frm)[odd]
-                first = np.repeat(frm, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                tokens = np.where(np.repeat(odd, n), byte_ids[x[first]], np.repeat(tokens, n))
+                at_byte = np.repeat(frm, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                tokens = np.where(np.repeat(odd, n), byte_ids[x[at_byte]], np.repeat(tokens, n))
         return tokens.astype(np.int32), np.bincount(owner, weights=n, minlength=len(words)).astype(np.int64)
 
     def learn(self, new: list[str]) -> None:
         """Encode words that are not known yet, in the order of their numbers."""
-        plain = np.array([0 < len(w) <= LONG and w[1:2] != BLANK and "\0" not in w for w in new], bool)
+        plain = np.array([w != "" and w[1:2] != BLANK and "\0" not in w for w in new], bool)
         begin, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         flat = np.zeros(0, np.int32)
         if plain.any():

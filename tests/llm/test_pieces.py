@@ -80,3 +80,25 @@ def test_places_between_two_true_ones_are_no_occurrences():
     at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
     src, which = pieces.occurrences(data, at, v)
     assert all(data.startswith(v.shapes[5][w], int(at[s])) for s, w in zip(src, which, strict=True))
+
+
+def test_text_without_blanks_encodes_as_in_the_library():
+    chinese = "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 40
+    thai = "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ" * 30
+    japanese = "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 40
+    mixed = "".join(LONG_WORDS) + chinese[:50] + "internationalization" * 20 + "ab" * 700 + "=" * 900 + "0123456789abcdef" * 60
+    texts = [chinese, thai, japanese, mixed, f"a {mixed} b", chinese.replace("。", " ")]
+    pieces.encoder(queries.MODEL).forget()
+    assert encoded(texts) == LIBRARY.encode(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aeint.=0人的在ไà"), min_size=40, max_size=200), min_size=1, max_size=4))
+def test_long_words_encode_as_in_the_library(texts):
+    assert encoded(texts) == LIBRARY.encode(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LONG_WORDS[:40] + ["s", "x", " ", "e", "ing"]), max_size=6).map("".join), min_size=1, max_size=6))
+def test_texts_of_long_pieces_encode_as_in_the_library(texts):
+    assert encoded(texts) == LIBRARY.encode(texts)
