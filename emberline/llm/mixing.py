@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberline.llm.common import WORD, materialize, small, text_of
+from emberline.llm.common import WORD, materialize, small
 
 HASH_BITS, LEVEL_BITS = 60, 12
 #: No source and no document is taken more often than this.
@@ -22,8 +22,15 @@ MOST = 3
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size in words, and the hash of the id, which md5 spreads evenly."""
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"), place.alias("h"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), place_of(F.col(doc_id)).alias("h"))
+
+
+def words_in(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def place_of(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -95,11 +102,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
-def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs as mixed: a document that is taken n times has n rows, one that is not taken has none."""
-    taken = mix(docs, doc_id, text, source).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    rows = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Column | None = None) -> DataFrame:
+    """docs as mixed, with all columns: a row that is taken n times comes n times, one that is not taken is left out.
+
+    The rows are those of mix(): each is looked up by its source and hash, so that rows which repeat an id, in one source or in
+    several, come as often as mix() says for each of them. A row without words is not taken. docs isn't shuffled unless
+    there are too many sources for a broadcast.
+    """
+    sized = materialize(sizes(docs, doc_id, text, source))
+    cuts, n = thresholds(sized, targets(sized, weights))
+    cuts = small(cuts.select(F.col("source").alias("_source"), "_times", "_upto"), n)
+    columns = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    at = {c: F.col(f"_c{i}") for i, c in enumerate(columns)}
+    times = F.col("_times") + F.when(place_of(at[doc_id]) <= F.col("_upto"), 1).otherwise(0)
+    rows = rows.join(cuts, at[source].eqNullSafe(F.col("_source"))).withColumn("_taken", F.when(words_in(at[text]) > 0, times).otherwise(0).cast("int")).where("_taken > 0")
+    return rows.withColumn("_taken", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*[at[c].alias(c) for c in columns])
 
 
 ORACLE = r"""

@@ -46,3 +46,25 @@ def test_documents_are_repeated_as_taken(spark, documents):
     got = mixing.take_mix(documents)
     assert got.columns == documents.columns
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {k: v for k, v in taken.items() if v}
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    schema = "doc_id long, text string, source string, _id string, _n int, _source string, _taken int, _c0 string, size int, h string"
+    rows = [(i % 7, "w " * (10 + i), "ab"[i % 2], "x", 1, "y", 2, "z", 3, "q") for i in range(40)] + [(None, "w w", None, None, None, None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, schema)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    taken = mixing.take_mix(docs)
+    assert taken.columns == docs.columns
+    for r in taken.collect():
+        n = len(r["text"].split())
+        got[r["doc_id"], r["source"], n] += n
+    assert dict(got) == {k: v for k, v in want.items() if v}
+
+
+def test_an_id_in_two_sources(docs):
+    rows = docs(*[(i, "w " * 10, "a") for i in range(20)], *[(i, "w " * 10, "b") for i in range(5)])
+    want = {(r["doc_id"], r["source"]): r["taken"] // 10 for r in mixing.mix(rows).collect()}
+    got = {(r["doc_id"], r["source"]): r["count"] for r in mixing.take_mix(rows).groupBy("doc_id", "source").count().collect()}
+    assert got == {k: v for k, v in want.items() if v}
