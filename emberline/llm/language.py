@@ -17,8 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from emberline.llm.common import as_bytes, map_columns, parts, text_of
+from emberline.llm.common import as_bytes, map_columns, materialize, parts, small, text_of
 
 LETTER = regex.compile(r"\p{L}")
 #: Number of hashed n-grams, of 1 to 3 bytes.
@@ -41,7 +42,9 @@ class Model:
 def counts(text: bytes) -> np.ndarray:
     """How often each hashed n-gram occurs in the whole text."""
     x = FOLD[np.frombuffer(text, np.uint8)].astype(np.uint32)
-    x = np.concatenate((np.array([32], np.uint32), x[(x != 32) | (np.roll(x, 1) != 32)], np.array([32], np.uint32)))
+    blank = np.array([32], np.uint32)
+    x = np.concatenate((blank, x, blank))
+    x = np.concatenate((blank, x[1:][(x[1:] != 32) | (x[:-1] != 32)]))  # of blanks in a row one
     total = np.zeros(DIM, np.int64)
     for n in ORDERS:
         code = x[: len(x) - n + 1].copy()
@@ -79,40 +82,50 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, clusters: int = 4, keep: float = 0.995) -> Model:
     """Learn from the rows whose id is usable and whose lang is not null.
 
-    The n-grams' document frequencies count all these rows. The centroids are fitted on
-    about per_language rows of each language (the documented bound of the sample: each row with a
-    chance of per_language in its language's rows, by the hash of its text, 2 * per_language rows at most).
+    The n-grams' document frequencies count all these rows. The centroids are fitted on at most per_language
+    different texts of each language (the documented bound of the sample), those of the least hash; so each language has a centroid, however many copies
+    one text has. A text is turned into n-gram counts before the texts of a language meet, so that a language's task holds
+    per_language vectors whatever the lengths.
     """
-    spark = docs.sparkSession
-    rows = docs.where(usable(doc_id) & F.col(lang).isNotNull()).select(text_of(text).alias("text"), F.col(lang).alias("lang"))
-    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not have:
-        return Model([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
+    rows = docs.where(usable(doc_id) & F.col(lang).isNotNull()).select(text_of(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text_of(text)).alias("h"))
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(DIM, np.int64)
+        n, many = np.zeros(DIM, np.int64), 0
         for batch in batches:
             for t in as_bytes(batch.column(0)):
                 n += counts(t) > 0
+            many += batch.num_rows
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1]), pa.array([*n[some].tolist(), many])], names=["k", "n"])
+
+    df, total = np.zeros(DIM, np.int64), 0
+    for r in rows.select("text").mapInArrow(documents_with, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # DIM + 1 rows at most
+        if r["k"] < 0:
+            total = r["n"]
+        else:
+            df[r["k"]] = r["n"]
+    if not total:
+        return Model([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
+    idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(0.05)
 
-    df = np.zeros(DIM, np.int64)
-    for r in rows.select("text").mapInArrow(documents_with, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # DIM rows at most
-        df[r["k"]] = r["n"]
-    idf = np.log((1 + sum(have.values())) / (1 + df)).astype(np.float32) + np.float32(0.05)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # Spark keeps per_language rows of a language in each task before it shuffles
+    picked = materialize(rows.select("lang", "h").distinct().withColumn("_k", place).where(F.col("_k") <= per_language).drop("_k"))
+    sample = rows.join(small(picked, picked.count()), ["lang", "h"], "left_semi")
 
-    chance = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, per_language / n)])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < chance[F.col("lang")] * 1_000_000)
+    def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [counts(t).astype("<i8").tobytes() for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], names=["lang", "h", "tf"])
 
     def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(set(rows["text"]))[: 2 * per_language]
-        x = vectors(count_rows([t.encode() for t in texts]), idf)
+        rows = rows.sort_values("h")
+        x = vectors(np.array([np.frombuffer(t, "<i8") for t in rows["tf"]]), idf)
         c = cluster(x, clusters)
         least = float(np.quantile((x @ c.T).max(axis=1), 1 - keep))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "least": least, "centroid": [v.tobytes() for v in c]})
 
-    got = picked.groupBy("lang").applyInPandas(fit_one, "lang string, least double, centroid binary").collect()  # clusters rows for each language
+    one = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = one.mapInArrow(vectorise, "lang string, h long, tf binary").groupBy("lang").applyInPandas(fit_one, "lang string, least double, centroid binary").collect()  # clusters rows for each language
     got.sort(key=lambda r: (r["lang"], r["centroid"]))
     names = sorted({r["lang"] for r in got})
     least = {r["lang"]: r["least"] for r in got}
@@ -120,7 +133,7 @@ def fit(docs: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id"
 
 
 def classify(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, cosine from 0 to 1, and whether it is rejected, of each text."""
+    """Language, cosine from 0 to 1, and whether it is rejected, of each text. Of equal cosines the language that is first by code point wins."""
     lettered = np.array([t is not None and LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -128,15 +141,15 @@ def classify(texts: list[bytes | None], model: Model) -> tuple[list[str], np.nda
     at = near.argmax(axis=1)
     owner = model.owners[at]
     score = np.where(lettered, np.clip(near[np.arange(len(texts)), at].astype(float), 0, 1), 0.0)
-    rejected = ~lettered | (score < model.least[owner])
+    rejected = ~lettered | (score < model.least[owner] - 1e-6)  # a sample row at the bound isn't rejected by rounding
     return [model.languages[i] if ok else "und" for i, ok in zip(owner, lettered, strict=True)], score, rejected
 
 
-def predict(docs: DataFrame, model: Model, carry: list[Column], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: list[Column], text: str = "text", strict: bool = False) -> DataFrame:
     """The carried columns, lang_pred, score and rejected.
 
     A text that is null or has no letter is `und` with score 0. Others get the nearest
-    language, be they rejected or not; a caller who wants `und` for far texts uses rejected.
+    language; if strict, those that are rejected as too far from it are `und` too.
     """
     kept = docs.select(*carry).schema
     names = [f.name for f in kept]
@@ -147,6 +160,7 @@ def predict(docs: DataFrame, model: Model, carry: list[Column], text: str = "tex
             for i in range(a, b, 256):
                 j = min(i + 256, b)
                 lang, score, rejected = classify(texts[i:j], model)
+                lang = ["und" if strict and far else x for x, far in zip(lang, rejected, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns[1:]], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

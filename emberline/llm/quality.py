@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_bytes, map_columns, parts
+from emberline.llm.common import as_bytes, materialize, parts
 
 #: Bytes of a filter (three pairs), of the grid on which chunks lie, of a chunk and between chunks.
 WIDTH, GRID, CHUNK, STRIDE = 6, 32, 256, 224
@@ -160,21 +160,23 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, rounds: int = 1
     return replace(made, combine=c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, most_bytes: int = 20_000) -> Network | None:
-    """Train on a bounded sample of labelled rows whose id is usable: about per_label rows of each label (by the hash of the id; 2 * per_label at most), of texts of at most most_bytes bytes.
+def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, windows: int = 64) -> Network | None:
+    """Train on a bounded sample of labelled rows whose id is usable.
 
-    Both bounds are for training only. None if there is no labelled row.
+    The sample has per_label ids of each label, those of the least hash, at every size of the table. A document takes part whatever
+    its length: of one of over windows * CHUNK characters, so many evenly spaced windows from its start to its end are taken. Both bounds are for
+    training only. A label above 0 is 1; of several labels of an id the highest counts, of several texts of an id the
+    least. None if there is no labelled row with a text.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_y"))
-    marked = marked.where(usable("_id"))
-    have = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}  # two rows
-    if not have:
-        return None
-    chance = F.when(F.col("_y") == 1, per_label / have.get(1, 1)).otherwise(per_label / have.get(0, 1))
-    picked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < chance * 1_000_000).limit(4 * per_label)  # proves the bound of the broadcast
-    short = docs.where(F.octet_length(text) <= most_bytes).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    got = short.join(F.broadcast(picked), "_id").select("_id", "_y", "_text").limit(4 * per_label).collect()  # a bounded sample
-    got = sorted({(r["_id"], r["_text"], r["_y"]) for r in got})
+    marked = marked.where(usable("_id")).withColumn("_h", F.xxhash64("_id"))
+    picked = materialize(marked.where("_y = 1").orderBy("_h", "_id").limit(per_label).union(marked.where("_y = 0").orderBy("_h", "_id").limit(per_label)))  # bounded: may be broadcast
+    most = windows * CHUNK
+    spread = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring("_text", F.floor(i * (F.char_length("_text") - CHUNK) / (windows - 1)).cast("int") + 1, F.lit(CHUNK))))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(picked), "_id")
+    texts = texts.select("_id", "_y", F.when(F.char_length("_text") > most, spread).otherwise(F.col("_text")).alias("_text"))
+    got = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()  # 2 * per_label rows of a bounded length
+    got = sorted((r["_id"], r["_text"], r["_y"]) for r in got)
     if not got:
         return None
     return train([x.encode() for _, x, _ in got], np.array([y for _, _, y in got], float))
@@ -200,7 +202,7 @@ def score_rows(docs: DataFrame, net: Network | None, carry: list[Column], text:
 def quality(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.5) of each row.
 
-    Empty and null texts are scored like any other. Repeated rows get equal scores. Other
+    Without labels all scores are 0.5. Empty and null texts are scored like any other. Repeated rows get equal scores. Other
     columns are neither read nor returned. An empty table gives no rows.
     """
     net = fit(docs, labels, usable, doc_id, text)
@@ -209,7 +211,7 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column],
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs with a score of at least `least`, with all their columns."""
+    """The rows of docs with a score of at least `least`, with all their columns. Without labels nothing is rejected."""
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
     where = {c: f"_{i}" for i, c in enumerate(columns)}

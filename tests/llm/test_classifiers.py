@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,64 @@ def test_quality_of_odd_rows(odd, net):
     assert len({r["score"] for r in got if r["doc_id"] == 5}) == 1
     assert {r["score"] for r in quality.score_rows(odd, None, [F.col("doc_id")]).collect()} == {0.5}
     assert quality.score_rows(odd.where(F.lit(False)), net, [F.col("doc_id")]).count() == 0
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_quality_without_labels_and_with_odd_labels(spark, odd, docs):
+    none = spark.createDataFrame([], LABELS)
+    got = quality.quality(odd, none, queries.learnable, is_held_out()).collect()
+    assert len(got) == 10 and {(r["score"], r["predicted"]) for r in got} == {(0.5, 1)}
+    assert quality.drop_rejected(odd, none, queries.learnable).count() == 10
+    blank = spark.createDataFrame([(None, 1, 0), (5, None, 0), (99, 1, 1)], LABELS)
+    assert quality.fit(odd, blank, queries.learnable) is None
+    clash = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (6, 0, 0), (7, 0, 1), (8, 1, 1)], LABELS)
+    a, b = (quality.quality(odd, clash, lambda c: F.lit(True), is_held_out()).collect() for _ in range(2))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len({r["score"] for r in a if r["doc_id"] == 5}) == 1
+    assert quality.drop_rejected(odd, clash, lambda c: F.lit(True)).columns == odd.columns
+
+
+def test_long_documents_take_part_in_training(docs, spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append((texts, labels)))
+    rows = docs((1, "a" * 300_000 + "z" * 300_000), (2, "short"), *[(3, "copy")] * 50, (4, "bad"))
+    quality.fit(rows, spark.createDataFrame([(i, int(i < 4), 0) for i in range(1, 5)], LABELS), lambda c: F.lit(True), per_label=3)
+    (texts, labels), = seen
+    assert len(texts) == 4 and labels.tolist() == [1, 1, 1, 0]
+    assert len(texts[0]) == 64 * quality.CHUNK and texts[0][:1] == b"a" and texts[0][-1:] == b"z" and 0.4 < texts[0].count(b"a") / len(texts[0]) < 0.6
+
+
+def slow_cosines(text: str, model: language.Model) -> list[float]:
+    """By dictionaries: letters folded, n-grams of 1 to 3 bytes counted, weighted, and compared with each centroid."""
+    folded = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+    squeezed = re.sub(b" +", b" ", b" " + folded + b" ")
+    tf: dict[int, int] = {}
+    for n in (1, 2, 3):
+        for i in range(len(squeezed) - n + 1):
+            k = ((int.from_bytes(squeezed[i : i + n], "big") + n) * 2654435761 % 2**32) >> 20
+            tf[k] = tf.get(k, 0) + 1
+    x = {k: float(np.log1p(v) * model.idf[k]) for k, v in tf.items()}
+    size = sum(v * v for v in x.values()) ** 0.5
+    return [sum(v * float(c[k]) for k, v in x.items()) / size for c in model.centroids]
+
+
+def test_predictions_against_brute_force(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.fit(docs, queries.learnable, per_language=20)
+    got = {r["doc_id"]: r for r in language.predict(docs, model, [F.col("doc_id")]).collect()}
+    for r in docs.where("length(text) < 1500").limit(25).collect():
+        near = slow_cosines(r["text"], model)
+        assert got[r["doc_id"]]["score"] == pytest.approx(max(near), abs=1e-3)
+        best = {model.languages[model.owners[i]] for i, v in enumerate(near) if v > max(near) - 1e-3}
+        assert got[r["doc_id"]]["lang_pred"] in best
+
+
+def test_languages_with_many_copies_ties_and_rejection(spark, docs):
+    rows = docs(*[(i, "the same english text again") for i in range(200)], (900, "der gleiche deutsche text"), (901, "the other")).withColumn("lang", F.when(F.col("doc_id") == 900, "de").otherwise("en"))
+    model = language.fit(rows, lambda c: F.lit(True), per_language=5)
+    assert model.languages == ["de", "en"] and len(model.centroids) == 3
+    twin = language.Model(["a", "b"], model.idf, np.repeat(model.centroids[:1], 2, axis=0), np.array([0, 1]), np.array([0.0, 0.0]))
+    assert language.classify([b"der text"], twin)[0] == ["a"]
+    far = docs((1, "\u6f22\u5b57"), (2, "the same english text again"))
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(far, model, [F.col("doc_id")], strict=True).collect()} == {1: "und", 2: "en"}
