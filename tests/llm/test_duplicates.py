@@ -90,10 +90,10 @@ def test_exact_of_odd_rows(odd):
     assert {(r["keep_id"], r["group_size"]) for r in empty} == {(3, 4)}  # the longest original text
     hello = [r for r in got if r["text_sha256"] == hashlib.sha256(b"Helloworldagain").hexdigest()]
     assert {(r["keep_id"], r["group_size"]) for r in hello} == {(5, 3)}
-    assert sorted(r["kept"] for r in hello) == [False, True, True]
+    assert sorted(r["kept"] for r in hello) == [False, False, True]
     assert exact_dedup.exact_groups(odd.where(F.lit(False))).count() == 0
     kept = exact_dedup.drop_exact_copies(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 5, 6, 7, 8]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 7, 8]
 
 
 def test_ties_go_to_the_smallest_id(docs):
@@ -107,3 +107,11 @@ def test_texts_that_share_a_digest_stay_apart(docs):
     rows = docs((1, "aa"), (2, "bb"), (3, "a a"), (4, "ccc"), (5, "b b"))
     got = exact_dedup.exact_groups(rows, digest=lambda norm: F.char_length(norm).cast("string")).collect()
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {1: (3, 2), 3: (3, 2), 2: (5, 2), 5: (5, 2), 4: (4, 1)}
+
+
+def test_each_group_keeps_one_row(docs):
+    rows = docs((1, "a b"), (1, "ab"), (1, "a b"), (None, "lone"), (None, "lone"), (None, "l one"), (2, "x"), (2, "y"))
+    got = [(r["doc_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(rows).collect()]
+    assert sorted(x for x in got if x[2] and x[0]) == [(1, 3, True), (2, 1, True), (2, 1, True)] and sum(x[2] for x in got if x[0] is None) == 1
+    kept = exact_dedup.drop_exact_copies(rows).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "a b"), ("2", "x"), ("2", "y"), ("None", "l one")]
