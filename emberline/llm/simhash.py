@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberline.llm import similar
-from emberline.llm.common import as_bytes, map_columns, materialize, one_of_each
+from emberline.llm.common import as_bytes, map_columns, materialize, small
 from emberline.llm.graph import components
 from emberline.llm.shingles import fingerprints, hashes
 
@@ -71,10 +71,10 @@ def fingerprint_groups(docs: DataFrame, doc_id: str, text: str, radius: int, wid
 def similar_groups(docs: DataFrame, doc_id: str, text: str, radius: int, width: int, similarity: float) -> DataFrame:
     """doc_id, fp, root (a hash that a group shares) and text_hash of each row, linked by similarity."""
     s = similar.Search(docs, doc_id, text, width, Fraction(similarity).limit_denominator(1000))
-    by_print = s.points.groupBy("fp").agg(F.min("node").alias("first"))
+    by_print = s.places.groupBy("fp").agg(F.min("node").alias("first"))
     u, v = (by_print.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "uv")
-    near = links(s.points.select("fp").distinct(), radius).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    same = s.points.join(by_print, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(s.places.select("fp").distinct(), radius).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    same = s.places.join(by_print, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     return similar.rooted(s.prints, s.complete(s.verified(near.union(same))))
 
 
@@ -100,13 +100,25 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group that near_groups finds by similarity, with all its columns: that of the smallest id.
 
-    Of rows that repeat the smallest id, and of a group without any id, one row stays too, see one_of_each. docs is read
+    Of rows that repeat the smallest id, and of a group without any id, the one whose columns have the least hash. docs is read
     several times and must give the same texts each time.
     """
-    groups = materialize(similar_groups(docs, doc_id, text, radius, width, similarity).select("root", F.col("doc_id").alias("_id"), "text_hash"))
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash")).alias("_k")).select("root", F.col("_k._id").alias("_id"), F.col("_k.text_hash").alias("_t"))
+    key = ["_id", "_t"]
+    groups = materialize(similar_groups(docs, doc_id, text, radius, width, similarity).select("root", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), *key)).alias("_k"))
+    stays = F.col("_id").eqNullSafe(F.col("_k._id")) & (F.col("_t") == F.col("_k._t"))
+    told = materialize(groups.join(best, "root").groupBy(*key).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1"))
+    gone, again = told.where("not _stays").select(*key), told.where("_stays").select(*key)
+
     columns = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
     at = {c: rows[f"_c{i}"] for i, c in enumerate(columns)}
-    rows = rows.join(keep, similar.text_hash(at[text]).eqNullSafe(F.col("_t")) & at[doc_id].eqNullSafe(F.col("_id")))
-    return one_of_each(rows, F.col("root"), [f"_c{i}" for i in range(len(columns))]).toDF(*columns)
+    same = similar.text_hash(at[text]).eqNullSafe(F.col("_t")) & at[doc_id].eqNullSafe(F.col("_id"))
+    n, m = gone.count(), again.count()
+    kept = rows.join(small(gone, n, similar.NODES), same, "left_anti")
+    if m:  # rows that repeat an id and a text
+        twice = kept.join(small(again, m, similar.NODES), same)
+        held = rows.columns
+        first = twice.groupBy(*key).agg(F.min_by(F.struct(*held), F.xxhash64(*held)).alias("_row")).select("_row.*")
+        kept = kept.join(small(again, m, similar.NODES), same, "left_anti").unionByName(first)
+    return kept.toDF(*columns)

@@ -4,8 +4,9 @@ Shingles are ordered, common ones last (by a table of counts over all documents;
 sets of similarity 0.8 share a shingle within the first fifth of both, their prefixes, so that only
 texts that share a bucket (a shingle of their prefixes) can be linked. A bucket is first compared with one centre, in a
 few rounds with other centres, and then only texts that aren't connected yet, so
-that a large group of near copies doesn't cost all its pairs. A pair's prefixes are compared before its sets
-are. Sets are known by a 64-bit hash; equal sets are one node.
+that a large group of near copies doesn't cost all its pairs. The first centre is the set most of whose prefix others
+share, which is the common original where there is one. A pair's prefixes are compared before its sets
+are. Sets are known by a 64-bit hash, their key; equal sets are one node.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from emberline.llm.common import as_bytes, map_columns, materialize, parts, smal
 from emberline.llm.graph import components
 from emberline.llm.shingles import SEED, fingerprints, hashes
 
-#: Counters of shingles, and the slices in which tasks send them.
-SLOTS, SLICES = 1 << 20, 64
+#: Counters of shingles, the slices in which tasks send them, and the bits of a shingle's hash by which buckets are formed (the rest decides nothing there: sets are compared whole).
+SLOTS, SLICES, BITS = 1 << 20, 64, 48
 #: Rounds with a centre for each bucket; bytes of text that a task hashes at once; rows of a number or two that may be broadcast.
-ROUNDS, AT_ONCE, NODES = 3, 1 << 22, 500_000
+ROUNDS, AT_ONCE, NODES = 1, 1 << 22, 500_000
 
 
 def text_hash(text: Column) -> Column:
@@ -70,27 +71,39 @@ def lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
-def node_of(s: np.ndarray) -> int:
+def key_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
-def print_table(docs: DataFrame, doc_id: str, text: str, width: int, share: Fraction) -> DataFrame:
-    """doc_id, text_hash, fp, node, n (shingles) and prefix of each row."""
-    common = commonness(docs, text, width)
+def keys_of(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([key_of(s) for s in sets], np.uint64).view(np.int64))
+
+
+def print_table(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """doc_id, text_hash, fp and key of each row."""
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    names = ["doc_id", "text_hash", "fp", "node", "n", "prefix"]
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = as_bytes(batch.column(2))
         for a, b in parts(texts, AT_ONCE):
             every = [hashes(t, width) for t in texts[a:b]]
-            sets = [np.unique(h.view(np.int64)) for h in every]
-            first = [s[np.argsort(common[slot(s)], kind="stable")[: len(s) - needed(len(s), share) + 1]] if len(s) else s for s in sets]
-            nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(fingerprints(every, len(every))), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), lists(first)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(fingerprints(every, len(every))), keys_of([np.unique(h.view(np.int64)) for h in every])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "key"])
+
+    return map_columns(docs, [F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text")], f"doc_id {kind}, text_hash long, fp long, key long", step)
+
+
+def prefix_table(docs: DataFrame, text: str, width: int, share: Fraction, common: np.ndarray) -> DataFrame:
+    """key, n (shingles) and prefix of each row's set, by the order of commonness()."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = as_bytes(batch.column(0))
+        for a, b in parts(texts, AT_ONCE):
+            sets = [np.unique(hashes(t, width).view(np.int64)) for t in texts[a:b]]
+            first = [s[np.argsort(common[slot(s)], kind="stable")[: len(s) - needed(len(s), share) + 1]] & ((1 << BITS) - 1) if len(s) else s for s in sets]
+            yield pa.RecordBatch.from_arrays([keys_of(sets), pa.array([len(s) for s in sets], pa.int32()), lists(first)], names=["key", "n", "prefix"])
 
-    return map_columns(docs, [F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text")], f"doc_id {kind}, text_hash long, fp long, node long, n int, prefix array<long>", step)
+    return map_columns(docs, [F.col(text)], "key long, n int, prefix array<long>", step)
 
 
 def needed(n: int | Column, share: Fraction) -> int | Column:
@@ -102,17 +115,32 @@ def needed(n: int | Column, share: Fraction) -> int | Column:
 def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("node"))
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(small(roots, roots.count(), NODES), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 class Search:
-    """The search for all links of one table. prints: a row for each row; points: a row for each distinct set."""
+    """The search for all links of one table. prints: doc_id, text_hash, fp and node of each row; points: a row for each distinct set."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, share: Fraction) -> None:
         self.docs, self.text, self.width, self.share = docs, text, width, share
-        rows = materialize(print_table(docs, doc_id, text, width, share))
-        self.points = materialize(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
-        self.prints = rows.select("doc_id", "text_hash", "fp", "node")
+        rows = materialize(print_table(docs, doc_id, text, width))
+        self.points = materialize(self.distinct_sets(rows).withColumn("node", F.monotonically_increasing_id()))
+        placed = rows.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp")).join(self.points.select("key", "node", "n"), "key")
+        self.places = materialize(placed)
+        self.prints = rows.join(self.places.select("key", "node"), "key").drop("key")
+
+    def distinct_sets(self, rows: DataFrame) -> DataFrame:
+        """key, n and prefix of each distinct set. Only sets that several rows have are shuffled, unless their texts are too many for a broadcast."""
+        common = commonness(self.docs, self.text, self.width)
+        again = rows.groupBy("key").count().where("count > 1").select("key")
+        texts = materialize(rows.join(again, "key", "left_semi").select("text_hash").distinct())
+        n = texts.count()
+        one = lambda docs: prefix_table(docs, self.text, self.width, self.share, common).groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        if n > NODES:
+            return one(self.docs)
+        named = self.docs.select(text_hash(F.col(self.text)).alias("text_hash"), F.col(self.text))
+        alone = prefix_table(named.join(small(texts, n, NODES), "text_hash", "left_anti"), self.text, self.width, self.share, common)
+        return alone.unionByName(one(named.join(small(texts, n, NODES), "text_hash", "left_semi"))) if n else alone
 
     def reaches(self, both: Column, n: Column, m: Column) -> Column:
         """Whether sets of n and m shingles with `both` in common are as similar."""
@@ -130,18 +158,18 @@ class Search:
         """node and set of these nodes, from one text of each."""
         width = self.width
         nodes = materialize(nodes.distinct())
-        wanted = small(nodes, nodes.count(), NODES)
-        hashed = materialize(self.points.join(wanted, "node", "left_semi").select("text_hash"))
+        wanted = materialize(self.places.join(small(nodes, nodes.count(), NODES), "node", "left_semi").select("key", "node", "text_hash"))
+        n = wanted.count()
         texts = self.docs.select(text_hash(F.col(self.text)).alias("text_hash"), F.col(self.text).alias("text"))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = as_bytes(batch.column(0))
             for a, b in parts(texts, AT_ONCE):
                 sets = [np.unique(hashes(t, width).view(np.int64)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), lists(sets)], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([keys_of(sets), lists(sets)], names=["key", "set"])
 
-        made = map_columns(texts.join(small(hashed, hashed.count(), NODES), "text_hash", "left_semi"), [F.col("text")], "node long, set array<long>", step)
-        return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        made = map_columns(texts.join(small(wanted.select("text_hash"), n, NODES), "text_hash", "left_semi"), [F.col("text")], "key long, set array<long>", step)
+        return materialize(made.join(small(wanted.select("key", "node"), n, NODES), "key").select("node", "set").dropDuplicates(["node"]))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of nodes u, v that are similar, as links. Prefixes are compared first; only sets of pairs that pass are made and moved."""
@@ -164,10 +192,12 @@ class Search:
         return materialize(both.where(self.reaches(F.size(F.array_intersect("_set_u", "_set_v")), F.size("_set_u"), F.size("_set_v"))).select("u", "v"))
 
     def buckets(self) -> DataFrame:
-        """h, node, n: the shingles of prefixes that several nodes have."""
-        first = self.points.select("node", "n", F.explode("prefix").alias("h"))
+        """h, node, n and lone: the shingles of prefixes that several nodes have; lone is the share of the node's prefix that no other has."""
+        first = self.points.select("node", F.explode("prefix").alias("h"))
         shared = first.groupBy("h").count().where("count > 1").select("h")
-        return materialize(first.join(shared, "h").select("h", "node", "n"))
+        met = materialize(first.join(shared, "h").select("h", "node"))
+        held = met.groupBy("node").count().join(self.points.select("node", "n", F.size("prefix").alias("_p")), "node").select("node", "n", (1 - F.col("count") / F.col("_p")).cast("float").alias("lone"))
+        return materialize(met.join(small(held, self.points.count(), NODES), "node"))
 
     def complete(self, links: DataFrame) -> DataFrame:
         """node and root, for every node that isn't the smallest of those it is connected with; links has links that are known."""
@@ -175,7 +205,8 @@ class Search:
         roots = materialize(components(links)) if not links.isEmpty() else None
         for k in range(ROUNDS + 1):
             rows = rooted(met, roots)
-            centres = rows.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("_c"))
+            place = F.struct(F.col("lone") if k == 0 else F.lit(0), F.xxhash64("node", F.lit(k)))
+            centres = rows.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), place).alias("_c"))
             rows = rows.join(centres.select("h", F.col("_c.node").alias("c"), F.col("_c.n").alias("c_n"), F.col("_c.root").alias("c_root")), "h")
             apart = rows.where("root != c_root")
             n, m = F.col("n"), F.col("m")

@@ -40,7 +40,7 @@ def test_near_copies_against_brute_force(spark):
     assert {r["doc_id"] for r in corpus_pipeline.no_near_copies(spark, docs, SF).collect()} == want
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+@pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_a_large_group_and_clean_documents(docs, monkeypatch, rounds):
     monkeypatch.setattr(similar, "ROUNDS", rounds)
     base = [f"word{i}" for i in range(80)]
@@ -80,3 +80,8 @@ def test_text_ids(spark):
     rows = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "other words here")], "doc_id string, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_groups(rows).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(rows).collect()) == ["a", "c"]
+
+
+def test_beyond_the_bounds_of_broadcasts(docs, odd, monkeypatch):
+    monkeypatch.setattr(similar, "NODES", 0)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(odd).collect()) == [1, 5, 6, 7, 8]
