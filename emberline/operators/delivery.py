@@ -43,6 +43,18 @@ def latest_state(rows: DataFrame) -> DataFrame:
     return out.select("symbol", F.concat(F.lit("ALERT:"), F.upper("key")).alias("state_key"), F.when(F.col("_on"), "ACTIVE").otherwise("INACTIVE").alias("state"), "t")
 
 
+def upsert_state(stored: DataFrame, updates: DataFrame, deletes: DataFrame, now: int) -> DataFrame:
+    """The key-value table after a batch: symbol, state_key, value, written, ttl.
+
+    Of a key's stored and new values the one written last counts (then the larger value); writing starts its ttl (seconds) anew. Keys in
+    deletes (symbol, state_key) go, even if the batch writes them too, and so does what has expired at the time `now`.
+    """
+    names = ["symbol", "state_key", "value", "written", "ttl"]
+    rows = stored.select(*names).unionByName(updates.select(*names)).groupBy("symbol", "state_key").agg(F.max(F.struct("written", "value", "ttl")).alias("_last"))
+    rows = rows.select("symbol", "state_key", "_last.value", "_last.written", "_last.ttl").where(F.col("written") + F.col("ttl") > now)
+    return rows.join(deletes.select("symbol", "state_key").distinct(), ["symbol", "state_key"], "left_anti")
+
+
 def read_state(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """For each wanted key whether its stored JSON says ACTIVE; a missing key and bad JSON say no."""
     out = wanted.join(stored, ["symbol", "state_key"], "left")

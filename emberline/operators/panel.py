@@ -60,9 +60,9 @@ def blocked(df: DataFrame, size: int, halo: int) -> DataFrame:
     return df.withColumn("block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("halo", F.col("block") > own)
 
 
-def over_blocks(df: DataFrame, columns: dict[str, Column], size: int = 4096, halo: int = 512) -> DataFrame:
-    """df (with symbol, rn) with columns that are window expressions over `frame`; no frame may look back farther than halo."""
-    return blocked(df, size, halo).withColumns(columns).where(~F.col("halo")).drop("block", "halo")
+def over_blocks(df: DataFrame, columns: dict[str, Column], longest: int, size: int = 4096) -> DataFrame:
+    """df (with symbol, rn) with columns that are window expressions over `frame`, of at most `longest` rows. Blocks are eight times as long at least."""
+    return blocked(df, max(size, 8 * longest), longest).withColumns(columns).where(~F.col("halo")).drop("block", "halo")
 
 
 def frame(rows: int) -> Window:

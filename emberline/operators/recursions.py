@@ -1,218 +1,215 @@
 """Recursive filters over blocks of series.
 
 Each block starts a halo of rows early, from an arbitrary state. Linear filters forget
-it: after 8192 rows even a period of 200 has less of it than a double can hold. Filters that hold a
-level (range filter, worm) forget it once two runs, from the lowest and the highest price, have met; a
-block where they haven't met by the end of its halo is marked, and its series is run again in one piece.
+it: the halo is so long that less of it is left than a double can hold. Filters that hold a
+level (range filter, worm) forget it once two runs, from below and from above all prices, have met; a
+block where they haven't met by the end of its halo is marked, and its series is run again in one piece. A task computes its
+blocks together, see scans.py.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.panel import blocked
+from emberline.operators.scans import FAR, Series, affine, clamped, followed
 from emberline.params import DEFAULT, Params
 from emberline.storage import materialize
 
-BLOCK, HALO = 1 << 16, 1 << 13
+#: Rows of a block and of its halo at least; rows that a task computes together, and that it sends at once.
+BLOCK, HALO, AT_ONCE, OUT = 1 << 16, 1 << 13, 1 << 18, 1 << 15
 NAN = float("nan")
-
-
-def ema(x: list[float], alpha: float) -> list[float]:
-    """Seeded by the first value; a missing value holds."""
-    y, out = NAN, []
-    keep = 1.0 - alpha
-    for v in x:
-        if y != y:
-            y = v
-        elif v == v:
-            y = alpha * v + keep * y
-        out.append(y)
-    return out
+KEEP = ["symbol", "t", "rn", "open", "high", "low", "close", "volume"]
 
 
 def by_period(period: float) -> float:
     return 2.0 / (period + 1.0) if period > 1.0 else period
 
 
-def rma(x: list[float], period: int, begins: bool = True) -> list[float]:
-    """Wilder's average, seeded by the mean of the first `period` values, which all of these get. Shorter series are seeded by the first value."""
-    first = next((i for i, v in enumerate(x) if v == v), None)
-    if first is None:
-        return [NAN] * len(x)
-    if not begins or first + period > len(x):
-        return ema(x, 1.0 / period)
-    some = [v for v in x[first : first + period] if v == v]
-    seed = sum(some) / len(some)
-    return [NAN] * first + [seed] * (period - 1) + ema([seed, *x[first + period :]], 1.0 / period)
+def halo_of(p: Params) -> int:
+    """Rows after which the slowest filter has less than 1e-16 of its first state, and no rolling window reaches back farther."""
+    slowest = max(p.rma_short, p.rma_long, p.rsi_len, p.atr_short, p.atr_long, max(p.ppo_slow, p.ppo_signal, p.srsi_ema, 2 * p.cloud[0], 2 * p.cloud[2]) / 2 + 1)
+    return max(HALO, int(np.ceil(37 * slowest)) + 3 * p.mmh_period + p.mmh_std)
 
 
-def rsi(close: list[float], period: int, begins: bool = True) -> list[float]:
+def ema(s: Series, x: np.ndarray, alpha: float) -> np.ndarray:
+    """Seeded by the first value; a missing value holds."""
+    ok = ~np.isnan(x)
+    first = s.place == s.first_valid(x)[s.owner]
+    y = affine(s, np.where(first, 0.0, np.where(ok, 1.0 - alpha, 1.0)), np.where(first, x, np.where(ok, alpha * x, 0.0)))
+    y[s.place < s.first_valid(x)[s.owner]] = NAN
+    return y
+
+
+def rma(s: Series, x: np.ndarray, period: int, begins: np.ndarray) -> np.ndarray:
+    """Wilder's average, seeded by the mean of the first `period` values, which all of these get. Shorter series, and those that don't begin here, are seeded by the first value."""
+    first, ok, alpha = s.first_valid(x), ~np.isnan(x), 1.0 / period
+    seeded = begins & (first + period <= s.sizes)
+    place = s.place - first[s.owner]  # from the first value on
+    warm = seeded[s.owner] & (place >= 0) & (place < period)
+    n = np.add.reduceat(np.where(warm & ok, 1.0, 0.0), s.starts) if s.n else np.zeros(0)
+    seed = (np.add.reduceat(np.where(warm & ok, x, 0.0), s.starts) if s.n else np.zeros(0)) / np.maximum(n, 1.0)
+    seed = seed[s.owner]
+    start = place == np.where(seeded, period - 1, 0)[s.owner]
+    y = affine(s, np.where(start, 0.0, np.where(ok, 1.0 - alpha, 1.0)), np.where(start, np.where(seeded[s.owner], seed, x), np.where(ok, alpha * x, 0.0)))
+    y = np.where(warm, seed, y)
+    y[place < 0] = NAN
+    return y
+
+
+def rsi(s: Series, close: np.ndarray, period: int, begins: np.ndarray) -> np.ndarray:
     """50 until `period` changes are known. The average starts at bar `period`, whose change is also in the seed."""
-    n = len(close)
-    out = [50.0] * n
-    if begins and n <= period:
-        return out
-    gains, losses, last = [0.0] * n, [0.0] * n, NAN
-    for i, c in enumerate(close):
-        if c == c:
-            if last == last:
-                d = c - last
-                gains[i], losses[i] = max(d, 0.0), max(-d, 0.0)
-            last = c
-    start = period if begins else 1
-    g, lo = (sum(gains[1 : period + 1]) / period, sum(losses[1 : period + 1]) / period) if begins else (0.0, 0.0)
-    for i in range(start, n):
-        g, lo = (g * (period - 1) + gains[i]) / period, (lo * (period - 1) + losses[i]) / period
-        out[i] = (100.0 if g > 0 else 50.0) if lo == 0 else 100.0 - 100.0 / (1.0 + g / lo)
-    return out
-
-
-def kalman(x: list[float], length: int, r: float, q: float) -> list[float]:
+    ok = ~np.isnan(close)
+    held = s.last_place(ok)
+    known = s.place > 0
+    before = np.concatenate(([-1], held[:-1]))
+    known &= ok & (before >= 0)
+    change = np.where(known, close - close[np.maximum(before, 0)], 0.0)
+    from_start = begins[s.owner]
+    seeds, out = [], []
+    for part in (np.maximum(change, 0.0), np.maximum(-change, 0.0)):
+        total = np.add.reduceat(np.where((s.place >= 1) & (s.place <= period), part, 0.0), s.starts) if s.n else np.zeros(0)
+        seeds.append(np.where(begins, total / period, 0.0)[s.owner])
+    start = s.place == np.where(begins, period - 1, 0)[s.owner]
+    for part, seed in zip((np.maximum(change, 0.0), np.maximum(-change, 0.0)), seeds, strict=True):
+        out.append(affine(s, np.where(start, 0.0, (period - 1.0) / period), np.where(start, seed, part / period)))
+    g, lo = out
+    value = np.where(lo == 0, np.where(g > 0, 100.0, 50.0), 100.0 - 100.0 / (1.0 + g / np.where(lo == 0, 1.0, lo)))
+    short = from_start & ((s.place < period) | (s.sizes <= period)[s.owner]) | (~from_start & (s.place < 1))
+    return np.where(short, 50.0, value)
+
+
+def kalman(s: Series, x: np.ndarray, length: int, r: float, q: float) -> np.ndarray:
+    """The gain depends on the number of values so far only."""
     length = max(length, 1)
     noise, drift = r * length, q / length
-    y, e, out = NAN, 1.0, []
-    for v in x:
-        if y != y:
-            y = v
-        if v == v and y == y:
-            k = e / (e + noise)
-            y += k * (v - y)
-            e = (1.0 - k) * e + drift
-        out.append(y)
-    return out
-
-
-def smooth_range(close: list[float], period: int, factor: float) -> list[float]:
-    d = [0.0] + [abs(b - a) for a, b in zip(close, close[1:], strict=False)]
-    return [v * factor for v in ema(ema(d, by_period(period)), by_period(2 * period - 1))]
-
-
-def range_filter(x: list[float], r: list[float], start: float | None = None) -> list[float]:
-    """Holds its level while the price is within r of it, else follows at that distance."""
-    y = (x[0] if x[0] == x[0] else 0.0) if start is None else start
-    out = []
-    for i, (v, w) in enumerate(zip(x, r, strict=True)):
-        if (i or start is not None) and v == v and w == w:
-            y = min(max(y, v - w), v + w)
-        out.append(y)
-    return out
-
-
-def worm(x: list[float], sd: list[float], start: float | None = None) -> list[float]:
-    """Follows the price by at most sd a step."""
-    y, out = x[0] if start is None else start, []
-    for i, (v, s) in enumerate(zip(x, sd, strict=True)):
-        if i or start is not None:
-            d = v - y
-            y += math.copysign(s, d) if abs(d) > s else d
-        out.append(y)
-    return out
-
-
-def held_value(t: list[float]) -> list[float]:
+    ok = ~np.isnan(x)
+    count = affine(s, np.where(s.place == 0, 0.0, 1.0), ok.astype(float)).astype(np.int64)
+    e, gains = 1.0, [0.0]
+    for _ in range(min(int(count.max(initial=0)), 4096)):
+        gains.append(e / (e + noise))
+        e = (1.0 - gains[-1]) * e + drift
+    k = np.array(gains)[np.minimum(count, len(gains) - 1)]
+    first = ok & (count == 1)
+    y = affine(s, np.where(first, 0.0, np.where(ok, 1.0 - k, 1.0)), np.where(first, x, np.where(ok, k * x, 0.0)))
+    y[count == 0] = NAN
+    return y
+
+
+def smooth_range(s: Series, close: np.ndarray, period: int, factor: float) -> np.ndarray:
+    d = np.where(s.place == 0, 0.0, np.abs(close - s.lag(close, 1)))
+    return ema(s, ema(s, d, by_period(period)), by_period(2 * period - 1)) * factor
+
+
+def range_filter(s: Series, x: np.ndarray, r: np.ndarray, begins: np.ndarray, *starts: np.ndarray) -> list[np.ndarray]:
+    """Holds its level while the price is within r of it, else follows at that distance. A series that begins here starts at its first price, others at each of the given levels."""
+    ok = ~(np.isnan(x) | np.isnan(r)) & ~((s.place == 0) & begins[s.owner])
+    first = np.nan_to_num(s.at_starts(x))
+    one, zero = np.ones(s.n), np.zeros(s.n)
+    return clamped(s, one, zero, np.where(ok, x - r, -FAR), np.where(ok, x + r, FAR), *[np.where(begins, first, y) for y in starts])
+
+
+def worm(s: Series, x: np.ndarray, sd: np.ndarray, begins: np.ndarray, *starts: np.ndarray) -> list[np.ndarray]:
+    """Follows the price by at most sd a step; starts as in range_filter."""
+    into = [np.where(begins, s.at_starts(x), y) for y in starts]
+    least, most = np.minimum.reduceat(x, s.starts), np.maximum.reduceat(x, s.starts)
+    for y in into:
+        least, most = np.minimum(least, y), np.maximum(most, y)
+    return followed(s, x, sd, least, most, *into)
+
+
+def held_value(s: Series, t: np.ndarray) -> np.ndarray:
     """t - 0.5 + half the value before, within 0.9999; a missing t is missing, and counts as 0 for the next."""
-    y, out = 0.0, []
-    for v in t:
-        if v != v:
-            y = 0.0
-            out.append(NAN)
-        else:
-            y = min(max(v - 0.5 + 0.5 * y, -0.9999), 0.9999)
-            out.append(y)
-    return out
-
-
-def half_sum(x: list[float]) -> list[float]:
-    """x + half the value before; missing values as in held_value."""
-    y, out = 0.0, []
-    for v in x:
-        y = v + 0.5 * y if v == v else 0.0
-        out.append(y if v == v else NAN)
-    return out
+    ok = ~np.isnan(t)
+    (y,) = clamped(s, np.where(ok, 0.5, 0.0), np.where(ok, t - 0.5, 0.0), np.where(ok, -0.9999, -FAR), np.where(ok, 0.9999, FAR), np.zeros(len(s.starts)))
+    return np.where(ok, y, NAN)
 
 
-def rolling(x: np.ndarray, period: int, of: Callable[..., np.ndarray], empty: float = NAN) -> np.ndarray:
-    """of over the last `period` values, `empty` before there are as many."""
-    out = np.full(len(x), empty)
-    if len(x) >= period:
-        out[period - 1 :] = of(sliding_window_view(x, period), axis=1)
-    return out
+def half_sum(s: Series, x: np.ndarray) -> np.ndarray:
+    """x + half the value before; missing values as in held_value."""
+    ok = ~np.isnan(x)
+    return np.where(ok, affine(s, np.where(ok, 0.5, 0.0), np.where(ok, x, 0.0)), NAN)
 
 
-class Block:
-    """Indicators of one block, each computed once. begins: whether the block starts the series."""
+class Blocks:
+    """Indicators of blocks that lie one behind the other, each computed once. begins: whether a block starts its series."""
 
-    def __init__(self, rows: pd.DataFrame, params: Params) -> None:
-        self.p, self.begins = params, int(rows["rn"].iloc[0]) == 1
-        self.o, self.h, self.l, self.c, self.v = (rows[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
-        self.t, self.halo = rows["t"].to_numpy(), int(rows["halo"].sum())
-        self.close = self.c.tolist()
-        self.n, self.made, self.settled = len(rows), {}, True
+    def __init__(self, columns: dict[str, np.ndarray], starts: np.ndarray, params: Params, levels: dict[str, float] | None = None) -> None:
+        """levels: what filter_1, filter_2, worm and trend were before the first row, where it is known."""
+        self.levels = levels
+        self.p, self.s = params, Series(starts, len(columns["t"]))
+        self.o, self.h, self.l, self.c, self.v = (columns[k] for k in ("open", "high", "low", "close", "volume"))
+        self.t, self.halo = columns["t"], columns["halo"]
+        self.begins = columns["rn"][self.s.starts] == 1
+        self.least, self.most = np.fmin.reduceat(self.l, self.s.starts) * 0.5, np.fmax.reduceat(self.h, self.s.starts) * 2.0
+        self.own = self.s.starts + np.add.reduceat(self.halo.astype(np.int64), self.s.starts)  # the first row behind the halo
+        self.settled, self.made = np.ones(len(self.s.starts), bool), {}
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self.made:
-            self.made[name] = np.asarray(getattr(self, f"_{name}")(), float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                self.made[name] = np.asarray(getattr(self, f"_{name}")(), float)
         return self.made[name]
 
-    def long_enough(self, n: int) -> bool:
-        return not self.begins or self.n >= n
+    def long_enough(self, n: int) -> np.ndarray:
+        return (~self.begins | (self.s.sizes >= n))[self.s.owner]
 
-    def _held(self, run: Callable[[float | None], list[float]]) -> list[float]:
+    def _runs(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Levels from which a filter is run: from below and above, or from where it was."""
+        if self.levels is None:
+            return self.least, self.most
+        return (np.full(len(self.s.starts), self.levels[name]),) * 2
+
+    def _held(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """A filter that holds a level: exact from the start of a series; else both runs must meet within the halo."""
-        if self.begins:
-            return run(None)
-        low, high = run(float(np.nanmin(self.l)) * 0.5), run(float(np.nanmax(self.h)) * 2.0)
-        if low[self.halo - 1] != high[self.halo - 1]:
-            self.settled = False
+        at = np.maximum(self.own - 1, 0)
+        self.settled &= self.begins | (low[at] == high[at])
         return low
 
     def _ema(self):
-        return ema(self.close, by_period(self.p.ppo_fast))
+        return ema(self.s, self.c, by_period(self.p.ppo_fast))
+
+    def _ema_trailing(self):
+        """The recursion as if it began 350 candles back: what came before is taken out again."""
+        alpha, k = by_period(self.p.ppo_fast), self.p.trailing - 1
+        gone = (1.0 - alpha) ** k * (self.s.lag(self["ema"], k) - self.s.lag(self.c, k))
+        return self["ema"] - np.nan_to_num(gone)
 
     def _rma(self):
-        return np.nan_to_num(rma(self.close, self.p.rma_short, self.begins)) if self.long_enough(self.p.rma_short) else np.zeros(self.n)
+        return np.where(self.long_enough(self.p.rma_short), np.nan_to_num(rma(self.s, self.c, self.p.rma_short, self.begins)), 0.0)
 
     def _rma_long(self):
-        return np.nan_to_num(rma(self.close, self.p.rma_long, self.begins)) if self.long_enough(self.p.rma_long) else np.zeros(self.n)
+        return np.where(self.long_enough(self.p.rma_long), np.nan_to_num(rma(self.s, self.c, self.p.rma_long, self.begins)), 0.0)
 
     def _ppo(self):
-        if not self.long_enough(max(self.p.ppo_fast, self.p.ppo_slow)):
-            return np.zeros(self.n)
-        fast, slow = np.array(ema(self.close, by_period(self.p.ppo_fast))), np.array(ema(self.close, by_period(self.p.ppo_slow)))
-        ok = (slow != 0) & ~np.isnan(slow)
+        fast, slow = ema(self.s, self.c, by_period(self.p.ppo_fast)), ema(self.s, self.c, by_period(self.p.ppo_slow))
+        ok = (slow != 0) & ~np.isnan(slow) & self.long_enough(max(self.p.ppo_fast, self.p.ppo_slow))
         return np.where(ok, (fast - slow) / np.where(ok, slow, 1.0) * 100.0, 0.0)
 
     def _sig(self):
-        return ema(self["ppo"].tolist(), by_period(self.p.ppo_signal))
+        return ema(self.s, self["ppo"], by_period(self.p.ppo_signal))
 
     def _rsi(self):
-        return rsi(self.close, self.p.rsi_len, self.begins)
+        return rsi(self.s, self.c, self.p.rsi_len, self.begins)
 
     def _kalman(self):
-        return kalman(self.close, self.p.kalman_len, self.p.kalman_r, self.p.kalman_q)
+        return kalman(self.s, self.c, self.p.kalman_len, self.p.kalman_r, self.p.kalman_q)
 
     def _srsi(self):
-        if not self.long_enough(self.p.rsi_len + self.p.kalman_len):
-            return np.full(self.n, 50.0)
-        return np.nan_to_num(ema(kalman(self["rsi"].tolist(), self.p.kalman_len, self.p.kalman_r, self.p.kalman_q), by_period(self.p.srsi_ema)), nan=50.0)
+        x = ema(self.s, kalman(self.s, self["rsi"], self.p.kalman_len, self.p.kalman_r, self.p.kalman_q), by_period(self.p.srsi_ema))
+        return np.where(self.long_enough(self.p.rsi_len + self.p.kalman_len) & ~np.isnan(x), x, 50.0)
 
     def _tr(self):
-        before = np.concatenate((self.c[:1], self.c[:-1]))
-        out = np.maximum(self.h - self.l, np.maximum(abs(self.h - before), abs(self.l - before)))
-        out[0] = self.h[0] - self.l[0]
-        return out
+        before = self.s.lag(self.c, 1)
+        return np.where(self.s.place == 0, self.h - self.l, np.maximum(self.h - self.l, np.maximum(abs(self.h - before), abs(self.l - before))))
 
     def _atr(self, period: int):
-        return rma(self["tr"].tolist(), period, self.begins) if self.long_enough(period) else np.full(self.n, NAN)
+        return np.where(self.long_enough(period), rma(self.s, self["tr"], period, self.begins), NAN)
 
     def _atr_s(self):
         return self._atr(self.p.atr_short)
@@ -221,97 +218,126 @@ class Block:
         return self._atr(self.p.atr_long)
 
     def _range_1(self):
-        return smooth_range(self.close, self.p.cloud[0], self.p.cloud[1])
+        return smooth_range(self.s, self.c, self.p.cloud[0], self.p.cloud[1])
 
     def _range_2(self):
-        return smooth_range(self.close, self.p.cloud[2], self.p.cloud[3])
+        return smooth_range(self.s, self.c, self.p.cloud[2], self.p.cloud[3])
 
     def _filter_1(self):
-        return self._held(lambda s: range_filter(self.close, self["range_1"].tolist(), s))
+        return self._held(*range_filter(self.s, self.c, self["range_1"], self.begins, *self._runs("filter_1")))
 
     def _filter_2(self):
-        return self._held(lambda s: range_filter(self.close, self["range_2"].tolist(), s))
+        return self._held(*range_filter(self.s, self.c, self["range_2"], self.begins, *self._runs("filter_2")))
 
     def _trend(self):
         """1 up, 0 down: which filter is above; a tie keeps what was, at first up."""
         x = np.sign(self["filter_2"] - self["filter_1"])
-        at = np.maximum.accumulate(np.where(x != 0, np.arange(self.n), -1))
-        return np.where(at >= 0, x[at] > 0, True)
+        at = self.s.last_place((x != 0) & ~np.isnan(x))
+        return np.where(at >= 0, x[np.maximum(at, 0)] > 0, self.levels["trend"] > 0 if self.levels and not self.begins[0] else True)
 
     def _cloud_up(self):
-        return self["trend"] if self.long_enough(max(self.p.cloud[0], self.p.cloud[2])) else np.zeros(self.n)
+        return np.where(self.long_enough(max(self.p.cloud[0], self.p.cloud[2])), self["trend"], 0.0)
 
     def _cloud_down(self):
-        return 1 - self["trend"] if self.long_enough(max(self.p.cloud[0], self.p.cloud[2])) else np.zeros(self.n)
+        return np.where(self.long_enough(max(self.p.cloud[0], self.p.cloud[2])), 1 - self["trend"], 0.0)
 
     def _std(self):
-        return rolling(self.c, self.p.mmh_std, np.std, 0.0) * min(max(self.p.mmh_response, 1e-5), 1.0)
+        return self.s.rolling(self.c, self.p.mmh_std, np.std, 0.0) * min(max(self.p.mmh_response, 1e-5), 1.0)
 
     def _worm(self):
-        return self._held(lambda s: worm(self.close, self["std"].tolist(), s))
+        return self._held(*worm(self.s, self.c, self["std"], self.begins, *self._runs("worm")))
 
     def _mmh_raw(self):
         w = self["worm"]
         ok = abs(w) >= 1e-10
-        return np.where(ok, (w - rolling(self.c, self.p.mmh_period, np.mean)) / np.where(ok, w, 1.0), NAN)
+        return np.where(ok, (w - self.s.rolling(self.c, self.p.mmh_period, np.mean)) / np.where(ok, w, 1.0), NAN)
 
     def _mmh_value(self):
         raw = self["mmh_raw"]
-        low, high = rolling(raw, self.p.mmh_period, np.min), rolling(raw, self.p.mmh_period, np.max)
+        low, high = self.s.extreme(raw, self.p.mmh_period, np.minimum), self.s.extreme(raw, self.p.mmh_period, np.maximum)
         span = high - low
-        with np.errstate(invalid="ignore"):
-            ok = abs(span) >= 1e-10
-        return held_value(np.where(ok, (raw - low) / np.where(ok, span, 1.0), NAN).tolist())
+        ok = abs(span) >= 1e-10
+        return held_value(self.s, np.where(ok, (raw - low) / np.where(ok, span, 1.0), NAN))
 
     def _mmh_momentum(self):
         v = np.clip(self["mmh_value"], -0.99999, 0.99999)
         return 0.25 * np.log((1.0 + v) / (1.0 - v))
 
     def _mmh(self):
-        return half_sum(self["mmh_momentum"].tolist())
+        return half_sum(self.s, self["mmh_momentum"])
 
     def _vwap(self):
-        """By UTC day; the halo holds the day's beginning."""
+        """By UTC day. A block whose halo doesn't hold the beginning of its first day is marked."""
         day, price = self.t // 86400, (self.h + self.l + self.c) / 3.0
-        new = np.flatnonzero(np.concatenate(([True], day[1:] != day[:-1])))
-        out = np.empty(self.n)
-        for a, b in zip(new, [*new[1:], self.n], strict=True):
-            volume, worth = np.cumsum(self.v[a:b]), np.cumsum(price[a:b] * self.v[a:b])
-            out[a:b] = np.where(volume != 0, worth / np.where(volume != 0, volume, 1.0), price[a:b])
+        new = (self.s.place == 0) | np.concatenate(([True], day[1:] != day[:-1]))
+        self.settled &= self.begins | (day[self.s.starts] < day[np.minimum(self.own, self.s.n - 1)])
+        keep = np.where(new, 0.0, 1.0)
+        volume, worth = affine(self.s, keep, self.v), affine(self.s, keep, price * self.v)
+        out = np.where(volume != 0, worth / np.where(volume != 0, volume, 1.0), price)
         return np.where(np.isnan(out), self.c, out)
 
     def _close(self):
         return self.c
 
-    def lag(self, name: str, k: int) -> np.ndarray:
-        return np.concatenate((np.full(min(k, self.n), NAN), self[name][: max(0, self.n - k)]))
 
+def recursive(bars: DataFrame, wanted: list[str], params: Params = DEFAULT, block: int | None = None, halo: int | None = None) -> DataFrame:
+    """bars (symbol, t, rn, open, high, low, close, volume) with indicators by name; name'k is the value k rows before. Missing values are null.
 
-def recursive(bars: DataFrame, wanted: list[str], params: Params = DEFAULT, block: int = BLOCK, halo: int = HALO) -> DataFrame:
-    """bars (symbol, t, rn, open, high, low, close, volume) with indicators by name; name'k is the value k rows before. Missing values are null."""
+    The halo follows from the parameters, and blocks are eight times as long at least, unless both are given.
+    """
+    halo = halo or halo_of(params)
+    block = block or max(BLOCK, 8 * halo)
+    if halo > block:
+        raise ValueError("a halo can't be longer than a block")
     names = [w.replace("'", "_lag") for w in wanted]
+    outs = [*KEEP, *names, "settled", "least", "most"]
+    kinds = {"symbol": pa.string(), "t": pa.int64(), "rn": pa.int64(), "settled": pa.bool_()}
 
-    def compute(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rn", ignore_index=True)
-        b = Block(rows, params)
-        made: dict[str, Any] = {}
+    def compute(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        b = Blocks({c: table.column(c).to_numpy().astype(bool if c == "halo" else np.int64 if c in ("t", "rn") else float) for c in table.column_names if c not in ("symbol", "block")}, starts, params)
+        made = {}
         for w, name in zip(wanted, names, strict=True):
             base, _, k = w.partition("'")
-            made[name] = b.lag(base, int(k)) if k else b[base]
-        out = pd.concat([rows[KEEP], pd.DataFrame(made)], axis=1)[b.halo :]
-        return out.assign(settled=b.settled).astype(dict.fromkeys(names, "float64"))
-
-    schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"`{n}` double" for n in names], "settled boolean"])
+            made[name] = b.s.lag(b[base], int(k)) if k else b[base]
+        own = pa.array(~b.halo)
+        kept = table.select(KEEP).filter(own)
+        extra = {**made, "settled": b.settled[b.s.owner], "least": np.where(b.begins, 0.0, b.least)[b.s.owner], "most": np.where(b.begins, np.inf, b.most)[b.s.owner]}
+        columns = [*kept.columns, *[pa.array(extra[n][~b.halo], kinds.get(n, pa.float64())) for n in outs[len(KEEP) :]]]
+        return pa.Table.from_arrays([c.cast(kinds.get(n, pa.float64())) for n, c in zip(outs, columns, strict=True)], names=outs)
+
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def begun(table: pa.Table) -> np.ndarray:
+            code, k = pa.concat_arrays(table.column("symbol").chunks).dictionary_encode().indices.to_numpy(), table.column("block").to_numpy()
+            return np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (k[1:] != k[:-1]))))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= AT_ONCE:
+                table = pa.Table.from_batches(held).combine_chunks()
+                starts = begun(table)
+                if len(starts) > 1:  # the last block may go on
+                    yield from compute(table.slice(0, starts[-1]), starts[:-1]).to_batches(max_chunksize=OUT)
+                    table = table.slice(starts[-1])
+                held = table.to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from compute(table, begun(table)).to_batches(max_chunksize=OUT)
+
+    schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"`{n}` double" for n in names], "settled boolean, least double, most double"])
 
     def run(rows: DataFrame) -> DataFrame:
-        return rows.select(*KEEP, "block", "halo").groupBy("symbol", "block").applyInPandas(compute, schema)
+        rows = rows.select(*KEEP, "block", "halo").repartition("symbol", "block").sortWithinPartitions("symbol", "block", "rn")
+        return rows.mapInArrow(run_batches, schema)
 
     out = materialize(run(blocked(bars, block, halo)))
-    open_ = out.where(~F.col("settled")).select("symbol").distinct()
-    if not open_.isEmpty():  # exact for every series: from its start, in one piece
+    # exact for every series: from its start, in one piece, where a block hasn't settled or prices lie beyond its runs
+    doubt = ~F.min("settled") | (F.max("least") > F.min("low")) | (F.min("most") < F.max("high"))
+    longest = out.agg(F.max("rn")).first()[0] or 0
+    open_ = materialize(out.groupBy("symbol").agg(doubt.alias("_doubt"), F.max("rn").alias("_n")).where(F.col("_doubt") & (F.col("_n") > block)).select("symbol")) if longest > block else None
+    if open_ is not None and not open_.isEmpty():
         whole = bars.join(open_, "symbol", "left_semi").withColumn("block", F.lit(0).cast("long")).withColumn("halo", F.lit(False))
         out = out.join(open_, "symbol", "left_anti").unionByName(run(whole))
     return out.select(*KEEP, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
-
-
-KEEP = ["symbol", "t", "rn", "open", "high", "low", "close", "volume"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.text import money
-from emberline.operators.signals import DOWN_LEVELS, UP_LEVELS, five, quality_reason
+from emberline.operators.signals import DOWN_LEVELS, LEVELS, UP_LEVELS, asof, five, quality_reason
 from emberline.params import DEFAULT, Params
 
 
@@ -29,7 +29,7 @@ def suppression(p: Params = DEFAULT) -> Column:
     parts.append(F.when(F.col("buy_trend") & ~F.col("buy_candle"), F.concat(F.lit("BUY quality: "), quality_reason(True, p))))
     parts.append(F.when(F.col("sell_trend") & ~F.col("sell_candle"), F.concat(F.lit("SELL quality: "), quality_reason(False, p))))
     known = F.lit(False)
-    for n in ("P", "R1", "R2", "R3", "S1", "S2", "S3"):
+    for n in LEVELS if p.pivot_on else ():
         known = known | (F.col(n) != 0)
     for up, names in ((True, UP_LEVELS), (False, DOWN_LEVELS)):
         for n in names:
@@ -43,7 +43,7 @@ def suppression(p: Params = DEFAULT) -> Column:
     parts.append(F.when(yes((ppo1 >= -lv) & (ppo < -lv)) & ~sell, "PPO<-0.11 blocked: sell_common=False"))
     parts.append(F.when(yes((rsi1 <= level) & (rsi > level)), F.when(ppo >= g, F.concat(F.lit("RSI>50 blocked: PPO="), money(ppo), F.lit(f" ≥ guard {g}"))).when(~buy, "RSI>50 blocked: buy_common=False")))
     parts.append(F.when(yes((rsi1 >= level) & (rsi < level)), F.when(ppo <= -g, F.concat(F.lit("RSI<50 blocked: PPO="), money(ppo), F.lit(f" ≤ guard {-g}"))).when(~sell, "RSI<50 blocked: sell_common=False")))
-    there = yes((v > 0) & (v1 > 0))
+    there = F.lit(p.vwap_on) & yes((v > 0) & (v1 > 0))
     parts.append(F.when(there & yes((c1 <= v1) & (c > v)) & ~buy, "VWAP up-cross blocked: buy_common=False"))
     parts.append(F.when(there & yes((c1 >= v1) & (c < v)) & ~sell, "VWAP down-cross blocked: sell_common=False"))
     text = F.concat_ws(", ", *parts)
@@ -73,22 +73,33 @@ def summary(evaluated: DataFrame, sent: DataFrame) -> DataFrame:
     return rows.select("symbol", "t", F.when(n > 0, "ALERT_SENT").otherwise("NO_SIGNAL").alias("state"), n.alias("alerts"), cloud.alias("cloud"), (F.round("mmh", 4) + 0.0).alias("mmh_hist"))
 
 
-def run_stats(evaluated: DataFrame, sent: DataFrame, configured: int) -> DataFrame:
-    """By run (candle time): symbols evaluated, alerts sent, and the share of configured symbols that had data."""
-    a = evaluated.groupBy("t").agg(F.count(F.lit(1)).alias("evaluated"))
-    b = sent.groupBy("t").agg(F.count(F.lit(1)).alias("_sent"))
-    return a.join(b, "t", "left").select("t", "evaluated", F.coalesce("_sent", F.lit(0).cast("long")).alias("sent"), F.round(100.0 * F.col("evaluated") / configured, 1).alias("success"))
+def run_stats(evaluated: DataFrame, sent: DataFrame, requests: list[tuple[str, int]], bars: DataFrame, limit: int = 350) -> DataFrame:
+    """By run (candle time): symbols evaluated, alerts sent, and the share of the requests (symbol, resolution in minutes) that get candles.
+
+    A request asks for the last `limit` candles up to the run; it succeeds if there is one. bars: symbol, resolution, t of all candles.
+    """
+    runs = evaluated.groupBy("t").agg(F.count(F.lit(1)).alias("evaluated"))
+    name = lambda s, m: F.concat(s, F.lit("/"), m.cast("string"))
+    asked = runs.select("t", F.inline(F.array(*[F.struct(F.lit(s).alias("_s"), F.lit(m).alias("_m")) for s, m in requests]))).select(name(F.col("_s"), F.col("_m")).alias("symbol"), "t", "_m")
+    found = asof(asked, bars.select(name(F.col("symbol"), F.col("resolution")).alias("symbol"), "t", F.col("t").alias("_last")), ["_last"], first=False)
+    rate = found.groupBy("t").agg(F.round(100.0 * F.count_if(F.col("t") - F.col("_last") <= F.col("_m") * 60 * limit) / F.count(F.lit(1)), 1).alias("success"))
+    counts = sent.groupBy("t").agg(F.count(F.lit(1)).alias("_sent"))
+    return runs.join(counts, "t", "left").join(rate, "t").select("t", "evaluated", F.coalesce("_sent", F.lit(0).cast("long")).alias("sent"), "success")
 
 
 _two = lambda x: f"round(({x})::decimal(38,10), 2)::decimal(38,2)::varchar"
 _five = lambda x: f"round(({x})::decimal(28,10), 5)::decimal(28,5)::varchar"
 
 
-def _quality_sql(buy: bool) -> str:
+def _corrupt(buy: bool) -> str:
+    return f"'Corrupted data (H=' || {_five('high')} || ' < C=' || {_five('close')} || ')'" if buy else f"'Corrupted data (L=' || {_five('low')} || ' > C=' || {_five('close')} || ')'"
+
+
+def quality_sql(buy: bool) -> str:
     tail, ratio = ("high - close", "(high - close) / (high - low)") if buy else ("close - low", "(close - low) / (high - low)")
     colour = f"when close <= open then 'Not green (C=' || {_five('close')} || ' ≤ O=' || {_five('open')} || ')'" if buy else f"when close >= open then 'Not red (C=' || {_five('close')} || ' ≥ O=' || {_five('open')} || ')'"
     one = f"round(({ratio} * 100)::decimal(28,10), 1)::decimal(28,1)::varchar"
-    return f"case when high - low < 1e-8 then 'Range too small' when {tail} < 0 then 'Corrupted' {colour} when {ratio} >= 0.2 then '{'Upper' if buy else 'Lower'} wick ' || {one} || '% ≥ 20.0%' else '✅ {'Green' if buy else 'Red'} wick:' || {one} || '%' end"
+    return f"case when high - low < 1e-8 then 'Range too small' when {tail} < 0 then {_corrupt(buy)} {colour} when {ratio} >= 0.2 then '{'Upper' if buy else 'Lower'} wick ' || {one} || '% ≥ 20.0%' else '✅ {'Green' if buy else 'Red'} wick:' || {one} || '%' end"
 
 
 def _sql() -> str:
@@ -97,8 +108,8 @@ def _sql() -> str:
     on = "coalesce(vwap > 0 and vwap_lag1 > 0, false)"
     parts = [
         "case when not buy and not sell then 'Trend filter blocked' end",
-        f"case when buy_trend and not buy_candle then 'BUY quality: ' || {_quality_sql(True)} end",
-        f"case when sell_trend and not sell_candle then 'SELL quality: ' || {_quality_sql(False)} end",
+        f"case when buy_trend and not buy_candle then 'BUY quality: ' || {quality_sql(True)} end",
+        f"case when sell_trend and not sell_candle then 'SELL quality: ' || {quality_sql(False)} end",
     ]
     known = "(P <> 0 or R1 <> 0 or R2 <> 0 or R3 <> 0 or S1 <> 0 or S2 <> 0 or S3 <> 0)"
     for up, names in ((True, UP_LEVELS), (False, DOWN_LEVELS)):
@@ -108,7 +119,7 @@ def _sql() -> str:
             parts.append(f"case when {known} then 'pivot_{'up' if up else 'down'}_{n}: ' || case when {n} <= 0 then 'Invalid pivot value' when close_lag1 is null then 'Missing close data' when not {crossed} then 'No pivot cross' when {far} > {p.pivot_distance} then 'Pivot too far: price ' || {_two('close')} || ' is ' || {_two(far)} || '% away from {n} pivot ' || {_two(n)} end end")
     for word, up, gate, trend, candle in ((">", True, "buy", "base_buy_trend", "buy_candle"), ("<", False, "sell", "base_sell_trend", "sell_candle")):
         sides = "ppo_lag1 <= 0 and ppo > 0" if up else "ppo_lag1 >= 0 and ppo < 0"
-        parts.append(f"case when {sides} and not {gate} then case when not {gate}_trend then 'PPO{word}0 blocked: {trend}=False' when not {candle} then 'PPO{word}0 blocked: candle quality failed' end end")
+        parts.append(f"case when {sides} and not {gate} then case when not {gate}_trend then 'PPO{word}0 blocked: {trend}=False' when not {candle} then 'PPO{word}0 blocked: candle quality failed' when not close {word} open then 'PPO{word}0 blocked: candle not {'green' if up else 'red'} (C=' || {_five('close')} || ', O=' || {_five('open')} || ')' end end")
     parts += [
         f"case when ppo_lag1 <= {p.ppo_level} and ppo > {p.ppo_level} and not buy then 'PPO>+0.11 blocked: buy_common=False' end",
         f"case when ppo_lag1 >= -{p.ppo_level} and ppo < -{p.ppo_level} and not sell then 'PPO<-0.11 blocked: sell_common=False' end",

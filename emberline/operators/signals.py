@@ -8,9 +8,10 @@ from functools import cache
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from emberline.functions.text import grouped_money, money
-from emberline.operators.panel import DAY, day_of, last_known
+from emberline.operators.panel import DAY, day_of
 from emberline.operators.recursions import recursive
 from emberline.operators.validation import with_reason
 from emberline.params import DEFAULT, Params
@@ -22,18 +23,27 @@ RATIOS = {"1": 0.382, "2": 0.618, "3": 1.0}
 
 
 def asof(left: DataFrame, right: DataFrame, columns: list[str], first: bool = True) -> DataFrame:
-    """left (symbol, t) with the columns of right's last row at or before t, by one union and one shuffle by symbol and day.
+    """left (symbol, t) with the columns of right's last row at or before t, by one union: left's columns go through it, and nothing is joined but
+    a small table with a row for each symbol and day, which carries what was last known before.
 
-    Rows before all of right's take its first row, if first holds.
+    Rows before all of right's take its first row, if first holds. Rows that repeat stay as they are.
     """
-    a = left.select("symbol", "t", F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_r"))
-    b = right.select("symbol", "t", F.lit(0).alias("_side"), F.struct(*columns).alias("_r"))
-    found = last_known(a.unionByName(b), ["symbol"], day_of(F.col("t")), ["t", "_side"], F.col("_r"), "_found").where("_side = 1").select("symbol", "t", "_found")
-    out = left.join(found, ["symbol", "t"])
+    kept = [c for c in left.columns if c not in ("symbol", "t")]
+    value, own = F.struct(*columns), F.struct(*kept) if kept else F.struct(F.lit(0).alias("_none"))
+    null_of = lambda df, x: F.lit(None).cast(df.select(x).schema[0].dataType)
+    a = left.select("symbol", "t", F.lit(1).alias("_side"), own.alias("_own"), null_of(right, value).alias("_r"))
+    b = right.select("symbol", "t", F.lit(0).alias("_side"), null_of(left, own).alias("_own"), value.alias("_r"))
+    rows = a.unionByName(b).withColumn("_b", day_of(F.col("t")))
+    known = F.col("_r").isNotNull()
+    days = rows.groupBy("symbol", "_b").agg(F.max_by("_r", F.when(known, F.col("t"))).alias("_l"), F.min_by("_r", F.when(known, F.col("t"))).alias("_f"))
+    series = Window.partitionBy("symbol").orderBy("_b")
+    before = F.last("_l", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
     if first:
-        least = right.groupBy("symbol").agg(F.min_by(F.struct(*columns), "t").alias("_first"))
-        out = out.join(least, "symbol", "left").withColumn("_found", F.coalesce("_found", "_first"))
-    return out.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
+        before = F.coalesce(before, F.first("_f", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    days = days.select("symbol", "_b", before.alias("_carry"))
+    within = Window.partitionBy("symbol", "_b").orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(days, ["symbol", "_b"]).withColumn("_found", F.coalesce(F.last("_r", ignorenulls=True).over(within), F.col("_carry"))).where("_side = 1")
+    return out.select("symbol", "t", *[F.col(f"_own.{c}").alias(c) for c in kept], *[F.col(f"_found.{c}").alias(c) for c in columns]).select(*left.columns, *columns)
 
 
 def pivots(daily: DataFrame) -> DataFrame:
@@ -106,7 +116,7 @@ def features(bars15: DataFrame, bars5: DataFrame, daily: DataFrame, p: Params =
 
 
 def gated(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    up, down = F.col("cloud_up") == 1, F.col("cloud_down") == 1
+    up, down = (F.col("cloud_up") == 1) & F.lit(p.cloud_on), (F.col("cloud_down") == 1) & F.lit(p.cloud_on)
     yes = lambda x: F.coalesce(x, F.lit(False))
     rows = rows.withColumns(
         {
@@ -182,7 +192,7 @@ def _alerts(p: Params, application: str) -> list[Alert]:
         return (x1 > y1) & (x <= y) if up else (x1 < y1) & (x >= y)
 
     lv, b, g, level = p.ppo_level, p.ppo_cross_bound, p.ppo_rsi_guard, p.rsi_level
-    vwap_on = F.coalesce((v > 0) & (v1 > 0), F.lit(False))
+    vwap_on = F.lit(p.vwap_on) & F.coalesce((v > 0) & (v1 > 0), F.lit(False))
     out = [
         Alert("ppo_signal_up", "🟢 PPO cross above signal", buy & crossed(ppo1, sig1, ppo, sig, True) & (ppo < b), undone(ppo1, sig1, ppo, sig, True) | ~buy, sig_text(True), on, False),
         Alert("ppo_signal_down", "🔴 PPO cross below signal", sell & crossed(ppo1, sig1, ppo, sig, False) & (ppo > -b), undone(ppo1, sig1, ppo, sig, False) | ~sell, sig_text(False), on, False),
@@ -206,25 +216,30 @@ def _alerts(p: Params, application: str) -> list[Alert]:
             near = F.abs(x - c) / F.when(x > 0, x) * 100 <= p.pivot_distance
             text = F.concat(F.lit("$"), grouped_money(x), bar, mmh, F.lit(" [Dist: "), number(F.abs(x - c) / c * 100), F.lit("%]"))
             title = f"🟢⬆️ Cross above {n}" if up else f"🔴⬇️ Cross below {n}"
-            out.append(Alert(f"pivot_{'up' if up else 'down'}_{n}", title, gate & (x > 0) & crossed(c1, x, c, x, up) & near & levels_on, undone(c1, x, c, x, up) | ~gate, text, on, True))
+            out.append(Alert(f"pivot_{'up' if up else 'down'}_{n}", title, gate & (x > 0) & crossed(c1, x, c, x, up) & near & levels_on, undone(c1, x, c, x, up) | ~gate, text, F.lit(p.pivot_on), True))
     return out
 
 
 def long_alerts(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A narrow row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, ord, key, trigger, reset, daily."""
+    """A row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, ord, key, trigger, reset, daily, and bar: what its text shows, only where it fires."""
     yes = lambda x: F.coalesce(x, F.lit(False))
     each = [
         F.struct(F.lit(i).alias("ord"), F.lit(a.key).alias("key"), yes(a.enabled & a.trigger).alias("trigger"), yes(a.enabled & a.reset).alias("reset"), F.lit(a.daily).alias("daily"))
         for i, a in enumerate(alerts(p))
     ]
-    return rows.select("symbol", "t", "eval_day", F.inline(F.array(*each))).where("trigger or reset")
+    out = rows.select("symbol", "t", "eval_day", F.struct(*SHOWN).alias("bar"), F.inline(F.array(*each))).where("trigger or reset")
+    return out.withColumn("bar", F.when(F.col("trigger"), F.col("bar")))
 
 
-def with_text(fired: DataFrame, rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Alerts (symbol, t, ord) with close, title and text from their evaluated candles."""
+#: Columns that the alerts' texts show.
+SHOWN = ["high", "low", "close", "ppo", "sig", "srsi", "mmh", "vwap", *LEVELS]
+
+
+def with_text(fired: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Alerts (symbol, t, ord, bar) with close, title and text in bar's place."""
     each = alerts(p)
     text = F.lit(None).cast("string")
     for i, a in enumerate(each):
         text = F.when(F.col("ord") == i, a.text).otherwise(text)
     title = F.element_at(F.array(*[F.lit(a.title) for a in each]), F.col("ord") + 1)
-    return fired.join(rows, ["symbol", "t"]).select(*[fired[c] for c in fired.columns if c not in ("symbol", "t")], "symbol", "t", "close", title.alias("title"), text.alias("text"))
+    return fired.select("*", "bar.*").select(*[c for c in fired.columns if c != "bar"], "close", title.alias("title"), text.alias("text"))

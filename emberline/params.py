@@ -42,7 +42,12 @@ class Params:
     cooldown: int = 300
     dedup: int = 600
     state_ttl: int = 30 * 86400
+    meta_ttl: int = 7 * 86400
+    trailing: int = 351  # candles of a recursion that begins anew for each candle
     clamp: float = 1e8
+    vwap_on: bool = True  # whether VWAP, pivot and cloud take part
+    pivot_on: bool = True
+    cloud_on: bool = True
 
     def __post_init__(self) -> None:
         for name in ("ppo_fast", "ppo_slow", "ppo_signal", "rma_short", "rma_long", "rsi_len", "kalman_len", "atr_short", "atr_long", "mmh_period"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.panel import day_of, running_sum
+from emberline.operators.panel import DAY, day_of, running_sum
 
 PAYLOAD = "struct<result: struct<t: array<bigint>, o: array<double>, h: array<double>, l: array<double>, c: array<double>, v: array<double>>>"
 FIELDS = ("t", "o", "h", "l", "c", "v")
@@ -58,11 +58,19 @@ def value_candles(rows: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+def land(bars: DataFrame, path: str) -> DataFrame:
+    """Candles as a Parquet table by symbol and day, read back: scans of some symbols and days read their folders only."""
+    bars.withColumn("day", day_of(F.col("t"))).repartition("symbol", "day").write.partitionBy("symbol", "day").parquet(path)
+    return bars.sparkSession.read.schema(", ".join([f"{f.name} {f.dataType.simpleString()}" for f in bars.schema if f.name != "symbol"] + ["symbol string, day long"])).parquet(path)
+
+
 def scan(bars: DataFrame, symbols: list[str], minutes: int, reference: int, limit: int) -> DataFrame:
-    """Candles of some symbols from `limit` before the last closed one up to three after the reference time."""
+    """Candles of some symbols from `limit` before the last closed one up to three after the reference time. Of a landed table, only its folders of these symbols and days are read."""
     width = minutes * 60
     opened = reference // width * width - width
-    return bars.where(F.col("symbol").isin(symbols) & F.col("t").between(opened - limit * width, reference + 3 * width))
+    first, last = opened - limit * width, reference + 3 * width
+    rows = bars.where(F.col("symbol").isin(symbols) & F.col("t").between(first, last))
+    return rows.where(F.col("day").between(first // DAY, last // DAY)) if "day" in bars.columns else rows
 
 
 def payloads(bars: DataFrame) -> DataFrame:

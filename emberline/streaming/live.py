@@ -1,17 +1,24 @@
-"""Live counterparts of the batch operators, in Structured Streaming."""
+"""Live counterparts of the batch operators, in Structured Streaming.
+
+Rows of a key come in the order of time over micro-batches, in any order within one; however they are cut into micro-batches, the result is the same.
+States expire by processing time some time after they were last written, so that keys that come no more don't stay.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from emberline.operators.panel import DAY
+from emberline.operators.recursions import Blocks, halo_of
 from emberline.params import DEFAULT, Params
-from emberline.storage import ensure_checkpoint_dir
+from emberline.storage import scratch as new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,19 +43,46 @@ def live_candles(rows: DataFrame, minutes: int, p: Params = DEFAULT) -> DataFram
     return bars.select("symbol", F.unix_seconds("w.start").alias("t"), "open", "high", "low", "close", "n")
 
 
+class Repeats(StatefulProcessor):
+    """Passes on rows that come at least `seconds` of event time after the last one passed on."""
+
+    def __init__(self, seconds: int, columns: list[str]) -> None:
+        self.seconds, self.columns = seconds, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long", ttlDurationMs=2000 * self.seconds)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        last = self.last.get()
+        last = last[0] if last else None
+        for r in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
+            if last is None or r["t"] - last >= self.seconds:
+                last = r["t"]
+                yield Row(**{c: r[c] for c in self.columns})
+        self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
 def live_dedup(rows: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFrame:
-    """A row for each key within the dedup window."""
-    return rows.withWatermark("ts", f"{p.dedup} seconds").dropDuplicatesWithinWatermark(keys)
+    """Of rows (keys, t, event_id): the first of each key, and those that come the dedup window after the last accepted one. Rows that come late, from before the last accepted one, are repeats.
+
+    A state outlives the window in processing time, which live event time keeps to; a replay runs faster, so that nothing expires early.
+    """
+    kept = rows.select(*keys, "t", "event_id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.groupBy(*keys).transformWithState(statefulProcessor=Repeats(p.dedup, kept.columns), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
 
 
 class Latch(StatefulProcessor):
     """Keeps for each key whether its alert is active, and passes on triggers that find it inactive. An active state expires `ttl` seconds of candle time after it was set."""
 
-    def __init__(self, ttl: int) -> None:
-        self.ttl = ttl
+    def __init__(self, ttl: int, columns: list[str]) -> None:
+        self.ttl, self.columns = ttl, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "active boolean, day long, since long")
+        self.state = handle.getValueState("state", "active boolean, day long, since long", ttlDurationMs=1000 * self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         before = self.state.get()
@@ -59,7 +93,7 @@ class Latch(StatefulProcessor):
             day = r["eval_day"]
             if r["trigger"] and not on:
                 since = r["t"]
-                yield Row(symbol=r["symbol"], t=r["t"], ord=r["ord"], key=r["key"])
+                yield Row(**{c: r[c] for c in self.columns})
             on = r["trigger"]
         self.state.update((on, day, since))
 
@@ -68,44 +102,125 @@ class Latch(StatefulProcessor):
 
 
 def live_latch(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Of a stream of long alerts (as signals.long_alerts gives them, in the order of time over micro-batches): those that fire.
+    """Of a stream of long alerts (as signals.long_alerts gives them, with title and text): those that fire.
 
-    The state of a daily key is cleared on a new day. States expire by candle time, so that a replay
-    gives the same alerts. Needs the RocksDB state store.
+    The state of a daily key is cleared on a new day. An active state expires by candle time, so that a replay
+    gives the same alerts, and a key's state goes when it hasn't been written for as long. Needs the RocksDB state store.
     """
+    columns = ["symbol", "t", "ord", "key", "title", "text"]
     return rows.groupBy("symbol", "key").transformWithState(
-        statefulProcessor=Latch(p.state_ttl), outputStructType="symbol string, t long, ord int, key string", outputMode="Append", timeMode="None"
+        statefulProcessor=Latch(p.state_ttl, columns), outputStructType="symbol string, t long, ord int, key string, title string, text string", outputMode="Append", timeMode="ProcessingTime"
     )
 
 
-def into_table(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch that writes each batch to its own folder, so that a batch that is run again replaces itself."""
+def warm_up(p: Params) -> dict[str, int]:
+    """The first row number at which a live indicator has a value. Batch fills the rows before from later candles (an average's seed), or decides by the length of the whole series."""
+    ppo, srsi, cloud = max(p.ppo_fast, p.ppo_slow), p.rsi_len + p.kalman_len, max(p.cloud[0], p.cloud[2])
+    return {"rma": p.rma_short, "rma_long": p.rma_long, "atr_s": p.atr_short, "atr_l": p.atr_long, "ppo": ppo, "sig": ppo, "rsi": p.rsi_len + 1, "srsi": srsi, "cloud_up": cloud, "cloud_down": cloud}
+
+
+class Indicators(StatefulProcessor):
+    """Indicators of candles as they come. The state is the last candles, as many as the slowest filter remembers, and the levels that filters held before them."""
+
+    FIELDS = ("t", "rn", "open", "high", "low", "close", "volume")
+    LEVELS = ("filter_1", "filter_2", "worm", "trend")
+
+    def __init__(self, wanted: list[str], p: Params) -> None:
+        self.wanted, self.p, self.most = wanted, p, halo_of(p)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        levels = ", ".join(f"{n} double" for n in self.LEVELS)
+        self.state = handle.getValueState("candles", f"rows binary, {levels}", ttlDurationMs=1000 * self.p.state_ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(rows).sort_values("t")
+        before = self.state.get()
+        old = np.frombuffer(before[0], float).reshape(len(self.FIELDS), -1) if before else np.zeros((len(self.FIELDS), 0))
+        new = new[new["t"] > (old[0, -1] if old.shape[1] else -np.inf)]  # a candle that comes again, or late, is dropped
+        if not len(new):
+            return
+        rn = (old[1, -1] if old.shape[1] else 0) + np.arange(1, len(new) + 1)
+        table = np.concatenate((old, np.array([new["t"], rn, *[new[c] for c in self.FIELDS[2:]]], float)), axis=1)
+        columns = dict(zip(self.FIELDS, table, strict=True))
+        columns |= {"t": table[0].astype(np.int64), "rn": table[1].astype(np.int64), "halo": np.arange(table.shape[1]) < old.shape[1]}
+        b = Blocks(columns, np.array([0]), self.p, dict(zip(self.LEVELS, before[1:], strict=True)) if before else None)
+        out = {"symbol": key[0], **{c: columns[c][old.shape[1] :] for c in self.FIELDS}}
+        for w in self.wanted:
+            base, _, k = w.partition("'")
+            known = np.where(columns["rn"] >= warm_up(self.p).get(base, 0), b[base], np.nan)
+            out[w.replace("'", "_lag")] = (b.s.lag(known, int(k)) if k else known)[old.shape[1] :]
+        gone = max(0, table.shape[1] - self.most)  # candles that leave the state; the levels after them stay
+        levels = [float(b[n][gone - 1]) for n in self.LEVELS] if gone else list(before[1:]) if before else [0.0, 0.0, 0.0, 1.0]
+        self.state.update((np.ascontiguousarray(table[:, gone:]).tobytes(), *levels))
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def live_indicators(bars: DataFrame, wanted: list[str], p: Params = DEFAULT) -> DataFrame:
+    """A stream of candles (symbol, t, open, high, low, close, volume) with rn and indicators, as recursions.recursive gives them once they are warm (see warm_up). NaN stands for what is missing.
+
+    However the candles are cut into micro-batches, the values are the same.
+    """
+    names = [w.replace("'", "_lag") for w in wanted]
+    schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"`{n}` double" for n in names]])
+    rows = bars.select("symbol", "t", "open", "high", "low", "close", "volume")
+    return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Indicators(wanted, p), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+
+def into_table(path: str, keys: list[str], t: str = "t") -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that writes each key once.
+
+    A batch has its own folder, by day, so that a batch that is run again replaces itself, whatever rows it has then. Rows whose key another batch has written
+    are left out; of that only the folders of the batch's days are read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        batch = batch.withColumn("_day", F.floor(F.col(t) / DAY)).dropDuplicates(keys).persist()
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        days = [r["_day"] for r in batch.select("_day").distinct().collect()]  # the days of one micro-batch
+        spark.createDataFrame([], f"{kinds}, _batch long").write.mode("append").partitionBy("_batch", "_day").parquet(path)  # the table, if there is none yet
+        there = spark.read.schema(f"{kinds}, _batch long").parquet(path).where((F.col("_batch") != number) & F.col("_day").isin(days))
+        batch.join(there.select(*keys), keys, "left_anti").repartition("_day").write.mode("overwrite").partitionBy("_day").parquet(f"{path}/_batch={number}")
+        batch.unpersist()
 
     return write
 
 
-def run(rows: DataFrame, path: str, columns: str) -> DataFrame:
+def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool = False) -> DataFrame:
     """Run the stream over all that is there now, and read what it has written so far. A path's second run goes on after its first.
 
-    columns is the table's schema, for the case that nothing is written.
+    columns is the table's schema; keys are its columns that tell rows apart. idle: whether a micro-batch without rows follows the last one, which closes what
+    its watermark allows; states that expire by processing time would ask for one for ever.
     """
     spark = rows.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        rows.writeStream.foreachBatch(into_table(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        rows.writeStream.foreachBatch(into_table(f"{path}/table", keys)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(columns).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    names = [c.split()[0] for c in columns.split(", ")]
+    return spark.read.schema(columns + ", _batch long, _day long").parquet(f"{path}/table").select(*names)
+
+
+def in_steps(rows: DataFrame, cuts: list[int], path: str, make: Callable[[DataFrame], DataFrame], columns: str, keys: list[str], idle: bool = False) -> DataFrame:
+    """Rows (with t) arrive up to each of the cuts in turn, then the rest, and the stream goes on after each arrival."""
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col("t") >= low)
+        (part if high is None else part.where(F.col("t") < high)).write.mode("append").parquet(f"{path}/in")
+        out = run(make(stream(rows.sparkSession, f"{path}/in")), path, columns, keys, idle)
+    return out
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def closed_before(t: Column, minutes: int, newest: Column, p: Params = DEFAULT) -> Column:

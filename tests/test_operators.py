@@ -48,6 +48,31 @@ def test_asof_takes_the_first_row_before_all(spark):
     assert [r["x"] for r in signals.asof(left, right, ["x"], first=False).orderBy("t").collect()] == [None, 2.0, 2.0]
 
 
+def test_asof_keeps_repeated_rows_and_columns(spark):
+    left = spark.createDataFrame([("a", 100, 1.5)] * 2 + [("b", 5, None)], "symbol string, t long, y double")
+    right = spark.createDataFrame([("a", 50, 1.0), ("a", 90, None)], "symbol string, t long, x double")
+    got = signals.asof(left, right, ["x"])
+    assert got.columns == ["symbol", "t", "y", "x"]
+    assert sorted(map(tuple, got.collect())) == [("a", 100, 1.5, None)] * 2 + [("b", 5, None, None)]
+
+
+def test_switches_turn_alerts_off(spark):
+    keys = lambda p: {a.key: a for a in signals.alerts(p)}
+    row = spark.range(1).selectExpr("100.0 as close", "99.0 as close_lag1", "99.5 as vwap", "99.4 as vwap_lag1", "true as buy", "false as sell")
+    for on in (True, False):
+        assert row.select(keys(Params(vwap_on=on))["vwap_up"].enabled.alias("e")).first()["e"] == on
+        assert row.select(keys(Params(pivot_on=on))["pivot_up_P"].enabled.alias("e")).first()["e"] == on
+
+
+def test_states_are_upserted_expire_and_go(spark):
+    schema = "symbol string, state_key string, value string, written long, ttl int"
+    state = lambda *rows: spark.createDataFrame(list(rows), schema)
+    stored = state(("a", "k", "1", 10, 100), ("a", "old", "x", 0, 50), ("b", "k", "y", 20, 100))
+    updates = state(("a", "k", "2", 30, 100), ("a", "k", "3", 25, 100), ("c", "new", "z", 40, 5))
+    got = delivery.upsert_state(stored, updates, state(("b", "k", "", 0, 0)), 50)
+    assert [tuple(r) for r in got.collect()] == [("a", "k", "2", 30, 100)]
+
+
 def test_pivots_of_a_flat_day_are_zero(spark):
     rows = signals.pivots(spark.createDataFrame([("a", 0, 5.0, 5.0, 5.0, 5.0, 1.0), ("b", 0, 1.0, 9.0, 1.0, 2.0, 1.0)], BAR)).orderBy("symbol").collect()
     assert rows[0]["P"] == 0.0 and rows[0]["day"] == 1

@@ -9,27 +9,38 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import recursions as R
+from emberline.operators.scans import Series, affine, clamped, followed
+from emberline.params import Params
 
 NAN = float("nan")
 
 
+def one(*x):
+    """A single series."""
+    return Series(np.array([0]), len(x[0])), *[np.array(v, float) for v in x]
+
+
+YES = np.array([True])
+
+
 def test_ema_seeds_and_holds():
-    assert R.ema([NAN, 4.0, NAN, 8.0], 0.5)[1:] == [4.0, 4.0, 6.0]
-    assert math.isnan(R.ema([NAN, 4.0], 0.5)[0])
+    s, x = one([NAN, 4.0, NAN, 8.0])
+    assert R.ema(s, x, 0.5)[1:].tolist() == [4.0, 4.0, 6.0]
+    assert math.isnan(R.ema(s, x, 0.5)[0])
 
 
 def test_rma_fills_its_warm_up_with_the_seed():
-    assert R.rma([1.0, 2.0, 3.0, 9.0], 3) == pytest.approx([2.0, 2.0, 2.0, 2.0 * 2 / 3 + 3.0])
-    assert R.rma([1.0, 2.0], 3) == pytest.approx([1.0, 1.0 * 2 / 3 + 2.0 / 3])
+    assert R.rma(*one([1.0, 2.0, 3.0, 9.0]), 3, YES) == pytest.approx([2.0, 2.0, 2.0, 2.0 * 2 / 3 + 3.0])
+    assert R.rma(*one([1.0, 2.0]), 3, YES) == pytest.approx([1.0, 1.0 * 2 / 3 + 2.0 / 3])
 
 
 def test_rsi_counts_the_change_of_its_first_bar_twice():
-    out = R.rsi([10.0, 11.0, 10.0, 12.0], 2)
-    assert out[:2] == [50.0, 50.0]
+    out = R.rsi(*one([10.0, 11.0, 10.0, 12.0]), 2, YES)
+    assert out[:2].tolist() == [50.0, 50.0]
     gain, loss = (0.5 + 0.0) / 2, (0.5 + 1.0) / 2
     assert out[2] == pytest.approx(100 - 100 / (1 + gain / loss))
-    assert R.rsi([1.0, 2.0, 3.0], 2)[2] == 100.0
-    assert R.rsi([1.0, 1.0, 1.0], 2)[2] == 50.0
+    assert R.rsi(*one([1.0, 2.0, 3.0]), 2, YES)[2] == 100.0
+    assert R.rsi(*one([1.0, 1.0, 1.0]), 2, YES)[2] == 50.0
 
 
 def test_range_filter_is_a_clamp():
@@ -38,24 +49,78 @@ def test_range_filter_is_a_clamp():
     for v, w in zip(x[1:], r[1:], strict=True):
         y = max(y, v - w) if v > y else min(y, v + w)
         want.append(y)
-    assert R.range_filter(x, r) == want
+    s, x, r = one(x, r)
+    assert R.range_filter(s, x, r, YES, np.zeros(1))[0].tolist() == want
 
 
 def test_worm_moves_by_its_deviation_at_most():
-    assert R.worm([10.0, 15.0, 10.5], [0.0, 2.0, 2.0]) == [10.0, 12.0, 10.5]
+    s, x, sd = one([10.0, 15.0, 10.5], [0.0, 2.0, 2.0])
+    assert R.worm(s, x, sd, YES, np.zeros(1))[0].tolist() == [10.0, 12.0, 10.5]
 
 
 def test_values_reset_at_missing_ones():
-    assert R.held_value([1.0, 1.0, NAN, 1.0])[1] == pytest.approx(0.75)
-    assert R.held_value([1.0, 1.0, NAN, 1.0])[3] == 0.5
-    assert R.half_sum([1.0, NAN, 1.0])[2] == 1.0
+    out = R.held_value(*one([1.0, 1.0, NAN, 1.0]))
+    assert out[1] == pytest.approx(0.75) and out[3] == 0.5
+    assert R.half_sum(*one([1.0, NAN, 1.0]))[2] == 1.0
 
 
 def test_deviation_is_zero_before_it_is_known():
-    assert R.rolling(np.arange(4.0), 3, np.std, 0.0)[:2].tolist() == [0.0, 0.0]
-
-
-WANTED = ["ppo", "sig", "rsi", "srsi", "rma", "atr_s", "filter_1", "trend", "worm", "mmh", "mmh'1", "vwap"]
+    s, x = one(np.arange(4.0))
+    assert s.rolling(x, 3, np.std, 0.0)[:2].tolist() == [0.0, 0.0]
+
+
+def slow(step, x, start):
+    """Row by row."""
+    y, out = start, []
+    for v in zip(*x, strict=True):
+        y = step(y, *v)
+        out.append(y)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("sizes", [[1], [700], [3, 1, 900, 257, 256, 5], [2] * 40])
+def test_scans_equal_row_by_row(sizes):
+    rng = np.random.default_rng(len(sizes))
+    n = sum(sizes)
+    starts = np.cumsum([0, *sizes[:-1]])
+    s = Series(starts, n)
+    x, w, into = 100 + np.cumsum(rng.normal(0, 1, n)), rng.uniform(0, 0.8, n), rng.uniform(50, 150, len(sizes))
+    holes = np.where(rng.random(n) < 0.1, NAN, x)
+    cut = [slice(a, a + k) for a, k in zip(starts, sizes, strict=True)]
+
+    def every(step, *columns, start=into):
+        return np.concatenate([slow(step, [c[k] for c in columns], y) for k, y in zip(cut, start, strict=True)])
+
+    zero = np.zeros(len(sizes))
+    assert np.allclose(affine(s, w, x), every(lambda y, a, b: a * y + b, w, x, start=zero), rtol=1e-12)
+    (got,) = clamped(s, np.ones(n), np.zeros(n), x - w, x + w, into)
+    assert np.allclose(got, every(lambda y, v, r: min(max(y, v - r), v + r), x, w), rtol=1e-13)
+    for wide in (1.0, 1e-3):  # with narrow steps chunks don't settle
+        (got,) = followed(s, x, w * wide, np.full(len(sizes), 0.0), np.full(len(sizes), 300.0), into)
+        assert np.allclose(got, every(lambda y, v, d: y + min(max(v - y, -d), d), x, w * wide), rtol=1e-13)
+    got = R.kalman(s, holes, 5, 0.01, 0.1)
+    for k in cut:
+        y, e = NAN, 1.0
+        for i in range(k.start, k.stop):
+            v = holes[i]
+            if v == v:
+                y = v if y != y else y
+                g = e / (e + 0.05)
+                y, e = y + g * (v - y), (1 - g) * e + 0.02
+            assert got[i] == pytest.approx(y, nan_ok=True)
+    for period in (3, 50):
+        for f, of in ((np.minimum, np.min), (np.maximum, np.max)):
+            assert np.array_equal(s.extreme(holes, period, f), s.rolling(holes, period, of), equal_nan=True)
+
+
+def test_long_parameters_have_long_halos():
+    assert R.halo_of(Params()) == R.HALO
+    assert (1 - 1 / 1000) ** R.halo_of(Params(rma_long=1000)) < 1e-16
+    with pytest.raises(ValueError):
+        R.recursive(None, ["ppo"], block=10, halo=20)
+
+
+WANTED = ["ema_trailing", "ppo", "sig", "rsi", "srsi", "rma", "atr_s", "filter_1", "trend", "worm", "mmh", "mmh'1", "vwap"]
 
 
 @pytest.mark.parametrize(("block", "halo"), [(1500, 1400), (1700, 1200)])
@@ -86,3 +151,20 @@ def test_short_and_empty_series(spark):
     r = R.recursive(bars, ["ppo", "rsi", "rma", "atr_l", "mmh", "cloud_up", "vwap"]).first()
     assert (r["ppo"], r["rsi"], r["rma"], r["atr_l"], r["mmh"], r["cloud_up"], r["vwap"]) == (0.0, 50.0, 0.0, None, None, 0.0, 1.0)
     assert R.recursive(bars.where(F.lit(False)), ["ppo"]).count() == 0
+
+
+def test_a_day_longer_than_the_halo(spark):
+    rows = [("a", 60 * i, i + 1, 10.0, 11.0, 9.0, 10.0 + i % 5, 1.0 + i % 3) for i in range(3000)]
+    bars = spark.createDataFrame(rows, "symbol string, t long, rn long, open double, high double, low double, close double, volume double")
+    one = [r["vwap"] for r in R.recursive(bars, ["vwap"]).orderBy("rn").collect()]
+    many = [r["vwap"] for r in R.recursive(bars, ["vwap"], block=700, halo=300).orderBy("rn").collect()]
+    assert many == pytest.approx(one)
+
+
+def test_prices_beyond_a_block_s_runs(spark):
+    """A level that comes from prices which no block's rows show: the price fell to a hundredth and stays there."""
+    rows = [("a", 900 * i, i + 1, *([100.0] * 4 if i < 40 else [1.0] * 4), 1.0) for i in range(400)]
+    bars = spark.createDataFrame(rows, "symbol string, t long, rn long, open double, high double, low double, close double, volume double")
+    one = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"]).orderBy("rn").collect()]
+    many = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"], block=64, halo=32).orderBy("rn").collect()]
+    assert many == one
