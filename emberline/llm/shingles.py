@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 SEED = 42
-#: Shingle hashes whose bits are unpacked at once (64 bytes each).
-BLOCK = 1 << 18
+#: Shingle hashes whose bits are unpacked at once (64 bytes each, and 512 while they are added up).
+BLOCK = 1 << 15
 
 
 def hashes(text: bytes | None, width: int) -> np.ndarray:
