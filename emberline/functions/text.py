@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 #: Fixed value: the class of characters that messages escape. It holds the range + to =.
 ESCAPED = r"[_*\[\]()~`>#+-=|{}.!]"
 
+#: Patterns of secrets and what stands in their place.
+SECRETS = {
+    r"\b\d{6,}:[A-Za-z0-9_-]{20,}\b": "[REDACTED_TOKEN]",
+    r"chat_id=\d+": "chat_id=[REDACTED]",
+    r"(redis://[^@]+@)": "redis://[REDACTED]",
+}
+
 
 def money(x: Column) -> Column:
     """Two places, as in 12.34."""
@@ -32,9 +39,9 @@ def md_escape(s: Column) -> Column:
 
 def redact(s: Column) -> Column:
     """Bot tokens, chat identifiers and the credentials of store addresses taken out."""
-    s = F.regexp_replace(s, r"\b\d{6,}:[A-Za-z0-9_-]{20,}\b", "[REDACTED_TOKEN]")
-    s = F.regexp_replace(s, r"chat_id=\d+", "chat_id=[REDACTED]")
-    return F.regexp_replace(s, r"(redis://[^@]+@)", "redis://[REDACTED]")
+    for pattern, instead in SECRETS.items():
+        s = F.regexp_replace(s, pattern, instead)
+    return s
 
 
 def safe_double(s: Column, default: float = 0.0) -> Column:

@@ -20,7 +20,7 @@ def pivot_reason(level: str, up: bool, p: Params = DEFAULT) -> Column:
 
 
 def suppression(p: Params = DEFAULT) -> Column:
-    """The failed conditions and all reasons, in their order; pivot reasons only where any level is known."""
+    """The failed conditions and all reasons, in their order; pivot reasons only where any level is known. The texts are fixed values."""
     yes = lambda x: F.coalesce(x, F.lit(False))
     buy, sell = F.col("buy"), F.col("sell")
     o, c, c1, v, v1 = (F.col(x) for x in ("open", "close", "close_lag1", "vwap", "vwap_lag1"))

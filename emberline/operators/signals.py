@@ -88,6 +88,7 @@ def five(x: Column) -> Column:
 
 
 def quality_reason(buy: bool, p: Params = DEFAULT) -> Column:
+    """Why the candle's shape passes or not. The texts are fixed values."""
     o, h, lo, c = F.col("open"), F.col("high"), F.col("low"), F.col("close")
     ratio = (h - c if buy else c - lo) / (h - lo)
     corrupt = F.concat(F.lit("Corrupted data (H="), five(h), F.lit(" < C="), five(c), F.lit(")")) if buy else F.concat(F.lit("Corrupted data (L="), five(lo), F.lit(" > C="), five(c), F.lit(")"))
@@ -160,7 +161,7 @@ def number(x: Column) -> Column:
 
 
 def alerts(p: Params = DEFAULT) -> list[Alert]:
-    """All alerts in the order in which caps count them, made once for each Spark application."""
+    """All alerts in the order in which caps count them, made once for each Spark application. Keys, titles, texts and their order are fixed values."""
     return _alerts(p, SparkContext.getOrCreate().applicationId)
 
 
