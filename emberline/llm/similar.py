@@ -191,11 +191,16 @@ class Search:
         both = near.join(a, "u").join(b, "v")
         return materialize(both.where(self.reaches(F.size(F.array_intersect("_set_u", "_set_v")), F.size("_set_u"), F.size("_set_v"))).select("u", "v"))
 
+    def leads(self, i: Column, n: Column, both: Column) -> Column:
+        """Whether place i of a set of n lies in what must share a shingle with a set that has `both` - n: two sets that are similar share one within n less the shingles that they need in common, and one more."""
+        up = both * self.share.numerator + (self.share.numerator + self.share.denominator - 1)
+        return i <= n - F.floor(up / (self.share.numerator + self.share.denominator))
+
     def buckets(self) -> DataFrame:
-        """h, node, n and lone: the shingles of prefixes that several nodes have; lone is the share of the node's prefix that no other has."""
-        first = self.points.select("node", F.explode("prefix").alias("h"))
+        """h, node, i, n and lone: the shingles of prefixes that several nodes have, and their places in them; lone is the share of the node's prefix that no other has."""
+        first = self.points.select("node", F.posexplode("prefix").alias("i", "h"))
         shared = first.groupBy("h").count().where("count > 1").select("h")
-        met = materialize(first.join(shared, "h").select("h", "node"))
+        met = materialize(first.join(shared, "h").select("h", "node", "i"))
         held = met.groupBy("node").count().join(self.points.select("node", "n", F.size("prefix").alias("_p")), "node").select("node", "n", (1 - F.col("count") / F.col("_p")).cast("float").alias("lone"))
         return materialize(met.join(small(held, self.points.count(), NODES), "node"))
 
@@ -214,10 +219,9 @@ class Search:
                 votes = apart.where(self.alike(n, F.col("c_n"))).groupBy("node", "c").count()
                 found = votes.groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("v")).select(F.col("node").alias("u"), "v")
             else:  # all that aren't connected yet; at least one of the two isn't connected with the centre
-                other = rows.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
+                other = rows.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
                 pair = apart.join(other, "h").where((F.col("root") != F.col("_root")) & (F.col("_near") | (F.col("node") < F.col("v"))))
-                pair = pair.where(self.alike(n, m)).groupBy(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.max(n + m).alias("both"), F.max(F.greatest(n, m)).alias("more"))
-                found = pair.where(self.may_reach(F.col("shared"), F.col("both") - F.col("more"), F.col("more"))).select("u", "v")
+                found = pair.where(self.alike(n, m) & self.leads(F.col("i"), n, n + m) & self.leads(F.col("j"), m, n + m)).select(F.col("node").alias("u"), "v")
             new = self.verified(found)
             if not new.isEmpty():
                 links = links.union(new)
