@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import archives, audio, chats, exact_dedup, language, licenses, mixing, pieces, quality, simhash
+from emberline.llm import alignment, archives, audio, bpe, chats, exact_dedup, language, licenses, mixing, pieces, quality, repair, simhash
 from emberline.llm.common import is_held_out
 
 #: The model file of the queries' SentencePiece vocabulary.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The files of the queries' BPE vocabularies: with word ends, and byte-level.
+WORD_BPE, BYTE_BPE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_licenses, op5_sentencepiece, op6_warc, op7_quality, op8_chats, op9_exact_dedup, op10_media)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.correspondence(table(spark, sf_dir, "documents"), BYTE_BPE, MODEL)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_licenses, op5_sentencepiece, op6_warc, op7_quality, op8_chats, op9_exact_dedup, op10_media, op11_bpe, op12_repair, op13_alignment)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
 
