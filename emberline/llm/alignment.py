@@ -12,6 +12,7 @@ more documents than these, meet their counts by a shuffle. Both ways give the sa
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +26,7 @@ from emberline.llm.common import as_bytes, map_columns, materialize, parts
 from emberline.storage import scratch
 
 #: Bytes of text that a task aligns at once; windows that a Python worker remembers.
-AT_ONCE, WINDOWS = 1 << 21, 300_000
+AT_ONCE, WINDOWS = 1 << 20, 150_000
 #: Pairs that are broadcast at most (some 20 MB), and steps of a factor of two in which their least count is chosen.
 HOT, FINE = 1 << 18, 8
 ID_BITS = 20
@@ -43,11 +44,26 @@ class Windows(dict):
     def forget(self) -> None:
         self.clear()
         self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.sizes: list[int] = []
-        self.pairs: list[int] = []
-        self.many: list[int] = []
+        self.groups, self.links, self.sizes, self.pairs, self.many = (array("q") for _ in range(5))
+        self.uses = np.zeros(0, np.int64)
+
+    def used(self, found: np.ndarray) -> None:
+        self.uses = np.bincount(found, minlength=len(self.texts)) + np.pad(self.uses, (0, len(self.texts) - len(self.uses)))
+
+    def trim(self, most: int) -> None:
+        """Keep the windows used most, half of `most`, and halve what their uses count."""
+        if len(self.texts) <= most:
+            return
+        at = np.sort(np.argsort(-self.uses, kind="stable")[: most // 2])
+        keys = list(self)  # in the order of their numbers
+        groups, links, size, pairs, many = (np.array(x, np.int64) for x in (self.groups, self.links, self.sizes, self.pairs, self.many))
+        k = size[at]
+        flat = np.repeat((np.cumsum(size) - size)[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        keys, texts, uses = [keys[i] for i in at.tolist()], [self.texts[i] for i in at.tolist()], self.uses[at] // 2
+        self.clear()
+        self.update(zip(keys, range(len(keys)), strict=True))
+        self.texts, self.uses = texts, uses
+        self.groups, self.links, self.sizes, self.pairs, self.many = (array("q", x.tobytes()) for x in (groups[at], links[at], k, pairs[flat], many[flat]))
 
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
         """Cut a window where tokens of both sides end together, and link all tokens within a cut."""
@@ -74,8 +90,8 @@ class Windows(dict):
         self.groups.append(len(texts))
         self.links.append(links)
         self.sizes.append(len(found))
-        self.pairs += found
-        self.many += found.values()
+        self.pairs.extend(found)
+        self.many.extend(found.values())
         return n
 
 
@@ -123,13 +139,13 @@ class Aligner:
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """Of each text: counts, the digest of its groups, and its distinct pairs with how many links each has."""
         w = self.windows
-        if len(w.texts) > WINDOWS:
-            w.forget()
+        w.trim(WINDOWS)
         a, n_a, b, n_b, data, sizes = self.tokens(texts)
         a_at, b_at, at = self.cut(a, b, data, sizes)
         raw_a, raw_b = a.tobytes(), b.tobytes()
         a_to, b_to = (4 * a_at).tolist(), (4 * b_at).tolist()
         found = np.fromiter((w[raw_a[i:j], raw_b[k:m]] for i, j, k, m in zip([0, *a_to], a_to, [0, *b_to], b_to, strict=False)), np.int64, len(at))
+        w.used(found)
         last = np.searchsorted(at, np.cumsum(sizes), "right")  # windows up to each text's end
         first = np.concatenate(([0], last[:-1]))
         owner = np.repeat(np.arange(len(texts)), last - first)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import as_bytes, map_columns, parts
 
 #: Words and pairs that a Python worker remembers; longer words are encoded each time.
-REMEMBERED, PAIRS, LONGEST = 500_000, 1_000_000, 64
+REMEMBERED, PAIRS, LONGEST = 300_000, 500_000, 64
 #: Bytes of text that a task encodes, and tokens that it decodes, at once.
 AT_ONCE, TOKENS = 1 << 22, 1 << 20
 #: Stands for the end of a word in vocabularies that mark it.
@@ -62,11 +62,13 @@ class Backtracker:
         self.birth, self.halves, self.rank = [-1] * self.base, [(i, i) for i in range(self.base)], {}
         for k, (a, b) in enumerate(merges):
             left, right, both = tokens[a], tokens[b], tokens[a + b]
-            if self.birth[both] >= 0 or max(self.birth[left], self.birth[right]) >= k:
-                raise ValueError("a merge comes before its parts, or makes a token that another makes")
+            if self.birth[both] >= 0:
+                raise ValueError("two merges make one token")
             self.birth[both], self.halves[both], self.rank[left * self.base + right] = k, (left, right), k
+        if any(max(self.birth[left], self.birth[right]) >= self.birth[i] for i, (left, right) in enumerate(self.halves) if self.birth[i] >= 0):
+            raise ValueError("a merge comes before its parts")
         self.apart: dict[int, bool] = {}
-        own = {s: i for s, i in tokens.items() if self.whole(i)}
+        own = {s: i for s, i in tokens.items() if (self.whole(i) if self.birth[i] >= 0 else len(s.removesuffix(END)) == 1)}  # those that an encoding can hold
         self.shorter = [-1] * self.base  # the longest prefix of each token that is a token
         self.found = ahocorasick.Automaton()
         for s, i in own.items():
@@ -75,9 +77,7 @@ class Backtracker:
         self.found.make_automaton()
 
     def whole(self, token: int) -> bool:
-        """Whether a token's own spelling is merged to it: its halves are, and only its own merge joins them."""
-        if self.birth[token] < 0:
-            return True
+        """Whether a merged token's own spelling is merged to it: no earlier merge joins its halves."""
         left, right = self.halves[token]
         return self.stays_apart(left, right, self.birth[token])
 
