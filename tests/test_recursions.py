@@ -137,11 +137,15 @@ def test_blocks_give_what_one_piece_gives(spark, block, halo):
         assert np.allclose(one[c], many[c], rtol=0, atol=1e-6, equal_nan=True), c
 
 
-def test_a_level_that_never_meets_is_run_in_one_piece(spark):
+#: Windows and averages that a short halo holds.
+SHORT = Params(cloud=(3, 2, 4, 1), mmh_std=5, mmh_period=6, rma_short=3, rma_long=4)
+
+
+def test_a_level_that_never_meets(spark):
     rows = [("a", 900 * i, i + 1, 100.0, 100.0, 100.0, 100.0, 1.0) for i in range(300)] + [("b", 900 * i, i + 1, 50.0 + i % 2, 52.0, 49.0, 50.0 + i % 3, 1.0) for i in range(300)]
     bars = spark.createDataFrame(rows, "symbol string, t long, rn long, open double, high double, low double, close double, volume double")
-    one = R.recursive(bars, ["worm", "filter_1"]).orderBy("symbol", "rn").collect()
-    many = R.recursive(bars, ["worm", "filter_1"], block=64, halo=32).orderBy("symbol", "rn").collect()
+    one = R.recursive(bars, ["worm", "filter_1"], SHORT).orderBy("symbol", "rn").collect()
+    many = R.recursive(bars, ["worm", "filter_1"], SHORT, block=64, halo=32).orderBy("symbol", "rn").collect()
     assert [(r["symbol"], r["rn"], round(r["worm"], 9)) for r in one] == [(r["symbol"], r["rn"], round(r["worm"], 9)) for r in many]
 
 
@@ -165,6 +169,85 @@ def test_prices_beyond_a_block_s_runs(spark):
     """A level that comes from prices which no block's rows show: the price fell to a hundredth and stays there."""
     rows = [("a", 900 * i, i + 1, *([100.0] * 4 if i < 40 else [1.0] * 4), 1.0) for i in range(400)]
     bars = spark.createDataFrame(rows, "symbol string, t long, rn long, open double, high double, low double, close double, volume double")
-    one = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"]).orderBy("rn").collect()]
-    many = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"], block=64, halo=32).orderBy("rn").collect()]
-    assert many == one
+    one = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"], SHORT).orderBy("rn").collect()]
+    many = [(r["worm"], r["filter_1"]) for r in R.recursive(bars, ["worm", "filter_1"], SHORT, block=64, halo=32).orderBy("rn").collect()]
+    assert many == [pytest.approx(x, rel=1e-12) for x in one]
+
+
+SCHEMA = "symbol string, t long, rn long, open double, high double, low double, close double, volume double"
+
+
+def wild(n, seed):
+    """Prices that rise fourfold, stand still for long, jump, and rest for days."""
+    rng = np.random.default_rng(seed)
+    steps = rng.normal(0.002, 0.01, n) * (rng.random(n) < 0.7) * np.repeat(rng.random(-(-n // 170)) < 0.5, 170)[:n]
+    steps[rng.integers(0, n, 4)] += 0.7
+    return 50 * np.exp(np.cumsum(steps))
+
+
+HELD = ["filter_1", "filter_2", "trend", "cloud_up", "worm", "mmh", "mmh'2", "vwap", "vwap'1"]
+
+
+@pytest.mark.parametrize(("block", "halo", "seed"), [(300, 260, 1), (280, 280, 2), (900, 600, 3)])
+def test_states_are_handed_on_exactly(spark, block, halo, seed):
+    """Short halos: many blocks do not settle in them, as prices stand still for long or jump."""
+    p = SHORT
+    rows = [(s, 700 * i, i + 1, *[float(c)] * 4, 1.0 + i % 7) for k, s in enumerate("abc") for i, c in enumerate(wild(1500 - 300 * k, seed + 10 * k))]
+    rows += [("d", 700 * i, i + 1, *[100.0] * 4, 1.0) for i in range(900)] + [("e", 0, 1, *[1.0] * 4, 1.0)]
+    bars = spark.createDataFrame(rows, SCHEMA)
+    one = R.recursive(bars, HELD, p).orderBy("symbol", "rn").toPandas()
+    many = R.recursive(bars, HELD, p, block=block, halo=halo).orderBy("symbol", "rn").toPandas()
+    assert len(many) == len(one)
+    for c in one.columns[8:]:
+        assert np.allclose(one[c], many[c], rtol=1e-9, atol=1e-7, equal_nan=True), c
+
+
+def test_prices_that_rise_fourfold_need_no_second_run(spark, monkeypatch):
+    from emberline.operators import handover
+
+    left = []
+    real = handover.unsettled
+    monkeypatch.setattr(handover, "unsettled", lambda *a: left.append(real(*a).count()) or real(*a))
+    n = 20_000
+    rng = np.random.default_rng(8)
+    close = 100 * np.exp(np.linspace(0, np.log(4), n) + np.cumsum(rng.normal(0, 1e-4, n)))
+    bars = spark.createDataFrame([("a", 60 * i, i + 1, float(c), float(c * 1.001), float(c * 0.999), float(c), 1.0) for i, c in enumerate(close)], SCHEMA)
+    for wanted in (["ema"], ["worm"], ["mmh", "trend"]):
+        one = R.recursive(bars, wanted).orderBy("rn").toPandas()
+        many = R.recursive(bars, wanted, block=4096, halo=3500).orderBy("rn").toPandas()
+        for c in one.columns[8:]:
+            assert np.allclose(one[c], many[c], rtol=1e-9, atol=1e-7, equal_nan=True), c
+    assert left == [0, 0]  # none for the average, which needs no states
+
+
+def test_the_map_of_a_follower():
+    from emberline.operators import handover
+
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        x, step = rng.normal(0, 3, 40), rng.uniform(0, 0.3, 40) * (rng.random(40) < 0.8)
+        way = handover.follow(x, step, -9.0, 9.0)
+        for y in rng.uniform(-9, 9, 20):
+            z = y
+            for v, w in zip(x, step, strict=True):
+                z += min(max(v - z, -w), w)
+            assert handover.through(way, y, True) == pytest.approx(z, abs=1e-9), k
+
+
+@pytest.mark.parametrize("gone", [(), (150,), (0, 1, 2), (3, 4, 20, 21, 22, 140, 299), tuple(range(0, 300, 3)), tuple(range(290))])
+def test_rsi_with_missing_closes_row_by_row(gone):
+    rng = np.random.default_rng(6)
+    close = 100 + np.cumsum(rng.normal(0, 1, 300))
+    close[list(gone)] = NAN
+    period, n = 21, 300
+    known = [i for i in range(n) if close[i] == close[i]]
+    change, want = {}, [50.0] * n
+    for a, b in zip(known, known[1:], strict=False):
+        change[b] = close[b] - close[a]
+    first = known[0]
+    up, down = (sum(max(s * change.get(i, 0.0), 0.0) for i in range(first + 1, min(first + period + 1, n))) / period for s in (1, -1))
+    for i in range(first + period, n):
+        if close[i] == close[i]:
+            up, down = (max(s * change[i], 0.0) / period + avg * (1 - 1 / period) for s, avg in ((1, up), (-1, down)))
+        want[i] = (100.0 if up > 0 else 50.0) if down == 0 else 100 - 100 / (1 + up / down)
+    assert R.rsi(*one(close), period, YES) == pytest.approx(want, abs=1e-9)
