@@ -46,12 +46,17 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], first: bool = Tr
     return out.select("symbol", "t", *[F.col(f"_own.{c}").alias(c) for c in kept], *[F.col(f"_found.{c}").alias(c) for c in columns]).select(*left.columns, *columns)
 
 
-def pivots(daily: DataFrame) -> DataFrame:
-    """symbol, day (from which the levels hold) and seven levels of the day before; a level that isn't positive, and all of a day without range, are 0."""
-    h, lo, c = F.col("high"), F.col("low"), F.col("close")
+def levels(h: Column, lo: Column, c: Column) -> dict[str, Column]:
+    """Seven levels of a day's candle; a level that isn't positive, and all of a day without range, are 0."""
     span, middle = h - lo, (h + lo + c) / 3
-    levels = {"P": middle} | {f"R{k}": middle + span * r for k, r in RATIOS.items()} | {f"S{k}": middle - span * r for k, r in RATIOS.items()}
-    return daily.select("symbol", (day_of(F.col("t")) + 1).alias("day"), *[F.when((span >= 1e-8) & (x > 0), x).otherwise(0.0).alias(n) for n, x in levels.items()])
+    out = {"P": middle} | {f"R{k}": middle + span * r for k, r in RATIOS.items()} | {f"S{k}": middle - span * r for k, r in RATIOS.items()}
+    return {n: F.when((span >= 1e-8) & (x > 0), x).otherwise(0.0) for n, x in out.items()}
+
+
+def pivots(daily: DataFrame) -> DataFrame:
+    """symbol, day (from which the levels hold) and the levels of the day before."""
+    found = levels(F.col("high"), F.col("low"), F.col("close"))
+    return daily.select("symbol", (day_of(F.col("t")) + 1).alias("day"), *[x.alias(n) for n, x in found.items()])
 
 
 def eval_day(p: Params = DEFAULT, width: int = 900) -> Column:
@@ -221,14 +226,14 @@ def _alerts(p: Params, application: str) -> list[Alert]:
     return out
 
 
-def long_alerts(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, ord, key, trigger, reset, daily, and bar: what its text shows, only where it fires."""
+def long_alerts(rows: DataFrame, p: Params = DEFAULT, more: list[str] | None = None) -> DataFrame:
+    """A row for each evaluated candle and alert that fires or resets: symbol, t, eval_day, ord, key, trigger, reset, daily, and bar: what its text shows, only where it fires; and the columns in more."""
     yes = lambda x: F.coalesce(x, F.lit(False))
     each = [
         F.struct(F.lit(i).alias("ord"), F.lit(a.key).alias("key"), yes(a.enabled & a.trigger).alias("trigger"), yes(a.enabled & a.reset).alias("reset"), F.lit(a.daily).alias("daily"))
         for i, a in enumerate(alerts(p))
     ]
-    out = rows.select("symbol", "t", "eval_day", F.struct(*SHOWN).alias("bar"), F.inline(F.array(*each))).where("trigger or reset")
+    out = rows.select("symbol", "t", "eval_day", *(more or []), F.struct(*SHOWN).alias("bar"), F.inline(F.array(*each))).where("trigger or reset")
     return out.withColumn("bar", F.when(F.col("trigger"), F.col("bar")))
 
 

@@ -658,20 +658,45 @@ LIVE = ["ppo", "sig", "srsi", "rma", "atr_s", "atr_l", "cloud_up", "cloud_down",
 _warm = live.warm_up(P)
 
 
-@query(f"select symbol, t, rn, {', '.join(f'case when rn >= {_warm.get(n, 0)} then round({n}, 6) end::double as {n}' for n in (x.replace(chr(39), '_lag') for x in LIVE))} from gt", "gt")
+@query(f"select symbol, t, rn, {', '.join(f'case when rn >= {_warm.get(n, 0)} then round({n}, 6) end::double as {n}' for n in (x.replace(chr(39), '_lag') for x in LIVE))} from gt where t + {P.lag} <= (select max(t) from gt)", "gt")
 def stream_features(d: Data) -> DataFrame:
-    """Indicators of candles that arrive in three steps."""
+    """Indicators of candles that arrive in three steps; the newest candles wait for the watermark to pass their ends."""
     names = [w.replace("'", "_lag") for w in LIVE]
     kinds = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"{n} double" for n in names]])
-    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE), kinds, ["symbol", "t"])
+    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE), kinds, ["symbol", "t"], idle=True)
     return rows.select("symbol", "t", "rn", *[F.round(F.when(~F.isnan(n), F.col(n)), 6).alias(n) for n in names])
 
 
-@query("select symbol, t, key, title, text from lat", "lat")
+def both_widths(d: Data) -> DataFrame:
+    """15- and 5-minute candles as one stream brings them."""
+    five = materialize(d.bars(5))
+    return candles.rollup(five, 15).withColumn("width", F.lit(15)).unionByName(five.withColumn("width", F.lit(5)))
+
+
+_fired = "symbol string, t long, ord int, key string, title string, text string"
+_newest = f"(select max(t) from b15) - {P.lag}"
+
+
+@query(f"select symbol, t, key, title, text from lat where t <= {_newest}", "lat", "b15")
 def stream_alerts(d: Data) -> DataFrame:
-    """The live latch on triggers and resets that arrive in three steps."""
-    rows = materialize(signals.with_text(d.alerts))
-    return live.in_steps(rows, _pauses, live.scratch(d.spark), live.live_latch, "symbol string, t long, ord int, key string, title string, text string", ["symbol", "key", "t"]).select("symbol", "t", "key", "title", "text")
+    """From candles that arrive in three steps to alerts: indicators, as-of, gates, triggers and latch in one query."""
+    out = live.in_steps(both_widths(d), _pauses, live.scratch(d.spark), lambda r: live.live_alerts(r).drop("ts"), _fired, ["symbol", "key", "t"], idle=True)
+    return out.select("symbol", "t", "key", "title", "text")
+
+
+@query(f"select symbol, t, key, rank::int as rank, total::bigint as total, total <= {P.cap_run} as counted from cap3 join (select t, symbol, sum(k) over (partition by t order by symbol) as total from (select t, symbol, count(*) as k from cap3 group by 1, 2)) using (t, symbol) where t <= {_newest}", "cap3", "b15")
+def stream_caps(d: Data) -> DataFrame:
+    """From candles that arrive in four steps to capped alerts: as stream_alerts, then ranked when a candle's alerts of all symbols are there."""
+    kinds = f"{_fired}, rank int, total long, counted boolean"
+    out = live.in_steps(both_widths(d), [1_704_400_000, *_pauses], live.scratch(d.spark), lambda r: live.live_caps(live.live_alerts(r)), kinds, ["symbol", "key", "t"], idle=True)
+    return out.select("symbol", "t", "key", "rank", "total", "counted")
+
+
+@query(_stream_bars % "true", "ev")
+def stream_chain(d: Data) -> DataFrame:
+    """15-minute candles made of live 5-minute candles in the same query."""
+    rows = d.spark.read.parquet(f"{d.dir}/events.parquet").withColumn("t", candles.epoch(F.col("ts")))
+    return live.in_steps(rows, _pauses, live.scratch(d.spark), lambda r: live.chained_candles(live.events(r), 15), _live, ["symbol", "t"], idle=True)
 
 
 @query("select symbol, t, key from la where trigger or reset", "la")

@@ -1,24 +1,24 @@
 """Live counterparts of the batch operators, in Structured Streaming.
 
 Rows of a key come in the order of time over micro-batches, in any order within one; however they are cut into micro-batches, the result is the same.
-States expire by processing time some time after they were last written, so that keys that come no more don't stay.
+States go by event time: timers clear what can't matter any more once the watermark has passed it, however long a pause or a replay takes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from emberline.operators import signals
 from emberline.operators.panel import DAY
-from emberline.operators.recursions import Blocks, halo_of
 from emberline.params import DEFAULT, Params
 from emberline.storage import scratch as new_folder
+from emberline.streaming.steps import Steps, warm_up
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,130 +43,272 @@ def live_candles(rows: DataFrame, minutes: int, p: Params = DEFAULT) -> DataFram
     return bars.select("symbol", F.unix_seconds("w.start").alias("t"), "open", "high", "low", "close", "n")
 
 
+def chained_candles(rows: DataFrame, minutes: int, base: int = 5, p: Params = DEFAULT) -> DataFrame:
+    """Candles of values made of shorter candles in the same query: windows over the times at which the shorter windows close. As live_candles of the same width."""
+    place = F.struct("ts", "event_id")
+    of = rows.withWatermark("ts", f"{p.lag} seconds").groupBy("symbol", F.window("ts", f"{base} minutes").alias("w")).agg(
+        F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count(F.lit(1)).alias("n")
+    )
+    of = of.select("symbol", F.window_time("w").alias("_at"), "open", "high", "low", "close", "n")
+    bars = of.groupBy("symbol", F.window("_at", f"{minutes} minutes").alias("w")).agg(
+        F.min_by("open", "_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_at").alias("close"), F.sum("n").alias("n")
+    )
+    return bars.select("symbol", F.unix_seconds("w.start").alias("t"), "open", "high", "low", "close", "n")
+
+
+def timed(rows: DataFrame, late: int, end: Column | None = None) -> DataFrame:
+    """rows with ts, the time of t (or of end) as a time stamp, whose watermark lies `late` seconds behind the newest."""
+    return rows.withColumn("ts", F.timestamp_seconds(F.col("t") if end is None else end)).withWatermark("ts", f"{late} seconds")
+
+
 class Repeats(StatefulProcessor):
-    """Passes on rows that come at least `seconds` of event time after the last one passed on."""
+    """Passes on rows that come at least `seconds` of event time after the last one passed on. That time is forgotten once no row can come so early."""
 
     def __init__(self, seconds: int, columns: list[str]) -> None:
         self.seconds, self.columns = seconds, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long", ttlDurationMs=2000 * self.seconds)
+        self.handle, self.last = handle, handle.getValueState("last", "t long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        last = self.last.get()
-        last = last[0] if last else None
+        before = self.last.get()
+        last = before[0] if before else None
         for r in sorted(rows, key=lambda r: (r["t"], r["event_id"])):
             if last is None or r["t"] - last >= self.seconds:
                 last = r["t"]
                 yield Row(**{c: r[c] for c in self.columns})
-        self.last.update((last,))
+        if before is None or before[0] != last:
+            if before:
+                self.handle.deleteTimer(1000 * (before[0] + self.seconds))
+            self.last.update((last,))
+            self.handle.registerTimer(1000 * (last + self.seconds))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def live_dedup(rows: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFrame:
+def live_dedup(rows: DataFrame, keys: list[str], p: Params = DEFAULT, late: int | None = None) -> DataFrame:
     """Of rows (keys, t, event_id): the first of each key, and those that come the dedup window after the last accepted one. Rows that come late, from before the last accepted one, are repeats.
 
-    A state outlives the window in processing time, which live event time keeps to; a replay runs faster, so that nothing expires early.
+    late: seconds of event time that rows may lag behind the newest, the dedup window unless given; older ones are dropped. States go by event time, so that a pause changes nothing.
     """
-    kept = rows.select(*keys, "t", "event_id")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.groupBy(*keys).transformWithState(statefulProcessor=Repeats(p.dedup, kept.columns), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    kept = timed(rows.select(*keys, "t", "event_id"), p.dedup if late is None else late)
+    columns = [*keys, "t", "event_id"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*columns).schema)
+    return kept.groupBy(*keys).transformWithState(statefulProcessor=Repeats(p.dedup, columns), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+FIRED = ["symbol", "t", "ord", "key", "title", "text"]
 
 
 class Latch(StatefulProcessor):
-    """Keeps for each key whether its alert is active, and passes on triggers that find it inactive. An active state expires `ttl` seconds of candle time after it was set."""
+    """Keeps a symbol's active alerts (alert to time and day on which it was set), and passes on triggers that find theirs inactive. An active state expires `ttl` seconds of candle time after it was set."""
 
-    def __init__(self, ttl: int, columns: list[str]) -> None:
-        self.ttl, self.columns = ttl, columns
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "active boolean, day long, since long", ttlDurationMs=1000 * self.ttl)
+        self.handle, self.active = handle, handle.getMapState("active", "key string", "since long, day long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        before = self.state.get()
-        on, day, since = before or (False, None, None)
-        for r in sorted(rows, key=lambda r: r["t"]):
-            if on and (r["t"] - since >= self.ttl or r["daily"] and r["eval_day"] != day):
-                on = False
-            day = r["eval_day"]
-            if r["trigger"] and not on:
-                since = r["t"]
-                yield Row(**{c: r[c] for c in self.columns})
-            on = r["trigger"]
-        self.state.update((on, day, since))
+        before = {k[0]: tuple(v) for k, v in self.active.iterator()}  # a symbol has as many alerts as there are kinds
+        now = dict(before)
+        for r in sorted(rows, key=lambda r: (r["t"], r["ord"])):
+            on = now.pop(r["key"], None)
+            if on and (r["t"] - on[0] >= self.ttl or r["daily"] and r["eval_day"] != on[1]):
+                on = None
+            if r["trigger"]:
+                if not on:
+                    yield Row(**{c: r[c] for c in FIRED}, ts=r["ts"])
+                now[r["key"]] = (on[0] if on else r["t"], r["eval_day"])
+        for alert in before.keys() - now.keys():
+            self.active.removeKey((alert,))
+        for alert, value in now.items():
+            if before.get(alert) != value:
+                self.active.updateValue((alert,), value)
+                self.handle.registerTimer(1000 * (value[0] + self.ttl))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        until = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.ttl
+        for alert, since in [(a, v[0]) for a, v in self.active.iterator()]:
+            if since <= until:
+                self.active.removeKey(alert)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def live_latch(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Of a stream of long alerts (as signals.long_alerts gives them, with title and text): those that fire.
+    """Of a stream of long alerts (as signals.long_alerts gives them, with title, text and ts, which carries the watermark): those that fire, with ts.
 
-    The state of a daily key is cleared on a new day. An active state expires by candle time, so that a replay
-    gives the same alerts, and a key's state goes when it hasn't been written for as long. Needs the RocksDB state store.
+    A symbol has one state, from alert to when it was set; an alert that isn't active has none. The state of a daily key is cleared on a new day; an active
+    one expires by candle time, so that a replay gives the same alerts. Needs the RocksDB state store.
     """
-    columns = ["symbol", "t", "ord", "key", "title", "text"]
-    return rows.groupBy("symbol", "key").transformWithState(
-        statefulProcessor=Latch(p.state_ttl, columns), outputStructType="symbol string, t long, ord int, key string, title string, text string", outputMode="Append", timeMode="ProcessingTime"
+    return rows.groupBy("symbol").transformWithState(
+        statefulProcessor=Latch(p.state_ttl), outputStructType="symbol string, t long, ord int, key string, title string, text string, ts timestamp", outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts"
     )
 
 
-def warm_up(p: Params) -> dict[str, int]:
-    """The first row number at which a live indicator has a value. Batch fills the rows before from later candles (an average's seed), or decides by the length of the whole series."""
-    ppo, srsi, cloud = max(p.ppo_fast, p.ppo_slow), p.rsi_len + p.kalman_len, max(p.cloud[0], p.cloud[2])
-    return {"rma": p.rma_short, "rma_long": p.rma_long, "atr_s": p.atr_short, "atr_l": p.atr_long, "ppo": ppo, "sig": ppo, "rsi": p.rsi_len + 1, "srsi": srsi, "cloud_up": cloud, "cloud_down": cloud}
+class Caps(StatefulProcessor):
+    """Holds a candle's alerts of all symbols until no more can come, then ranks and counts them."""
+
+    def __init__(self, wait: int, p: Params) -> None:
+        self.wait, self.p = wait, p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("rows", "symbol string, t long, ord int, key string, title string, text string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        self.rows.appendList([tuple(r[c] for c in FIRED) for r in rows])
+        self.handle.registerTimer(1000 * (key[0] + self.wait))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        symbols: dict[str, list[tuple]] = {}
+        for r in sorted(map(tuple, self.rows.get()), key=lambda r: (r[0], r[2])):
+            symbols.setdefault(r[0], []).append(r)
+        self.rows.clear()
+        total = 0
+        for alerts in symbols.values():
+            first = alerts[: self.p.cap_symbol]
+            pivots = [r for r in first if r[3].startswith("pivot_")]
+            if len(pivots) > self.p.cap_pivots:
+                first = [r for r in first if r not in pivots] + pivots[: self.p.cap_pivots]
+            total += len(first)
+            for rank, r in enumerate(first, 1):
+                yield Row(**dict(zip(FIRED, r, strict=True)), rank=rank, total=total, counted=total <= self.p.cap_run)
+
+    def close(self) -> None:
+        pass
 
 
-class Indicators(StatefulProcessor):
-    """Indicators of candles as they come. The state is the last candles, as many as the slowest filter remembers, and the levels that filters held before them."""
+def live_caps(fired: DataFrame, p: Params = DEFAULT, wait: int = 900) -> DataFrame:
+    """Of a stream of alerts that fire (with ts): those within the caps of their symbol and of pivots, with rank; total up to their symbol in their candle, and counted: whether the run's cap still holds.
 
-    FIELDS = ("t", "rn", "open", "high", "low", "close", "volume")
-    LEVELS = ("filter_1", "filter_2", "worm", "trend")
+    A candle's alerts are sent `wait` seconds of event time after its start, when those of all symbols are there. As delivery.cap_symbol, cap_pivots and cap_run.
+    """
+    schema = "symbol string, t long, ord int, key string, title string, text string, rank int, total long, counted boolean"
+    return fired.groupBy("t").transformWithState(statefulProcessor=Caps(wait, p), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class Features(StatefulProcessor):
+    """Indicators of a symbol's candles as they come. Its state: the recursions' numbers, a ring of the candles that rolling windows see, and for two widths of candles the last shorter ones.
+
+    Candles wait until the watermark has passed their end, so that shorter ones are there before the longer one that they lie in, in whatever order they come. Their rows' ts is that watermark: rows can't be older.
+    """
 
-    def __init__(self, wanted: list[str], p: Params) -> None:
-        self.wanted, self.p, self.most = wanted, p, halo_of(p)
+    def __init__(self, wanted: list[str], p: Params, short: list[str], width: int) -> None:
+        """wanted: indicators of the candles (width minutes); short: those of 5-minute candles, of which the last one up to a candle's start is aligned with it."""
+        self.wanted, self.p, self.short, self.width = wanted, p, short, width
+        self.ring_size = max(p.mmh_period, p.mmh_std)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        levels = ", ".join(f"{n} double" for n in self.LEVELS)
-        self.state = handle.getValueState("candles", f"rows binary, {levels}", ttlDurationMs=1000 * self.p.state_ttl)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(rows).sort_values("t")
-        before = self.state.get()
-        old = np.frombuffer(before[0], float).reshape(len(self.FIELDS), -1) if before else np.zeros((len(self.FIELDS), 0))
-        new = new[new["t"] > (old[0, -1] if old.shape[1] else -np.inf)]  # a candle that comes again, or late, is dropped
-        if not len(new):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "width int, t long, open double, high double, low double, close double, volume double")
+        self.numbers = handle.getMapState("numbers", "width int", "state array<double>")
+        self.ring = handle.getListState("ring", "close double, raw double")
+        self.recent = handle.getListState("recent", "t long, rn long, close double, value double")
+        self.days = handle.getValueState("days", "day long, high double, low double, close double, before long, before_high double, before_low double, before_close double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        new = [(r["width"], r["t"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows]
+        self.waiting.appendList(new)
+        # the newest row waits for later ones; whatever ends a lag before it is due as soon as this micro-batch's watermark holds
+        ends = sorted(r[1] + 60 * r[0] for r in new)
+        for end in {ends[-1], *[e for e in ends if e <= ends[-1] - self.p.lag][-1:]}:
+            self.handle.registerTimer(1000 * end)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        """Timers of one micro-batch come in no order, and the first one does all that is due."""
+        due = timerValues.getCurrentWatermarkInMs()
+        held = sorted({tuple(r) for r in self.waiting.get()}, key=lambda r: (r[1] + 60 * r[0], r[0], r[1]))
+        ready = [r for r in held if 1000 * (r[1] + 60 * r[0]) <= due]
+        if not ready:
             return
-        rn = (old[1, -1] if old.shape[1] else 0) + np.arange(1, len(new) + 1)
-        table = np.concatenate((old, np.array([new["t"], rn, *[new[c] for c in self.FIELDS[2:]]], float)), axis=1)
-        columns = dict(zip(self.FIELDS, table, strict=True))
-        columns |= {"t": table[0].astype(np.int64), "rn": table[1].astype(np.int64), "halo": np.arange(table.shape[1]) < old.shape[1]}
-        b = Blocks(columns, np.array([0]), self.p, dict(zip(self.LEVELS, before[1:], strict=True)) if before else None)
-        out = {"symbol": key[0], **{c: columns[c][old.shape[1] :] for c in self.FIELDS}}
-        for w in self.wanted:
-            base, _, k = w.partition("'")
-            known = np.where(columns["rn"] >= warm_up(self.p).get(base, 0), b[base], np.nan)
-            out[w.replace("'", "_lag")] = (b.s.lag(known, int(k)) if k else known)[old.shape[1] :]
-        gone = max(0, table.shape[1] - self.most)  # candles that leave the state; the levels after them stay
-        levels = [float(b[n][gone - 1]) for n in self.LEVELS] if gone else list(before[1:]) if before else [0.0, 0.0, 0.0, 1.0]
-        self.state.update((np.ascontiguousarray(table[:, gone:]).tobytes(), *levels))
-        yield pd.DataFrame(out)
+        self.waiting.put(held[len(ready) :]) if len(ready) < len(held) else self.waiting.clear()
+        steps = {}
+        for w, wanted in ((self.width, self.wanted), (5, self.short)):
+            before = self.numbers.getValue((w,))[0] if self.numbers.containsKey((w,)) else None
+            steps.setdefault(w, Steps(wanted, self.p, before, [tuple(r) for r in self.ring.get()] if w == self.width else []))
+        recent = [tuple(r) for r in self.recent.get()] if self.short else []
+        day = self.days.get()
+        day = list(day) if day else [None] * 8
+        for w, t, *candle in ready:
+            s = steps[w]
+            if s.t is not None and t <= s.t:  # a candle that comes again, or late
+                continue
+            out = s.step(t, *candle)
+            if w != self.width:
+                recent.append((t, s.n, candle[3], out[self.short[0]]))
+                continue
+            found = {}
+            if self.short:
+                known = [r for r in recent if r[0] <= t]
+                recent = [*known[-1:], *[r for r in recent if r[0] > t]]
+                known = known or recent[:1]
+                found = dict(zip(("rn5", "close5", "rma200"), known[-1][1:], strict=True)) if known else {"rn5": None, "close5": None, "rma200": None}
+                today = t // DAY
+                if day[0] != today:
+                    day = [today, candle[1], candle[2], candle[3], *day[:4]]
+                else:
+                    day[1:4] = [max(day[1], candle[1]), min(day[2], candle[2]), candle[3]]
+                evaluated_on = (t + 60 * w + self.p.lag) // DAY
+                past = next((d[1:] for d in (day[:4], day[4:]) if d[0] == evaluated_on - 1), [None] * 3)
+                found |= dict(zip(("day_high", "day_low", "day_close"), past, strict=True)) | {"ts": datetime.fromtimestamp(due / 1000, UTC)}
+            yield Row(symbol=key[0], t=t, rn=s.n, **dict(zip(("open", "high", "low", "close", "volume"), candle, strict=True)), **out, **found)
+        for w, s in steps.items():
+            self.numbers.updateValue((w,), (s.numbers(),))
+        if steps[self.width].ring:
+            self.ring.put(steps[self.width].ring)
+        if recent:
+            self.recent.put(recent)
+        if day[0] is not None:
+            self.days.update(tuple(day))
 
     def close(self) -> None:
         pass
 
 
-def live_indicators(bars: DataFrame, wanted: list[str], p: Params = DEFAULT) -> DataFrame:
-    """A stream of candles (symbol, t, open, high, low, close, volume) with rn and indicators, as recursions.recursive gives them once they are warm (see warm_up). NaN stands for what is missing.
+CANDLE = ["open", "high", "low", "close", "volume"]
+
+
+def live_indicators(bars: DataFrame, wanted: list[str], p: Params = DEFAULT, width: int = 15) -> DataFrame:
+    """A stream of candles (symbol, t, open, high, low, close, volume) of `width` minutes with rn and indicators, as recursions.recursive gives them once they are warm (see steps.warm_up). NaN stands for what is missing.
 
-    However the candles are cut into micro-batches, the values are the same.
+    A candle's row comes once the watermark has passed its end. However the candles are cut into micro-batches, the values are the same.
     """
     names = [w.replace("'", "_lag") for w in wanted]
     schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"`{n}` double" for n in names]])
-    rows = bars.select("symbol", "t", "open", "high", "low", "close", "volume")
-    return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Indicators(wanted, p), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    rows = timed(bars.select("symbol", F.lit(width).alias("width"), "t", *CANDLE), p.lag, F.col("t") + 60 * width)
+    return rows.groupBy("symbol").transformWithState(statefulProcessor=Features(wanted, p, [], width), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def live_features(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A stream of 15- and 5-minute candles (symbol, width, t, open, high, low, close, volume) as signals.features gives them: indicators, the aligned 5-minute candle, levels of the day before, gates; and ts, with the watermark.
+
+    The as-of alignment, the recursions and the day's candle are states of one symbol; gates are Columns of the batch.
+    """
+    names = [w.replace("'", "_lag") for w in signals.FEATURES]
+    kinds = [*[f"`{n}` double" for n in names], "rn5 long, close5 double, rma200 double, day_high double, day_low double, day_close double, ts timestamp"]
+    schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *kinds])
+    rows = timed(bars.select("symbol", "width", "t", *CANDLE), p.lag, F.col("t") + 60 * F.col("width"))
+    out = rows.groupBy("symbol").transformWithState(statefulProcessor=Features(signals.FEATURES, p, ["rma_long"], 15), outputStructType=schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+    out = out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in [*names, "rma200"]})
+    levels = signals.levels(F.col("day_high"), F.col("day_low"), F.col("day_close"))
+    out = out.withColumns({"eval_day": signals.eval_day(p), **{n: F.coalesce(x, F.lit(0.0)) for n, x in levels.items()}}).drop("day_high", "day_low", "day_close")
+    return signals.gated(out, p)
+
+
+def live_alerts(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """From candles (as live_features takes them) to alerts that fire, with ts: indicators, gates, triggers, texts and latch in one query."""
+    rows = signals.evaluated(live_features(bars, p), p)
+    return live_latch(signals.with_text(signals.long_alerts(rows, p, ["ts"]), p), p)
 
 
 def into_table(path: str, keys: list[str], t: str = "t") -> Callable[[DataFrame, int], None]:
