@@ -26,7 +26,7 @@ from emberline.llm.common import as_bytes, map_columns, materialize, parts
 from emberline.storage import scratch
 
 #: Bytes of text that a task aligns at once; windows that a Python worker remembers.
-AT_ONCE, WINDOWS = 1 << 20, 150_000
+AT_ONCE, WINDOWS = 1 << 20, 200_000
 #: Pairs that are broadcast at most (some 20 MB), and steps of a factor of two in which their least count is chosen.
 HOT, FINE = 1 << 18, 8
 ID_BITS = 20
@@ -67,18 +67,28 @@ class Windows(dict):
 
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
         """Cut a window where tokens of both sides end together, and link all tokens within a cut."""
-        a, b = np.frombuffer(key[0], np.int32).tolist(), np.frombuffer(key[1], np.int32).tolist()
-        texts, found = [], {}
+        a, b = memoryview(key[0]).cast("i").tolist(), memoryview(key[1]).cast("i").tolist()
+        a_size, b_size = self.a_size, self.b_size
+        texts: list[str] = []
+        found: dict[int, int] = {}
         links = i = j = 0
         while i < len(a):
-            start, begun, ahead = i, j, 0  # ahead: bytes by which A's tokens go beyond B's
-            while i == start or ahead:
-                if ahead <= 0:
-                    ahead += self.a_size[a[i]]
+            start, begun = i, j
+            ahead = a_size[a[i]] - b_size[b[j]]  # bytes by which A's tokens go beyond B's
+            i, j = i + 1, j + 1
+            while ahead:
+                if ahead < 0:
+                    ahead += a_size[a[i]]
                     i += 1
                 else:
-                    ahead -= self.b_size[b[j]]
+                    ahead -= b_size[b[j]]
                     j += 1
+            if i - start == 1 == j - begun:
+                texts.append(f"{a[start]}|{b[begun]}")
+                pair = a[start] << ID_BITS | b[begun]
+                found[pair] = found.get(pair, 0) + 1
+                links += 1
+                continue
             left, right = a[start:i], b[begun:j]
             texts.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
             links += len(left) * len(right)
@@ -95,11 +105,28 @@ class Windows(dict):
         return n
 
 
+class Units(pieces.Encoder):
+    """Side B: words with the blanks before them, each encoded once by the library; neighbouring words encode on their own."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        super().__init__(pieces.vocabulary(path))
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def learn(self, new: list[str]) -> None:
+        rows = self.model.encode([w[1:] for w in new], num_threads=1)  # the library puts a blank before a text, unless it is empty
+        rows = [r if len(w) > 1 else self.v.to_ids([w]) for w, r in zip(new, rows, strict=True)]
+        size = np.array([len(r) for r in rows], np.int64)
+        self.begin, self.size = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size)), np.concatenate((self.size, size))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for r in rows for i in r), np.int32, int(size.sum()))])
+
+
 class Aligner:
     """Encodes and aligns texts. side A: a byte-level BPE of a tokenizers file over blank + text; side B: a SentencePiece model, which adds the blank."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        self.a, self.b = bpe.Tokenizer(a_path, specials=False), pieces.Encoder(pieces.vocabulary(b_path))
+        self.a, self.b = bpe.Tokenizer(a_path, specials=False), Units(b_path)
         if self.a.raw is None:
             raise ValueError("side A must be a byte-level vocabulary without marks of word ends")
         v = self.b.v
