@@ -112,6 +112,11 @@ def needed(n: int | Column, share: Fraction) -> int | Column:
     return F.floor(up / share.denominator).cast("int") if isinstance(n, Column) else up // share.denominator
 
 
+def band(n: Column) -> Column:
+    """A number that grows with the size n: the sizes up to 16 one by one, then in steps of a tenth."""
+    return F.when(n <= 16, n).otherwise(17 + F.floor(F.log(n / 16) / F.log(F.lit(1.1)))).cast("int")
+
+
 def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("node"))
@@ -196,6 +201,13 @@ class Search:
         up = both * self.share.numerator + (self.share.numerator + self.share.denominator - 1)
         return i <= n - F.floor(up / (self.share.numerator + self.share.denominator))
 
+    def partners(self, rows: DataFrame) -> DataFrame:
+        """Rows (n, i) for each band of sizes that a similar set can have whose first common shingle is this one; none if it lies too far behind."""
+        n, d = self.share.numerator, self.share.denominator
+        most = F.least(F.floor(F.col("n") * d / n), F.floor((F.col("n") - F.col("i")) * (n + d) / n) - F.col("n"))
+        low, high = band(needed(F.col("n"), self.share)), band(most)
+        return rows.where(most >= needed(F.col("n"), self.share)).withColumn("band", F.explode(F.sequence(low, high)))
+
     def buckets(self) -> DataFrame:
         """h, node, i, n and lone: the shingles of prefixes that several nodes have, and their places in them; lone is the share of the node's prefix that no other has."""
         first = self.points.select("node", F.posexplode("prefix").alias("i", "h"))
@@ -219,8 +231,8 @@ class Search:
                 votes = apart.where(self.alike(n, F.col("c_n"))).groupBy("node", "c").count()
                 found = votes.groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("v")).select(F.col("node").alias("u"), "v")
             else:  # all that aren't connected yet; at least one of the two isn't connected with the centre
-                other = rows.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
-                pair = apart.join(other, "h").where((F.col("root") != F.col("_root")) & (F.col("_near") | (F.col("node") < F.col("v"))))
+                other = rows.select("h", band(F.col("n")).alias("band"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("_root"), (F.col("root") == F.col("c_root")).alias("_near"))
+                pair = self.partners(apart).join(other, ["h", "band"]).where((F.col("root") != F.col("_root")) & (F.col("_near") | (F.col("node") < F.col("v"))))
                 found = pair.where(self.alike(n, m) & self.leads(F.col("i"), n, n + m) & self.leads(F.col("j"), m, n + m)).select(F.col("node").alias("u"), "v")
             new = self.verified(found)
             if not new.isEmpty():

@@ -85,3 +85,27 @@ def test_text_ids(spark):
 def test_beyond_the_bounds_of_broadcasts(docs, odd, monkeypatch):
     monkeypatch.setattr(similar, "NODES", 0)
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(odd).collect()) == [1, 5, 6, 7, 8]
+
+
+def test_a_passage_that_different_texts_share_makes_no_pairs(docs, monkeypatch):
+    """Texts of 21 common words and 3 of their own: 17 of 20 shingles are shared, similarity 0.74."""
+    asked = []
+    real = similar.Search.verified
+    monkeypatch.setattr(similar.Search, "verified", lambda self, pairs: asked.append(pairs.count()) or real(self, pairs))
+    rows = [(i, " ".join([f"common{k}" for k in range(21)] + [f"own{i}_{k}" for k in range(3)])) for i in range(1500)]
+    rows += [(5000, " ".join([f"common{k}" for k in range(21)] + ["own7_0", "own7_1", "another"]))]
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs(*rows)).collect()}
+    assert got == set(range(1500))
+    assert sum(asked) < 5 * len(rows)
+
+
+def test_bands_cover_all_sizes_of_similar_sets(spark):
+    from fractions import Fraction
+
+    rows = spark.range(1, 400).select(F.col("id").cast("int").alias("n")).withColumn("i", F.lit(0))
+    search = similar.Search.__new__(similar.Search)
+    search.share = Fraction(4, 5)
+    found = search.partners(rows).groupBy("n").agg(F.collect_set("band").alias("bands"))
+    bands = {r["n"]: r["band"] for r in rows.select("n", similar.band(F.col("n")).alias("band")).collect()}
+    for r in found.collect():
+        assert {bands[m] for m in bands if 5 * min(m, r["n"]) >= 4 * max(m, r["n"])} <= set(r["bands"])
