@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import as_bytes, map_columns, materialize, small
+from emberline.storage import scratch
 
 #: An archive is closed when it has as many bytes.
 ARCHIVE_BYTES = 1 << 22
@@ -180,26 +181,28 @@ def pages_to_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
 
 #: What the converter takes from each ARC record, besides its content.
-ARC_COLUMNS = {"url": pa.string(), "ip": pa.string(), "date": pa.string(), "type": pa.string(), "result": pa.string(), "checksum": pa.string(), "archive": pa.string(), "page_id": pa.int64(), "digest": pa.string(), "full": pa.string(), "size": pa.int64(), "record_id": pa.string()}
+ARC_COLUMNS = {"url": pa.string(), "ip": pa.string(), "date": pa.string(), "type": pa.string(), "result": pa.string(), "checksum": pa.string(), "archive": pa.string(), "page_id": pa.int64(), "digest": pa.string(), "full": pa.string(), "size": pa.int64(), "record_id": pa.string(), "warcinfo_id": pa.string()}
 ARC_SCHEMA = ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in ARC_COLUMNS.items())
 
 
 def arc_records(archives: DataFrame, arc: str = "arc", with_content: bool = True, strict: bool = True) -> DataFrame:
-    """A row for each ARC record: ARC_COLUMNS (and content). digest is SHA-1 and full SHA-256 of the payload; record_id is the WARC identifier.
+    """A row for each ARC record: ARC_COLUMNS (and content). digest is SHA-1 and full SHA-256 of the payload; record_id is the WARC identifier, warcinfo_id that of the archive's own record.
 
     An identifier is made of the archive's name, the record's place, URL, date and digest: rows that repeat have identifiers of their own, and reruns the same ones.
     """
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for data in batch.column(0).to_pylist():
-            rows, archive = [], ""
+            rows, archive, info = [], "", None
             for r in parse_arc(data or b"", strict):
                 if r["type"] == "filedesc":
                     archive = r["url"].removeprefix("filedesc:").lstrip("/")
                 head, payload = payload_of(r["content"]) if r["type"] != "filedesc" else (b"", r["content"])
                 key = next((int(x[10:]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:") and x[10:].strip().lstrip(b"-").isdigit()), None)
                 digest = base32_sha1(payload)
-                rows.append((r["url"], r.get("ip"), r["date"], r["type"], r.get("result"), r.get("checksum"), archive, key, digest, hashlib.sha256(payload).hexdigest(), len(payload), record_id(archive, r["at"], r["url"], r["date"], digest), *[r["content"]] * with_content))
+                own = record_id(archive, r["at"], r["url"], r["date"], digest)
+                info = own if r["type"] == "filedesc" else info
+                rows.append((r["url"], r.get("ip"), r["date"], r["type"], r.get("result"), r.get("checksum"), archive, key, digest, hashlib.sha256(payload).hexdigest(), len(payload), own, info, *[r["content"]] * with_content))
             kinds = [*ARC_COLUMNS.values(), *[pa.binary()] * with_content]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*ARC_COLUMNS, *["content"] * with_content])
@@ -225,9 +228,9 @@ def link_revisits(records: DataFrame, slim: DataFrame, min_bytes: int = 0) -> Da
 
 
 def write_warc(records: DataFrame) -> DataFrame:
-    """Archives (column warc) with a gzip member for each record, each behind the warcinfo of its ARC archive."""
+    """Archives (column warc) with a gzip member for each record. A record names the warcinfo of its ARC archive, in whatever order and task records come."""
 
-    def one(r: dict, info: str | None) -> bytes:
+    def one(r: dict) -> bytes:
         if r["type"] == "filedesc":
             text = f"software: emberline\r\nformat: WARC File Format 1.0\r\ndescription: converted from {r['archive']}\r\n".encode()
             fields = [("WARC-Record-ID", r["record_id"]), ("WARC-Date", warc_date(r["date"])), ("WARC-Filename", r["archive"].removesuffix(".arc") + ".warc.gz"), ("WARC-Block-Digest", f"sha1:{base32_sha1(text)}"), ("Content-Type", "application/warc-fields")]
@@ -238,7 +241,7 @@ def write_warc(records: DataFrame) -> DataFrame:
         given = lambda x: None if x in (None, "", "-") else x
         fields = [
             ("WARC-Record-ID", r["record_id"]),
-            ("WARC-Warcinfo-ID", info),
+            ("WARC-Warcinfo-ID", r["warcinfo_id"]),
             ("WARC-Date", warc_date(r["date"])),
             ("WARC-Target-URI", r["url"]),
             ("WARC-IP-Address", None if given(r["ip"]) in (None, "0.0.0.0") else r["ip"]),
@@ -258,14 +261,12 @@ def write_warc(records: DataFrame) -> DataFrame:
         return warc_record("revisit" if revisit else "response" if head else "resource", fields, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, info = [], 0, None
+        held, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 if r["type"] == "error":
                     continue
-                if r["type"] == "filedesc":
-                    info = r["record_id"]
-                held.append(member(one(r, info)))
+                held.append(member(one(r)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["warc"])
@@ -315,4 +316,6 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     unless a smaller id has the payload; a payload whose rows have no id at all gives
     responses only. Other columns are neither read nor returned. An empty table gives no rows.
     """
-    return read_warc(convert(pages_to_arc(pages, page_id, url, html), min_bytes))
+    folder = scratch(pages.sparkSession, "arc")
+    pages_to_arc(pages, page_id, url, html).write.option("compression", "zstd").parquet(folder)  # read twice, and names of archives hold once they are written
+    return read_warc(convert(pages.sparkSession.read.parquet(folder), min_bytes))

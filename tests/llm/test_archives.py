@@ -108,3 +108,15 @@ def test_malformed_archives(spark, fault):
 def test_ids_must_be_numbers(spark):
     with pytest.raises(TypeError):
         archives.page_records(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
+
+
+def test_records_are_the_same_whether_payloads_are_broadcast_or_shuffled(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", f"page {i % 7}" if i % 3 else f"own {i}") for i in range(200)]
+    arc = archives.pages_to_arc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).persist()
+    by = lambda heads: sorted(sorted(h.items()) for h in heads)
+    broadcast = by(warc_heads(archives.convert(arc)))
+    monkeypatch.setattr(archives, "small", lambda df, *_: df.hint("merge"))
+    shuffled = warc_heads(archives.convert(arc))
+    assert by(shuffled) == broadcast
+    infos = {h["warc-record-id"] for h in shuffled if h["warc-type"] == "warcinfo"}
+    assert infos and all(h["warc-warcinfo-id"] in infos for h in shuffled if h["warc-type"] != "warcinfo")
