@@ -631,7 +631,7 @@ _pauses = [1_704_672_000, 1_705_708_800]
 @query(_stream_bars % "true", "ev")
 def stream_bars(d: Data) -> DataFrame:
     """Events arrive in three steps; the candles that are open at a step's end are closed in the next."""
-    return live.in_steps(d.spark.read.parquet(f"{d.dir}/events.parquet").withColumn("t", candles.epoch(F.col("ts"))), _pauses, live.scratch(d.spark), lambda rows: live.live_candles(live.events(rows), 15), _live, ["symbol", "t"], idle=True)
+    return live.in_steps(d.spark.read.parquet(f"{d.dir}/events.parquet").withColumn("t", candles.epoch(F.col("ts"))), _pauses, live.scratch(d.spark), lambda rows: live.live_candles(live.events(rows), 15), _live, [], idle=True)
 
 
 @query(_stream_bars % "t >= 1705276800", "ev")
@@ -641,15 +641,15 @@ def stream_late(d: Data) -> DataFrame:
     source = d.spark.read.parquet(f"{d.dir}/events.parquet")
     late = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
     source.where(~late).write.mode("append").parquet(f"{folder}/in")
-    live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live, ["symbol", "t"], idle=True)
+    live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live, [], idle=True)
     source.where(late).write.mode("append").parquet(f"{folder}/in")
-    return live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live, ["symbol", "t"], idle=True)
+    return live.run(live.live_candles(live.events(live.stream(d.spark, f"{folder}/in")), 15), folder, _live, [], idle=True)
 
 
 @query(f"with recursive ev as ({VIEWS['ev'][1]}), {_rolling('user_id, symbol', P.dedup)} select event_id, user_id, symbol, t from ev_r where ok")
 def stream_dedup(d: Data) -> DataFrame:
     rows = d.events.select("user_id", "symbol", "t", "event_id")
-    return live.in_steps(rows, _pauses, live.scratch(d.spark), lambda r: live.live_dedup(r, ["user_id", "symbol"]), "user_id long, symbol string, t long, event_id long", ["event_id"])
+    return live.in_steps(rows, _pauses, live.scratch(d.spark), lambda r: live.live_dedup(r, ["user_id", "symbol"]), "user_id long, symbol string, t long, event_id long", [])
 
 
 LIVE = ["ppo", "sig", "srsi", "rma", "atr_s", "atr_l", "cloud_up", "cloud_down", "mmh", "mmh'3", "vwap"]
@@ -663,7 +663,7 @@ def stream_features(d: Data) -> DataFrame:
     """Indicators of candles that arrive in three steps; the newest candles wait for the watermark to pass their ends."""
     names = [w.replace("'", "_lag") for w in LIVE]
     kinds = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"{n} double" for n in names]])
-    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE), kinds, ["symbol", "t"], idle=True)
+    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE), kinds, [], idle=True)
     return rows.select("symbol", "t", "rn", *[F.round(F.when(~F.isnan(n), F.col(n)), 6).alias(n) for n in names])
 
 
@@ -680,7 +680,7 @@ _newest = f"(select max(t) from b15) - {P.lag}"
 @query(f"select symbol, t, key, title, text from lat where t <= {_newest}", "lat", "b15")
 def stream_alerts(d: Data) -> DataFrame:
     """From candles that arrive in three steps to alerts: indicators, as-of, gates, triggers and latch in one query."""
-    out = live.in_steps(both_widths(d), _pauses, live.scratch(d.spark), lambda r: live.live_alerts(r).drop("ts"), _fired, ["symbol", "key", "t"], idle=True)
+    out = live.in_steps(both_widths(d), _pauses, live.scratch(d.spark), lambda r: live.live_alerts(r).drop("ts"), _fired, [], idle=True)
     return out.select("symbol", "t", "key", "title", "text")
 
 
@@ -688,7 +688,7 @@ def stream_alerts(d: Data) -> DataFrame:
 def stream_caps(d: Data) -> DataFrame:
     """From candles that arrive in four steps to capped alerts: as stream_alerts, then ranked when a candle's alerts of all symbols are there."""
     kinds = f"{_fired}, rank int, total long, counted boolean"
-    out = live.in_steps(both_widths(d), [1_704_400_000, *_pauses], live.scratch(d.spark), lambda r: live.live_caps(live.live_alerts(r)), kinds, ["symbol", "key", "t"], idle=True)
+    out = live.in_steps(both_widths(d), [1_704_400_000, *_pauses], live.scratch(d.spark), lambda r: live.live_caps(live.live_alerts(r)), kinds, [], idle=True)
     return out.select("symbol", "t", "key", "rank", "total", "counted")
 
 
@@ -696,7 +696,28 @@ def stream_caps(d: Data) -> DataFrame:
 def stream_chain(d: Data) -> DataFrame:
     """15-minute candles made of live 5-minute candles in the same query."""
     rows = d.spark.read.parquet(f"{d.dir}/events.parquet").withColumn("t", candles.epoch(F.col("ts")))
-    return live.in_steps(rows, _pauses, live.scratch(d.spark), lambda r: live.chained_candles(live.events(r), 15), _live, ["symbol", "t"], idle=True)
+    return live.in_steps(rows, _pauses, live.scratch(d.spark), lambda r: live.chained_candles(live.events(r), 15), _live, [], idle=True)
+
+
+@query(
+    f"""select * from (with l as (select symbol, 'ALERT:' || upper(key) as state_key, arg_max(trigger, t) as on_, max(t) as t from la where trigger or reset group by 1, 2)
+    select symbol, state_key, '{{"state":"' || case when on_ then 'ACTIVE' else 'INACTIVE' end || '","ts":' || t || '}}' as value, t as written, case when state_key like 'ALERT:PIVOT%' then {P.meta_ttl} else {P.state_ttl} end::bigint as ttl from l)
+    where written + ttl > {_state_now} and not (symbol = 'error' and state_key like 'ALERT:VWAP%')""",
+    "la",
+)
+def stream_state(d: Data) -> DataFrame:
+    """The states of alerts, written live in three steps, one symbol's VWAP states deleted at the end; read from the stream's own state."""
+    rows = materialize(d.alerts.select("symbol", "key", "trigger", "t"))
+    state_key = F.concat(F.lit("ALERT:"), F.upper("key"))
+    value = F.to_json(F.struct(F.when(F.col("trigger"), "ACTIVE").otherwise("INACTIVE").alias("state"), F.col("t").alias("ts")))
+    ttl = F.when(F.col("key").startswith("pivot"), P.meta_ttl).otherwise(P.state_ttl).cast("long")
+    changes = rows.select("symbol", state_key.alias("state_key"), value.alias("value"), F.col("t").alias("written"), ttl.alias("ttl"), F.lit(False).alias("deleted"))
+    gone = changes.where((F.col("symbol") == "error") & F.col("state_key").startswith("ALERT:VWAP")).select("symbol", "state_key").distinct()
+    gone = gone.select("symbol", "state_key", F.lit(None).cast("string").alias("value"), F.lit(_state_now - 1).cast("long").alias("written"), F.lit(0).cast("long").alias("ttl"), F.lit(True).alias("deleted"))
+    folder = live.scratch(d.spark)
+    live.in_steps(changes.unionByName(gone), [*_pauses, _state_now - 1], folder, live.live_state, "symbol string, state_key string, value string, written long", [], t="written")
+    held = live.read_state(d.spark, folder, "values").select("key.symbol", "entry.state_key", "value.*")
+    return held.where(F.col("written") + F.col("ttl") > _state_now)
 
 
 @query("select symbol, t, key from la where trigger or reset", "la")

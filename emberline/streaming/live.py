@@ -57,7 +57,7 @@ def chained_candles(rows: DataFrame, minutes: int, base: int = 5, p: Params = DE
 
 
 def timed(rows: DataFrame, late: int, end: Column | None = None) -> DataFrame:
-    """rows with ts, the time of t (or of end) as a time stamp, whose watermark lies `late` seconds behind the newest."""
+    """rows with ts, the time of t (or of end) as a time stamp, whose watermark lies `late` seconds behind the newest. It begins at the epoch, before which no row counts."""
     return rows.withColumn("ts", F.timestamp_seconds(F.col("t") if end is None else end)).withWatermark("ts", f"{late} seconds")
 
 
@@ -311,31 +311,79 @@ def live_alerts(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return live_latch(signals.with_text(signals.long_alerts(rows, p, ["ts"]), p), p)
 
 
-def into_table(path: str, keys: list[str], t: str = "t") -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch that writes each key once.
+class KeyValues(StatefulProcessor):
+    """A symbol's keys with their values, each until its time to live is over. Passes on what a micro-batch changed."""
 
-    A batch has its own folder, by day, so that a batch that is run again replaces itself, whatever rows it has then. Rows whose key another batch has written
-    are left out; of that only the folders of the batch's days are read.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.values = handle, handle.getMapState("values", "state_key string", "value string, written long, ttl long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        last: dict[str, tuple] = {}
+        gone = set()
+        for r in rows:
+            k, new = r["state_key"], (r["written"], r["value"] or "", r["ttl"])
+            if r["deleted"]:
+                gone.add(k)
+            elif k not in last or new > last[k]:
+                last[k] = new
+        for k in sorted(gone | last.keys()):
+            before = self.values.getValue((k,)) if self.values.containsKey((k,)) else None
+            if k in gone:
+                if before:
+                    self.values.removeKey((k,))
+                yield Row(symbol=key[0], state_key=k, value=None, written=None)
+            elif before is None or (last[k][0], last[k][1]) >= (before[1], before[0]):
+                written, value, ttl = last[k]
+                self.values.updateValue((k,), (value, written, ttl))
+                self.handle.registerTimer(1000 * (written + ttl))
+                yield Row(symbol=key[0], state_key=k, value=value, written=written)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        for k in [k[0] for k, v in self.values.iterator() if v[1] + v[2] <= now]:
+            self.values.removeKey((k,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_state(changes: DataFrame, late: int = 0) -> DataFrame:
+    """Of a stream of changes (symbol, state_key, value, written, ttl, deleted): those that count, null where a key was deleted.
+
+    The table is the stream's state, which read_state reads: of a key's values the one written last counts (then the larger), a deleted key goes even if the same micro-batch writes
+    it, and one that was not written for its ttl goes once the watermark (of written, `late` seconds behind) has passed. A micro-batch touches the keys that it has, however many there are.
     """
+    rows = changes.withColumn("ts", F.timestamp_seconds("written")).withWatermark("ts", f"{late} seconds")
+    return rows.groupBy("symbol").transformWithState(statefulProcessor=KeyValues(), outputStructType="symbol string, state_key string, value string, written long", outputMode="Append", timeMode="EventTime")
+
+
+def read_state(spark: SparkSession, path: str, name: str, operator: int = 0) -> DataFrame:
+    """The entries (key, entry, value: structs) of a live operator's map state as of the last micro-batch of the stream that `run` keeps at path."""
+    rows = spark.read.format("statestore").option("path", f"{path}/state").option("operatorId", operator).option("stateVarName", name).load()
+    return rows.select("key", F.explode("map_value").alias("entry", "value")) if "map_value" in rows.columns else rows.select("key", F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("value"))
+
+
+def into_table(path: str, t: str = "t") -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch. A batch has its own folder, by day, so that a batch that is run again replaces itself, whatever rows it has then. Nothing of earlier batches is read or listed."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_day", F.floor(F.col(t) / DAY)).dropDuplicates(keys).persist()
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-        days = [r["_day"] for r in batch.select("_day").distinct().collect()]  # the days of one micro-batch
-        spark.createDataFrame([], f"{kinds}, _batch long").write.mode("append").partitionBy("_batch", "_day").parquet(path)  # the table, if there is none yet
-        there = spark.read.schema(f"{kinds}, _batch long").parquet(path).where((F.col("_batch") != number) & F.col("_day").isin(days))
-        batch.join(there.select(*keys), keys, "left_anti").repartition("_day").write.mode("overwrite").partitionBy("_day").parquet(f"{path}/_batch={number}")
-        batch.unpersist()
+        batch.withColumn("_day", F.floor(F.col(t) / DAY)).repartition("_day").write.mode("overwrite").partitionBy("_day").parquet(f"{path}/_batch={number}")
 
     return write
 
 
-def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool = False) -> DataFrame:
+def compact(spark: SparkSession, path: str, columns: str, into: str) -> None:
+    """Write what the batches at path hold to a table at `into` with a few files a day; for readers, and for a new stream's start."""
+    spark.read.schema(columns + ", _batch long, _day long").parquet(path).drop("_batch").repartition("_day").write.partitionBy("_day").parquet(into)
+
+
+def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool = False, t: str = "t") -> DataFrame:
     """Run the stream over all that is there now, and read what it has written so far. A path's second run goes on after its first.
 
-    columns is the table's schema; keys are its columns that tell rows apart. idle: whether a micro-batch without rows follows the last one, which closes what
-    its watermark allows; states that expire by processing time would ask for one for ever.
+    columns is the table's schema. keys are columns of which each row is written once, however often it comes: the stream's own state is their index, so that a micro-batch
+    costs as much as its rows; none where the operators before send no row twice. idle: whether a micro-batch without rows follows the last one, which closes what
+    its watermark allows and lets timers go.
     """
     spark = rows.sparkSession
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
@@ -343,7 +391,8 @@ def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool =
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        rows.writeStream.foreachBatch(into_table(f"{path}/table", keys)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        rows = rows.dropDuplicates(keys) if keys else rows
+        rows.writeStream.foreachBatch(into_table(f"{path}/table", t)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -351,13 +400,13 @@ def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool =
     return spark.read.schema(columns + ", _batch long, _day long").parquet(f"{path}/table").select(*names)
 
 
-def in_steps(rows: DataFrame, cuts: list[int], path: str, make: Callable[[DataFrame], DataFrame], columns: str, keys: list[str], idle: bool = False) -> DataFrame:
-    """Rows (with t) arrive up to each of the cuts in turn, then the rest, and the stream goes on after each arrival."""
+def in_steps(rows: DataFrame, cuts: list[int], path: str, make: Callable[[DataFrame], DataFrame], columns: str, keys: list[str], idle: bool = False, t: str = "t") -> DataFrame:
+    """Rows (with t, or another column of that meaning) arrive up to each of the cuts in turn, then the rest, and the stream goes on after each arrival."""
     out = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.where(F.col("t") >= low)
-        (part if high is None else part.where(F.col("t") < high)).write.mode("append").parquet(f"{path}/in")
-        out = run(make(stream(rows.sparkSession, f"{path}/in")), path, columns, keys, idle)
+        part = rows if low is None else rows.where(F.col(t) >= low)
+        (part if high is None else part.where(F.col(t) < high)).write.mode("append").parquet(f"{path}/in")
+        out = run(make(stream(rows.sparkSession, f"{path}/in")), path, columns, keys, idle, t)
     return out
 
 

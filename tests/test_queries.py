@@ -7,7 +7,7 @@ import pytest
 from emberline.plans import catalog
 
 #: Those that have rows only with longer series.
-LONG = ("features", "alerts_latched", "cap_pivots", "suppression_reasons", "msg_batched", "msg_pack", "latch_ttl", "state_sink", "stream_alerts", "stream_features")
+LONG = ("features", "alerts_latched", "cap_pivots", "suppression_reasons", "msg_batched", "msg_pack", "latch_ttl", "state_sink", "stream_alerts", "stream_caps", "stream_features", "stream_state")
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - set(LONG)))
