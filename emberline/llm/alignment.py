@@ -18,15 +18,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, pieces
-from emberline.llm.common import as_bytes, map_columns, materialize, parts
+from emberline.llm.common import map_columns, materialize
 from emberline.storage import scratch
 
 #: Bytes of text that a task aligns at once; windows that a Python worker remembers.
-AT_ONCE, WINDOWS = 1 << 20, 200_000
+AT_ONCE, WINDOWS = 1 << 20, 150_000
 #: Pairs that are broadcast at most (some 20 MB), and steps of a factor of two in which their least count is chosen.
 HOT, FINE = 1 << 18, 8
 ID_BITS = 20
@@ -105,6 +106,31 @@ class Windows(dict):
         return n
 
 
+class Bytes(bpe.Tokenizer):
+    """Side A: units of text, each encoded once by a library. Ids of merged tokens must rise in the order of merges."""
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        super().__init__(path, specials=False)
+        if self.raw is None:
+            raise ValueError("side A must be a byte-level vocabulary without marks of word ends")
+        vocab = self.model["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in self.model["merges"]]
+        if made != sorted(made) or min(made, default=256) < 256:
+            raise ValueError("ids of side A don't rise in the order of merges")
+        ranks = {t.translate(self.back).encode("latin-1"): i for t, i in vocab.items()}
+        self.fast = tiktoken.Encoding("side A", pat_str=self.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.model = {}
+
+    def encode_unit(self, unit: str) -> list[int]:
+        return self.fast.encode_ordinary(unit)
+
+    def by_library(self, text: str) -> list[int]:
+        self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
+
 class Units(pieces.Encoder):
     """Side B: words with the blanks before them, each encoded once by the library; neighbouring words encode on their own."""
 
@@ -126,9 +152,7 @@ class Aligner:
     """Encodes and aligns texts. side A: a byte-level BPE of a tokenizers file over blank + text; side B: a SentencePiece model, which adds the blank."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        self.a, self.b = bpe.Tokenizer(a_path, specials=False), Units(b_path)
-        if self.a.raw is None:
-            raise ValueError("side A must be a byte-level vocabulary without marks of word ends")
+        self.a, self.b = Bytes(a_path), Units(b_path)
         v = self.b.v
         raw = [bytes([int(p[3:5], 16)]) if k == "b" else b"" if k == "c" else p.replace(pieces.BLANK, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.a_bytes, self.b_bytes = bpe.Offsets(self.a.raw), bpe.Offsets(raw)
@@ -211,9 +235,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     struct = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = as_bytes(batch.column(2))
-        for i, j in parts(texts, AT_ONCE):
-            out = aligner(a_path, b_path).align([t.decode() if t else "" for t in texts[i:j]])
+        for i, j in pieces.runs(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), AT_ONCE):
+            out = aligner(a_path, b_path).align([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()])
             values = [out["pair"] >> ID_BITS, out["pair"] & ((1 << ID_BITS) - 1), out["links"]]
             flat = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values], fields=list(struct))
             pairs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(out["n_pairs"]))), pa.int32()), flat)

@@ -18,7 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import as_bytes, map_columns, parts
 
 #: Words and pairs that a Python worker remembers; longer words are encoded each time.
-REMEMBERED, PAIRS, LONGEST = 300_000, 500_000, 64
+REMEMBERED, PAIRS, LONGEST = 300_000, 300_000, 64
 #: Bytes of text that a task encodes, and tokens that it decodes, at once.
 AT_ONCE, TOKENS = 1 << 22, 1 << 20
 #: Stands for the end of a word in vocabularies that mark it.
@@ -179,8 +179,6 @@ class Tokenizer:
 
     def __init__(self, path: str, specials: bool = True) -> None:
         """specials: whether the strings of special tokens in a text are these tokens, else plain text."""
-        import tokenizers
-
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         model, norm, pre = held["model"], held["normalizer"], held["pre_tokenizer"]
@@ -191,15 +189,12 @@ class Tokenizer:
         odd = model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or splits[-1]["type"] != "ByteLevel" or splits[-1]["add_prefix_space"]
         if odd or kinds and not self.folds or self.folds != (splits[0]["type"] == "Split") or self.folds and (splits[0]["behavior"] != "Removed" or not splits[0]["invert"]):
             raise ValueError("another kind of tokenizer than those that this encoder knows")
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path, self.model = path, model
         # the pattern of byte-level splitting is fixed in the format
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"] if self.folds else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.units = regex.compile(r"\s*\S+|\s+")
         letters = byte_letters()
         self.back = {ord(v): k for k, v in letters.items()}
-        spelled = lambda t: t[: -len(self.ends)].translate(self.back) + END if self.ends and t.endswith(self.ends) else t.translate(self.back)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.core = Backtracker({spelled(t): i for t, i in model["vocab"].items()}, [(spelled(a), spelled(b)) for a, b in pairs])
         special = {x["content"]: x["id"] for x in held["added_tokens"] if specials}
         self.special, self.finds = special, re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         names = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in held["added_tokens"]}
@@ -207,6 +202,18 @@ class Tokenizer:
         self.raw = [names.get(i, "").translate(self.back).encode("latin-1", "ignore") for i in range(len(self.names))] if not self.ends else None
         self.forget()
 
+    @cached_property
+    def library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
+    @cached_property
+    def core(self) -> Backtracker:
+        spelled = lambda t: t[: -len(self.ends)].translate(self.back) + END if self.ends and t.endswith(self.ends) else t.translate(self.back)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in self.model["merges"]]
+        return Backtracker({spelled(t): i for t, i in self.model["vocab"].items()}, [(spelled(a), spelled(b)) for a, b in pairs])
+
     def forget(self) -> None:
         self.words = _Numbers(self.encode_unit)
 

@@ -321,12 +321,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
-def runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows that hold AT_ONCE in all, or a single row."""
+def runs(sizes: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows that hold `most` in all, or a single row."""
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         held += n
-        if held >= AT_ONCE:
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(sizes):
