@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from emberline.llm.common import materialize
 
@@ -52,6 +53,8 @@ def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in found])))
 
 
+#: Calls of a conversation that is read in one go.
+FOLD = 4096
 #: What identifies a call.
 CALL = ["conv_id", "call_id"]
 
@@ -71,14 +74,45 @@ def links_of(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, materialize(links.select("child", "parent").join(through, ["child", "parent"], "left_anti"))
 
 
+def folded(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and level of the calls of conversations which have FOLD calls at most, and in which calls wait for earlier ones only.
+
+    Such a conversation is read once, in the order of turn and identifier: a call's level is one more than the highest of those it waits for, which come before it.
+    """
+    short = nodes.groupBy(F.col("node.conv_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= FOLD)
+    placed = nodes.withColumn("conv_id", F.col("node.conv_id")).join(short, "conv_id", "left_semi")
+    placed = materialize(placed.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "node"))).select("conv_id", "node", "place"))
+    at = lambda x: placed.select(F.col("node").alias(x), F.col("place").alias(f"_{x}"))
+    waits = links.join(at("child"), "child").join(at("parent"), "parent").groupBy("child").agg(F.collect_list("_parent").alias("_after"), F.max(F.col("_parent") >= F.col("_child")).alias("_back"))
+    rows = placed.join(waits, F.col("node") == F.col("child"), "left")
+    each = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "node", F.coalesce("_after", F.array().cast("array<int>")).alias("after")))).alias("_calls"), F.max(F.coalesce("_back", F.lit(False))).alias("_back"))
+    found = F.aggregate("_calls", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.array_max(F.transform(x["after"], lambda p: F.get(acc, p - 1))) + 1, F.lit(0)))))
+    out = each.where("not _back").select(F.explode(F.arrays_zip(F.transform("_calls", lambda x: x["node"]).alias("node"), found.alias("level"))).alias("_x"))
+    return materialize(out.select(F.col("_x.node").alias("node"), F.col("_x.level").cast("long").alias("level")))
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id and level: 0 for a call that waits for none, else one more than the calls (column after) it waits for; null for those in or behind a circle.
 
-    Calls that wait for one call only are chains, and a chain of any length is followed by doubling its steps: its
+    A conversation of up to FOLD calls, each of which waits for earlier ones, is read once in their order. In others,
+    calls that wait for one call only are chains, and a chain of any length is followed by doubling its steps: its
     calls know the end of the chain and how far it is. What is left are calls that wait for several; each round settles
     those that wait for nothing unsettled.
     """
     nodes, links = links_of(calls)
+    done = folded(nodes, links)
+    if done.isEmpty():
+        return by_rounds(nodes, links)
+    convs = done.select(F.col("node.conv_id").alias("_conv")).distinct()
+    rest = materialize(nodes.join(convs, F.col("node.conv_id") == F.col("_conv"), "left_anti"))
+    told = done.select("node.*", F.col("level").cast("int").alias("level"))
+    if rest.isEmpty():
+        return told
+    return told.unionByName(by_rounds(rest, materialize(links.join(convs, F.col("child.conv_id") == F.col("_conv"), "left_anti"))))
+
+
+def by_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """As levels, of calls and links between them."""
     waits = links.groupBy("child").agg(F.count(F.lit(1)).alias("_k"), F.min("parent").alias("_one"))
     chained = F.coalesce((F.col("_k") == 1) & (F.col("_one") != F.col("node")), F.lit(False))
     jumps = nodes.select("node").join(waits, F.col("node") == F.col("child"), "left").select("node", F.when(chained, F.col("_one")).otherwise(F.col("node")).alias("to"), chained.cast("long").alias("far"), F.coalesce("_k", F.lit(0).cast("long")).alias("k"))
@@ -140,8 +174,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     call comes after those it uses.
 
     json has its keys sorted at every depth, no white space, and numbers without needless zeros or exponents (of up to 38 digits exactly; longer ones
-    are doubles); a value that is null has no
-    key, and arguments that can't be read as JSON (see problems) stand as text. Calls without a conversation or an identifier have level
+    are doubles); a call without name or result has no
+    key for it, a null within the arguments stays as null, and arguments that can't be read as JSON (see problems) stand as text. Calls without a conversation or an identifier have level
     0 and no result; repeated rows stay. Extra columns are neither read nor returned. Empty tables give no rows.
     """
     first = results.where("conv_id is not null and call_id is not null").groupBy(*CALL).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("_n"))

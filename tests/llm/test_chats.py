@@ -106,3 +106,31 @@ def test_very_long_arguments_and_equal_turns(spark):
     long = json.dumps({"n": 1, "s": 'a"\\ 1.0 ' * 200_000})
     got = run(spark, [(1, 0, "a", "f", long, [])], [(1, "a", 3, "b"), (1, "a", 3, "a")])["a"]
     assert got["problems"] == "s: not a choice" and json.loads(got["json"]) == {"arguments": json.loads(long), "id": "a", "name": "f", "result": "a"}
+
+
+def test_a_deep_conversation_whose_calls_wait_for_two(spark, monkeypatch):
+    """A thousand calls, each of which uses the one before it and the one before that one's."""
+    saved = []
+    real = chats.materialize
+    monkeypatch.setattr(chats, "materialize", lambda df: saved.append(1) or real(df))
+    calls = [(1, i, f"c{i}", "f", "{}", [f"c{i - 1}", f"c{max(i - 3, 0)}"] if i else []) for i in range(1000)]
+    got = {r["call_id"]: r["level"] for r in chats.levels(spark.createDataFrame([(*c, "x", 1) for c in calls], CALL)).collect()}
+    assert got == {f"c{i}": i for i in range(1000)}
+    assert len(saved) < 10
+
+
+def test_folding_and_rounds_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    calls = [(c, rng.randrange(6), f"c{i}", "f", "{}", [f"c{rng.randrange(14)}" if c % 4 == 0 else f"c{rng.randrange(i)}" for _ in range(rng.randrange(4)) if i]) for c in range(30) for i in range(12)]
+    rows = spark.createDataFrame([(*c, "x", 1) for c in calls], CALL)
+    plain = lambda: sorted(map(tuple, chats.levels(rows).collect()), key=str)
+    both = plain()
+    monkeypatch.setattr(chats, "FOLD", 0)
+    assert plain() == both
+
+
+def test_a_null_argument_stays(spark):
+    got = run(spark, [(1, 0, "a", "f", '{"s": null, "n": 1}', None)])
+    assert json.loads(got["a"]["json"])["arguments"] == {"n": 1, "s": None}
