@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +16,7 @@ from emberline.storage import ensure_checkpoint_dir, materialize, small
 SPACE = r"[\x20\x09-\x0D]"
 #: A word by white space.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "is_held_out", "map_columns", "materialize", "one_of_each", "parts", "small", "text_of"]
+__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "give_back", "is_held_out", "map_columns", "materialize", "one_of_each", "parts", "small", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
@@ -45,6 +47,16 @@ def parts(items: list, most_bytes: int) -> Iterator[tuple[int, int]]:
         yield start, len(items)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the machine: it may wait long for its next task, beside stages that need none."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library that has no such call
+        pass
+
+
 def map_columns(df: DataFrame, columns: list[Column], schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over just these columns; step turns a record batch into one or several."""
 
@@ -55,6 +67,7 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, step: Callabl
                 yield out
             else:
                 yield from out
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import map_columns
+from emberline.llm.common import give_back, map_columns
 
 BLANK = "▁"
 #: Words and pairs remembered by a Python worker; slots of its cache of pairs.
-REMEMBERED, PAIRS, SLOTS = 250_000, 400_000, 1 << 20
+REMEMBERED, PAIRS, SLOTS = 150_000, 200_000, 1 << 20
 #: Characters of text that a task encodes, and ids that it decodes, at once.
 AT_ONCE = 1 << 21
 
@@ -351,6 +351,7 @@ def encode(docs: DataFrame, path: str, carry: list[Column], text: str = "text",
                 more = [pa.array(decoded(ids, n, e.v), pa.string())] if with_decoded else []
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], lists, *more], names=[*names, "ids", *["decoded"] * with_decoded])
         e.forget()  # the worker may wait long for its next task
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(F.col(text), *carry).mapInArrow(run, f"{schema}, ids array<int>" + ", decoded string" * with_decoded)
