@@ -289,6 +289,27 @@ indicator("rma", {"rma": "rma50"}, f"select b.symbol, t, round(case when n < {P.
 indicator("rma_5m", {"rma_long": "rma200"}, "select symbol, t, round(rma200v, 6)::double as rma200 from r5", "r5", five=True)
 indicator("ppo", {"ppo": "ppo", "sig": "ppo_signal"}, "select b.symbol, t, round(x, 6) as ppo, round(y, 6) as ppo_signal from ppo join sig using (symbol, rn) join b15 b using (symbol, rn)", "ppo", "sig", "b15")
 indicator("rsi", {"rsi": "rsi"}, "select b.symbol, t, round(x, 6) as rsi from rsi join b15 b using (symbol, rn)", "rsi", "b15")
+_rsi_a, _rsi_n = 1 / P.rsi_len, P.rsi_len
+
+
+@query(
+    f"""select symbol, t, round(x, 6)::double as rsi from (with recursive
+    g as (select symbol, rn, t, case when close >= open then close end as c from b15),
+    k as (select *, last_value(c ignore nulls) over (partition by symbol order by rn rows between unbounded preceding and 1 preceding) as before,
+      rn - min(case when c is not null then rn end) over (partition by symbol) as place, max(rn) over (partition by symbol) as n from g),
+    d as (select *, case when c is not null and before is not null then c - before else 0 end as ch from k),
+    s as (select *, sum(case when place between 1 and {_rsi_n} then greatest(ch, 0) end) over (partition by symbol) / {_rsi_n} as g0, sum(case when place between 1 and {_rsi_n} then greatest(-ch, 0) end) over (partition by symbol) / {_rsi_n} as l0 from d),
+    r as (select symbol, rn, g0 as up, l0 as down from s where place = {_rsi_n - 1}
+      union all select s.symbol, s.rn, case when s.c is null then r.up else greatest(s.ch, 0) * {_rsi_a!r} + r.up * {1 - _rsi_a!r} end, case when s.c is null then r.down else greatest(-s.ch, 0) * {_rsi_a!r} + r.down * {1 - _rsi_a!r} end from r join s on s.symbol = r.symbol and s.rn = r.rn + 1)
+    select s.symbol, s.t, case when s.n <= {_rsi_n} or r.rn is null or s.place < {_rsi_n} then 50 when r.down = 0 then case when r.up > 0 then 100 else 50 end else 100 - 100 / (1 + r.up / r.down) end as x from s left join r on r.symbol = s.symbol and r.rn = s.rn)""",
+    "b15",
+)
+def rsi_gaps(d: Data) -> DataFrame:
+    """RSI of series in which the closes of falling candles are missing."""
+    rows = d.b15.withColumn("close", F.when(F.col("close") >= F.col("open"), F.col("close")))
+    return recursive(rows, ["rsi"]).select("symbol", "t", F.round("rsi", 6).alias("rsi"))
+
+
 indicator("kalman", {"kalman": "kalman"}, "select b.symbol, t, round(y, 6) as kalman from kal_close join b15 b using (symbol, rn)", "kal_close", "b15")
 indicator("smooth_rsi", {"srsi": "srsi"}, "select b.symbol, t, round(x, 6) as srsi from srsi join b15 b using (symbol, rn)", "srsi", "b15")
 indicator("atr", {"tr": "tr", "atr_s": "atr_short", "atr_l": "atr_long"}, f"select b.symbol, t, round(x, 6) as tr, round(case when b.n >= {P.atr_short} then a.y end, 6) as atr_short, round(case when b.n >= {P.atr_long} then l.y end, 6) as atr_long from tr join atr_s a using (symbol, rn) join atr_l l using (symbol, rn) join b15 b using (symbol, rn)", "tr", "atr_s", "atr_l", "b15")
