@@ -245,8 +245,9 @@ def safe_cast(d: Data) -> DataFrame:
 
 @query("select b.symbol, b.t, coalesce(r.rn, 1) as rn5, round(coalesce(r.close, f.close), 6) as close5 from b15 b asof left join b5 r on b.symbol = r.symbol and b.t >= r.t left join (select * from b5 where rn = 1) f on f.symbol = b.symbol", "b15", "b5")
 def asof_15m_5m(d: Data) -> DataFrame:
-    right = d.b5.select("symbol", "t", F.col("close").alias("close5"), F.col("rn").alias("rn5"))
-    return signals.asof(d.bars(15), right, ["close5", "rn5"]).select("symbol", "t", "rn5", *r6("close5"))
+    five = materialize(d.bars(5))  # made once; longer candles are rolled up from them
+    right = numbered(five).select("symbol", "t", F.col("close").alias("close5"), F.col("rn").alias("rn5"))
+    return signals.asof(candles.rollup(five, 15), right, ["close5", "rn5"]).select("symbol", "t", "rn5", *r6("close5"))
 
 
 @query(f"select b.symbol, b.t, (b.t + 900 + {P.lag}) // 86400 as eval_day, {', '.join(f'round(coalesce({n}, 0), 6)::double as {n}' for n in signals.LEVELS)} from b15 b left join piv on b.symbol = piv.symbol and (b.t + 900 + {P.lag}) // 86400 = piv.day", "b15", "piv")
