@@ -33,7 +33,7 @@ BLANK = "▁"
 #: Words and pairs remembered by a Python worker; slots of its cache of pairs.
 REMEMBERED, PAIRS, SLOTS = 150_000, 200_000, 1 << 20
 #: Characters of text that a task encodes, and ids that it decodes, at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 class Vocabulary:
