@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_bytes, materialize, parts
+from emberline.llm.common import as_bytes, give_back, materialize, parts
 
 #: Bytes of a filter (three pairs), of the grid on which chunks lie, of a chunk and between chunks.
 WIDTH, GRID, CHUNK, STRIDE = 6, 32, 256, 224
@@ -160,13 +160,13 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, rounds: int = 1
     return replace(made, combine=c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, windows: int = 64) -> Network | None:
-    """Train on a bounded sample of labelled rows whose id is usable.
+def sample(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, windows: int = 64) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels (0 or 1) of a bounded sample of labelled rows whose id is usable, by id.
 
     The sample has per_label ids of each label, those of the least hash, at every size of the table. A document takes part whatever
     its length: of one of over windows * CHUNK characters, so many evenly spaced windows from its start to its end are taken. Both bounds are for
     training only. A label above 0 is 1; of several labels of an id the highest counts, of several texts of an id the
-    least. None if there is no labelled row with a text.
+    least. Empty if there is no labelled row with a text.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_y"))
     marked = marked.where(usable("_id")).withColumn("_h", F.xxhash64("_id"))
@@ -177,9 +177,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc
     texts = texts.select("_id", "_y", F.when(F.char_length("_text") > most, spread).otherwise(F.col("_text")).alias("_text"))
     got = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()  # 2 * per_label rows of a bounded length
     got = sorted((r["_id"], r["_text"], r["_y"]) for r in got)
-    if not got:
-        return None
-    return train([x.encode() for _, x, _ in got], np.array([y for _, _, y in got], float))
+    return [x.encode() for _, x, _ in got], np.array([y for _, _, y in got], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, windows: int = 64) -> Network | None:
+    """Train on the sample. None if it is empty."""
+    texts, y = sample(docs, labels, usable, doc_id, text, label, per_label, windows)
+    return train(texts, y) if texts else None
+
+
+def least_score(texts: list[bytes], labels: np.ndarray, lose: float = 0.005, floor: float = 0.2) -> float:
+    """The score below which a stage rejects: such that good texts stay, 0.5 at most and floor at least.
+
+    A network trained on every other text of the sample scores the rest. Of their good texts, a share of `lose` at most lies below
+    the result. 0.5 if either half lacks a label.
+    """
+    half = np.arange(len(texts)) % 2 == 0
+    if len({(h, y) for h, y in zip(half.tolist(), labels.tolist(), strict=True)}) < 4:
+        return 0.5
+    net = train([t for t, h in zip(texts, half, strict=True) if h], labels[half])
+    tables = net.pairs()
+    good = np.sort([scores([texts[i]], net, tables)[0] for i in np.flatnonzero(~half & (labels == 1))])
+    return float(np.clip(good[int(lose * len(good))], floor, 0.5))
 
 
 def score_rows(docs: DataFrame, net: Network | None, carry: list[Column], text: str = "text") -> DataFrame:
@@ -194,6 +213,8 @@ def score_rows(docs: DataFrame, net: Network | None, carry: list[Column], text:
             for a, b in parts(texts, AT_ONCE):
                 s = np.full(b - a, 0.5) if net is None else scores(texts[a:b], net, tables)
                 yield pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns[1:]], pa.array(s)], names=[*names, "score"])
+        del tables
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(F.col(text), *carry).mapInArrow(run, f"{schema}, score double")
@@ -210,11 +231,14 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column],
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs with a score of at least `least`, with all their columns. Without labels nothing is rejected."""
+def drop_rejected(docs: DataFrame, labels: DataFrame, usable: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", least: float | None = None) -> DataFrame:
+    """The rows of docs with a score of at least `least` (None: least_score of the sample), with all their columns. Without labels nothing is rejected."""
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
     where = {c: f"_{i}" for i, c in enumerate(columns)}
-    net = fit(docs, labels, usable, doc_id, text)
+    texts, y = sample(docs, labels, usable, doc_id, text)
+    net = train(texts, y) if texts else None
+    if least is None:
+        least = least_score(texts, y)
     rows = score_rows(named, net, [F.col(c) for c in named.columns], where[text]).where(F.col("score") >= least)
     return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])

@@ -105,6 +105,19 @@ def test_long_documents_take_part_in_training(docs, spark, monkeypatch):
     assert len(texts[0]) == 64 * quality.CHUNK and texts[0][:1] == b"a" and texts[0][-1:] == b"z" and 0.4 < texts[0].count(b"a") / len(texts[0]) < 0.6
 
 
+def test_threshold_keeps_good_texts_of_the_half_not_trained_on(spark):
+    docs, marks = queries.table(spark, "/root/testdata/sf0.001", "documents"), queries.table(spark, "/root/testdata/sf0.001", "labels")
+    texts, y = quality.sample(docs, marks, lambda c: F.lit(True))
+    net = quality.train(texts[::2], y[::2])
+    good = [quality.scores([t], net, net.pairs())[0] for t, label in zip(texts[1::2], y[1::2], strict=True) if label == 1]
+    for lose in (0.0, 0.1, 0.5):
+        least = quality.least_score(texts, y, lose, floor=0.0)
+        assert sum(s < least for s in good) <= lose * len(good) and least <= 0.5
+        assert least == 0.5 or sum(s <= least for s in good) > lose * len(good)
+    assert quality.least_score(texts, y, floor=0.5) == 0.5
+    assert quality.least_score([], np.zeros(0)) == quality.least_score(texts, np.ones(len(texts))) == 0.5
+
+
 def slow_cosines(text: str, model: language.Model) -> list[float]:
     """By dictionaries: letters folded, n-grams of 1 to 3 bytes counted, weighted, and compared with each centroid."""
     folded = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())

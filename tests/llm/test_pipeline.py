@@ -16,10 +16,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_against_brute_force(spark):
     docs = queries.table(spark, SF, "documents")
-    net = quality.fit(docs, queries.table(spark, SF, "labels"), queries.learnable)
+    texts, y = quality.sample(docs, queries.table(spark, SF, "labels"), queries.learnable)
+    net, least = quality.train(texts, y), quality.least_score(texts, y)
     rows = {r["doc_id"]: r for r in docs.collect()}
     scored = dict(zip(rows, quality.scores([r["text"].encode() for r in rows.values()], net, net.pairs()), strict=True))
-    good = {i: r for i, r in rows.items() if scored[i] >= 0.5}
+    good = {i: r for i, r in rows.items() if scored[i] >= least}
     groups: dict[str, list[int]] = {}
     for i, r in good.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"]), []).append(i)
