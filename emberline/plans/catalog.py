@@ -680,12 +680,12 @@ LIVE = ["ppo", "sig", "srsi", "rma", "atr_s", "atr_l", "cloud_up", "cloud_down",
 _warm = live.warm_up(P)
 
 
-@query(f"select symbol, t, rn, {', '.join(f'case when rn >= {_warm.get(n, 0)} then round({n}, 6) end::double as {n}' for n in (x.replace(chr(39), '_lag') for x in LIVE))} from gt where t + {P.lag} <= (select max(t) from gt)", "gt")
+@query(f"select symbol, t, rn, {', '.join(f'case when rn >= {_warm.get(n, 0)} then round({n}, 6) end::double as {n}' for n in (x.replace(chr(39), '_lag') for x in LIVE))} from gt", "gt")
 def stream_features(d: Data) -> DataFrame:
-    """Indicators of candles that arrive in three steps; the newest candles wait for the watermark to pass their ends."""
+    """Indicators of all candles, which arrive in three steps."""
     names = [w.replace("'", "_lag") for w in LIVE]
     kinds = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"{n} double" for n in names]])
-    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE), kinds, [], idle=True)
+    rows = live.in_steps(d.bars(15), _pauses, live.scratch(d.spark), lambda r: live.live_indicators(r, LIVE, wait=False), kinds, [])
     return rows.select("symbol", "t", "rn", *[F.round(F.when(~F.isnan(n), F.col(n)), 6).alias(n) for n in names])
 
 

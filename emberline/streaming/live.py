@@ -200,11 +200,12 @@ class Features(StatefulProcessor):
     """Indicators of a symbol's candles as they come. Its state: the recursions' numbers, a ring of the candles that rolling windows see, and for two widths of candles the last shorter ones.
 
     Candles wait until the watermark has passed their end, so that shorter ones are there before the longer one that they lie in, in whatever order they come. Their rows' ts is that watermark: rows can't be older.
+    Without shorter candles nothing need be waited for, and wait may be false.
     """
 
-    def __init__(self, wanted: list[str], p: Params, short: list[str], width: int) -> None:
-        """wanted: indicators of the candles (width minutes); short: those of 5-minute candles, of which the last one up to a candle's start is aligned with it."""
-        self.wanted, self.p, self.short, self.width = wanted, p, short, width
+    def __init__(self, wanted: list[str], p: Params, short: list[str], width: int, wait: bool = True) -> None:
+        """wanted: indicators of the candles (width minutes); short: those of 5-minute candles, of which the last one up to a candle's start is aligned with it; wait: whether candles wait."""
+        self.wanted, self.p, self.short, self.width, self.wait = wanted, p, short, width, wait
         self.ring_size = max(p.mmh_period, p.mmh_std)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -217,6 +218,8 @@ class Features(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         new = [(r["width"], r["t"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows]
+        if not self.wait:
+            return self.advanced(key, sorted(set(new), key=lambda r: r[1]), timerValues.getCurrentWatermarkInMs())
         self.waiting.appendList(new)
         # the newest row waits for later ones; whatever ends a lag before it is due as soon as this micro-batch's watermark holds
         ends = sorted(r[1] + 60 * r[0] for r in new)
@@ -232,6 +235,10 @@ class Features(StatefulProcessor):
         if not ready:
             return
         self.waiting.put(held[len(ready) :]) if len(ready) < len(held) else self.waiting.clear()
+        yield from self.advanced(key, ready, due)
+
+    def advanced(self, key: Any, ready: list[tuple], due: int) -> Iterator[Row]:
+        """Rows of the candles in order, and the states after them."""
         steps = {}
         for w, wanted in ((self.width, self.wanted), (5, self.short)):
             before = self.numbers.getValue((w,))[0] if self.numbers.containsKey((w,)) else None
@@ -278,15 +285,15 @@ class Features(StatefulProcessor):
 CANDLE = ["open", "high", "low", "close", "volume"]
 
 
-def live_indicators(bars: DataFrame, wanted: list[str], p: Params = DEFAULT, width: int = 15) -> DataFrame:
+def live_indicators(bars: DataFrame, wanted: list[str], p: Params = DEFAULT, width: int = 15, wait: bool = True) -> DataFrame:
     """A stream of candles (symbol, t, open, high, low, close, volume) of `width` minutes with rn and indicators, as recursions.recursive gives them once they are warm (see steps.warm_up). NaN stands for what is missing.
 
-    A candle's row comes once the watermark has passed its end. However the candles are cut into micro-batches, the values are the same.
+    A candle's row comes once the watermark has passed its end; without wait it comes with the candle, the newest ones too, for candles that are closed when they come. However the candles are cut into micro-batches, the values are the same.
     """
     names = [w.replace("'", "_lag") for w in wanted]
     schema = ", ".join(["symbol string, t long, rn long, open double, high double, low double, close double, volume double", *[f"`{n}` double" for n in names]])
     rows = timed(bars.select("symbol", F.lit(width).alias("width"), "t", *CANDLE), p.lag, F.col("t") + 60 * width)
-    return rows.groupBy("symbol").transformWithState(statefulProcessor=Features(wanted, p, [], width), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("symbol").transformWithState(statefulProcessor=Features(wanted, p, [], width, wait), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def live_features(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -36,6 +36,20 @@ def test_indicators_of_any_cut_are_those_of_one_piece(spark):
         assert np.allclose(got[c][known].astype(float), want[c][known].astype(float), rtol=0, atol=1e-9, equal_nan=True), c
 
 
+def test_the_newest_candles_count_too(spark):
+    """As many rows as candles, also of a symbol whose last candle is the newest of all."""
+    rows = spark.createDataFrame([(s, 900 * i, 1.0, 2.0, 1.0, 1.0 + i % 3, 1.0) for s, n in (("a", 40), ("b", 37)) for i in range(n)] + [("a", 900 * 9, 1.0, 2.0, 1.0, 1.0, 1.0)], "symbol string, t long, open double, high double, low double, close double, volume double")
+    got = live.in_steps(rows, [900 * 10, 900 * 39], live.scratch(spark), lambda r: live.live_indicators(r, ["ppo", "vwap"], wait=False), "symbol string, t long, rn long, vwap double", [])
+    assert sorted((r["symbol"], r["t"], r["rn"]) for r in got.collect()) == [(s, 900 * i, i + 1) for s, n in (("a", 40), ("b", 37)) for i in range(n)]
+
+
+def test_the_query_of_live_indicators_has_all_candles(spark):
+    from emberline.plans import catalog
+
+    got = catalog.QUERIES["stream_features"](spark, "/root/testdata/sf0.001")
+    assert got.count() == catalog.QUERIES["bars_15m"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_steps_of_one_candle_are_the_recursions():
     from emberline.streaming.steps import Steps
 
