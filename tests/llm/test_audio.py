@@ -127,3 +127,23 @@ def test_media_and_pcm_are_stored(spark, docs, tmp_path):
 def test_text_ids(spark):
     rows = spark.createDataFrame([("a", "x"), (None, "x")], "doc_id string, text string")
     assert {r["doc_id"] for r in audio.media_features(rows).collect()} == {"a", None}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 256])
+def test_stored_pcm_is_without_loss(n):
+    x = np.random.default_rng(n).integers(-32768, 32768, n).astype(np.int16)
+    assert len(audio.lifted(x)) == 2 * n and audio.unlifted(audio.lifted(x)).tolist() == x.tolist()
+
+
+def test_the_query_stores_pcm_and_takes_features_from_it(spark, documents, monkeypatch):
+    tables = []
+    write = audio.write_media
+    monkeypatch.setattr(audio, "write_media", lambda *a, **k: tables.append(write(*a, **k)) or tables[-1])
+    got = {r["doc_id"]: r["feature"] for r in audio.media_features(documents.limit(50)).collect()}
+    rows = tables[0].collect()
+    assert len(rows) == 50
+    for r in rows:
+        (tag, _, x), y = audio.decode([bytes(r["media"])])[0], audio.unlifted(bytes(r["pcm"]))
+        assert y.tolist() == x.tolist() and got[r["doc_id"]] == audio.feature(tag, y)
+    other = tables[0].withColumn("pcm", F.lit(audio.lifted(np.array([5, -5], np.int16))))
+    assert {r["feature"].split(":", 1)[1] for r in audio.read(other).collect()} == {f"2:5:5:1:{zlib.crc32(np.array([5, -5], '<i2')):08x}"}
