@@ -391,9 +391,13 @@ def run(rows: DataFrame, path: str, columns: str, keys: list[str], idle: bool =
     columns is the table's schema. keys are columns of which each row is written once, however often it comes: the stream's own state is their index, so that a micro-batch
     costs as much as its rows; none where the operators before send no row twice. idle: whether a micro-batch without rows follows the last one, which closes what
     its watermark allows and lets timers go.
+
+    States lie in as many partitions as tasks can run at once, however many shuffles of batch jobs have: each costs every micro-batch a task with a worker and a
+    store to open and to commit for each operator, whatever it holds. A path keeps the number of its first run.
     """
     spark = rows.sparkSession
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, 1))
+    wanted = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -30,6 +30,9 @@ class Steps:
         self.p, self.wanted, self.ring = p, wanted, ring
         self.most, self.warm = max(p.mmh_period, p.mmh_std), warm_up(p)
         self.bases = sorted({w.partition("'")[0] for w in wanted})
+        self.wants = frozenset(self.bases)
+        self.asked = [(w.replace("'", "_lag"), b, f"{b}'{k}" if k else "") for w in wanted for b, _, k in [w.partition("'")]]
+        self.back = [(b, [f"{b}'{k}" for k in range(1, BACK + 1)]) for b in self.bases]
         self.held: dict[str, float] = {}
         if before:
             names = self.names()
@@ -117,13 +120,15 @@ class Steps:
         """std, worm, mmh_raw, mmh_value, mmh_momentum and mmh."""
         h, p = self.held, self.p
         closes = np.array([c for c, _ in self.ring[-(self.most - 1) :]] + [close]) if self.most > 1 else np.array([close])
-        values["std"] = float(np.std(closes[-p.mmh_std :])) * min(max(p.mmh_response, 1e-5), 1.0) if self.n >= p.mmh_std else 0.0
+        last = closes[-p.mmh_std :]
+        apart = last - np.add.reduce(last) / len(last)
+        values["std"] = math.sqrt(np.add.reduce(apart * apart) / len(last)) * min(max(p.mmh_response, 1e-5), 1.0) if self.n >= p.mmh_std else 0.0
         w = h.get("worm")
         h["worm"] = w = close if w is None else w + min(max(close - w, -values["std"]), values["std"])
-        raw = (w - float(np.mean(closes[-p.mmh_period :]))) / w if abs(w) >= 1e-10 and self.n >= p.mmh_period else NAN
+        raw = (w - float(np.add.reduce(last := closes[-p.mmh_period :])) / len(last)) / w if abs(w) >= 1e-10 and self.n >= p.mmh_period else NAN
         self.ring = [*self.ring, (close, raw)][-self.most :]
         seen = [r for _, r in self.ring[-p.mmh_period :]]
-        low, high = (min(seen), max(seen)) if len(seen) == p.mmh_period and not any(map(math.isnan, seen)) else (NAN, NAN)
+        low, high = (min(seen), max(seen)) if len(seen) == p.mmh_period and not math.isnan(sum(seen)) else (NAN, NAN)
         span = high - low
         known = span == span and abs(span) >= 1e-10
         value = min(max(0.5 * h.get("value", 0.0) + (raw - low) / span - 0.5, -0.9999), 0.9999) if known else NAN
@@ -137,8 +142,7 @@ class Steps:
         """The wanted indicators of the next candle."""
         h, p = self.held, self.p
         self.n += 1
-        wanted = set(self.bases)
-        need: Callable[..., bool] = lambda *names: bool(wanted & set(names))
+        need: Callable[..., bool] = lambda *names: not self.wants.isdisjoint(names)
         values: dict[str, float] = {"close": close}
         if need("ema"):
             values["ema"] = self.ema("ema", close, by_period(p.ppo_fast))
@@ -180,13 +184,10 @@ class Steps:
         for b in self.bases:
             if self.n < self.warm.get(b, 0):
                 values[b] = NAN
-        result = {}
-        for w in self.wanted:
-            base, _, k = w.partition("'")
-            result[w.replace("'", "_lag")] = h.get(f"{base}'{k}", NAN) if k else values[base]
-        for b in self.bases:
-            for k in range(BACK, 1, -1):
-                if f"{b}'{k - 1}" in h:
-                    h[f"{b}'{k}"] = h[f"{b}'{k - 1}"]
-            h[f"{b}'1"] = values[b]
+        result = {name: h.get(key, NAN) if key else values[base] for name, base, key in self.asked}
+        for b, keys in self.back:
+            for before, key in zip(keys[-2::-1], keys[:0:-1], strict=True):
+                if before in h:
+                    h[key] = h[before]
+            h[keys[0]] = values[b]
         return result

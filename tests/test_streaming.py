@@ -122,3 +122,18 @@ def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
     live.compact(spark, str(tmp_path / "t"), "k string, t long", str(tmp_path / "u"))
     for folder in "tu":
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / folder)).select("k", "t").collect())) == [("a", 0), ("b", 90_000), ("d", 7)]
+
+
+def test_states_lie_in_no_more_partitions_than_tasks_run_at_once(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        folder = live.scratch(spark)
+        rows = spark.createDataFrame([("a", 86_400, 1), ("b", 86_500, 2), ("a", 86_401, 3)], "k string, t long, event_id long")
+        got = live.in_steps(rows, [86_401], folder, lambda r: live.live_dedup(r, ["k"]), "k string, t long, event_id long", [])
+        assert sorted(r["event_id"] for r in got.collect()) == [1, 2]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "37"
+        held = spark.read.format("state-metadata").load(f"{folder}/state").first()
+        assert held["numPartitions"] == min(37, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
