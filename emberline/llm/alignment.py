@@ -11,9 +11,12 @@ more documents than these, meet their counts by a shuffle. Both ways give the sa
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -34,6 +37,18 @@ ID_BITS = 20
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector: hundreds of thousands of remembered tuples hold no cycles, but are searched for them again and again, a tenth of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Windows(dict):
     """Alignments of windows by their ids: (ids of A, ids of B) as bytes gives a window's number."""
 
@@ -69,10 +84,12 @@ class Windows(dict):
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
         """Cut a window where tokens of both sides end together, and link all tokens within a cut."""
         a, b = memoryview(key[0]).cast("i").tolist(), memoryview(key[1]).cast("i").tolist()
+        if len(a) == 1 or len(b) == 1:  # one group: nothing but the window's end is an end of the lone token
+            return self.add(key, [f"{a[0]}|{b[0]}" if len(a) == len(b) else ",".join(map(str, a)) + "|" + ",".join(map(str, b))], [x << ID_BITS | y for x in a for y in b])
         a_size, b_size = self.a_size, self.b_size
         texts: list[str] = []
-        found: dict[int, int] = {}
-        links = i = j = 0
+        pairs: list[int] = []
+        i = j = 0
         while i < len(a):
             start, begun = i, j
             ahead = a_size[a[i]] - b_size[b[j]]  # bytes by which A's tokens go beyond B's
@@ -86,23 +103,32 @@ class Windows(dict):
                     j += 1
             if i - start == 1 == j - begun:
                 texts.append(f"{a[start]}|{b[begun]}")
-                pair = a[start] << ID_BITS | b[begun]
-                found[pair] = found.get(pair, 0) + 1
-                links += 1
+                pairs.append(a[start] << ID_BITS | b[begun])
                 continue
             left, right = a[start:i], b[begun:j]
             texts.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            links += len(left) * len(right)
-            for x in left:
-                for y in right:
-                    found[x << ID_BITS | y] = found.get(x << ID_BITS | y, 0) + 1
+            pairs += [x << ID_BITS | y for x in left for y in right]
+        return self.add(key, texts, pairs)
+
+    def add(self, key: tuple[bytes, bytes], texts: list[str], pairs: list[int]) -> int:
+        """Remember a window's groups and links; most have no pair twice."""
         n = self[key] = len(self.texts)
-        self.texts.append(";".join(texts))
+        self.texts.append(texts[0] if len(texts) == 1 else ";".join(texts))
         self.groups.append(len(texts))
-        self.links.append(links)
-        self.sizes.append(len(found))
-        self.pairs.extend(found)
-        self.many.extend(found.values())
+        self.links.append(len(pairs))
+        if len(pairs) == 1:
+            self.sizes.append(1)
+            self.pairs.append(pairs[0])
+            self.many.append(1)
+        elif len(found := set(pairs)) == len(pairs):
+            self.sizes.append(len(pairs))
+            self.pairs.extend(pairs)
+            self.many.extend([1] * len(pairs))
+        else:
+            counts = Counter(pairs)
+            self.sizes.append(len(found))
+            self.pairs.extend(counts)
+            self.many.extend(counts.values())
         return n
 
 
@@ -187,6 +213,7 @@ class Aligner:
         at = np.flatnonzero(anchor)
         return np.searchsorted(a_end, at, "right"), np.searchsorted(b_end, at, "right"), at
 
+    @uncollected()
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """Of each text: counts, the digest of its groups, and its distinct pairs with how many links each has."""
         w = self.windows

@@ -104,3 +104,18 @@ def test_least_hot_count(spark):
 
 def test_empty_table(docs):
     assert alignment.correspondence(docs((1, "x")).limit(0), BYTE_BPE, MODEL).collect() == []
+
+
+def test_aligning_is_without_the_cycle_collector():
+    import gc
+
+    seen = []
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        texts = [" ".join(f"w{i}x{j}y" for j in range(200)) for i in range(200)]
+        found = alignment.Aligner(BYTE_BPE, MODEL)
+        seen.clear()
+        found.align(texts)
+        assert seen.count("start") <= 1 and gc.isenabled()  # one may follow at the end
+    finally:
+        gc.callbacks.pop()
