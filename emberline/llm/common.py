@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.storage import ensure_checkpoint_dir, materialize, small
+from emberline.storage import compact, ensure_checkpoint_dir, materialize, small
 
 #: The white space of the word definitions: blank and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word by white space.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "WORD", "as_bytes", "ensure_checkpoint_dir", "give_back", "is_held_out", "map_columns", "materialize", "one_of_each", "parts", "small", "text_of"]
+__all__ = ["SPACE", "WORD", "as_bytes", "compact", "ensure_checkpoint_dir", "give_back", "is_held_out", "map_columns", "materialize", "one_of_each", "parts", "small", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:

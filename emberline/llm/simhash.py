@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberline.llm import similar
-from emberline.llm.common import as_bytes, map_columns, materialize, small
+from emberline.llm.common import as_bytes, compact, map_columns, materialize, small
 from emberline.llm.graph import components
 from emberline.llm.shingles import fingerprints, hashes
 
@@ -73,7 +73,7 @@ def similar_groups(docs: DataFrame, doc_id: str, text: str, radius: int, width:
     s = similar.Search(docs, doc_id, text, width, Fraction(similarity).limit_denominator(1000))
     by_print = s.places.groupBy("fp").agg(F.min("node").alias("first"))
     u, v = (by_print.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "uv")
-    near = links(s.places.select("fp").distinct(), radius).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    near = links(s.places.select("fp").repartition("fp").distinct(), radius).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     same = s.places.join(by_print, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     return similar.rooted(s.prints, s.complete(s.verified(near.union(same))))
 
@@ -104,10 +104,10 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     several times and must give the same texts each time.
     """
     key = ["_id", "_t"]
-    groups = materialize(similar_groups(docs, doc_id, text, radius, width, similarity).select("root", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")))
+    groups, _ = compact(similar_groups(docs, doc_id, text, radius, width, similarity).select("root", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), *key)).alias("_k"))
     stays = F.col("_id").eqNullSafe(F.col("_k._id")) & (F.col("_t") == F.col("_k._t"))
-    told = materialize(groups.join(best, "root").groupBy(*key).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1"))
+    told, _ = compact(groups.join(best, "root").groupBy(*key).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1"))
     gone, again = told.where("not _stays").select(*key), told.where("_stays").select(*key)
 
     columns = docs.columns

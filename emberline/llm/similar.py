@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_bytes, map_columns, materialize, parts, small, text_of
+from emberline.llm.common import as_bytes, compact, map_columns, parts, small, text_of
 from emberline.llm.graph import components
 from emberline.llm.shingles import SEED, fingerprints, hashes
 
@@ -128,18 +128,17 @@ class Search:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, share: Fraction) -> None:
         self.docs, self.text, self.width, self.share = docs, text, width, share
-        rows = materialize(print_table(docs, doc_id, text, width))
-        self.points = materialize(self.distinct_sets(rows).withColumn("node", F.monotonically_increasing_id()))
+        rows, _ = compact(print_table(docs, doc_id, text, width))
+        self.points, self.many = compact(self.distinct_sets(rows).withColumn("node", F.monotonically_increasing_id()), F.size("prefix") + 3)
         placed = rows.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp")).join(self.points.select("key", "node", "n"), "key")
-        self.places = materialize(placed)
+        self.places, _ = compact(placed)
         self.prints = rows.join(self.places.select("key", "node"), "key").drop("key")
 
     def distinct_sets(self, rows: DataFrame) -> DataFrame:
         """key, n and prefix of each distinct set. Only sets that several rows have are shuffled, unless their texts are too many for a broadcast."""
         common = commonness(self.docs, self.text, self.width)
         again = rows.groupBy("key").count().where("count > 1").select("key")
-        texts = materialize(rows.join(again, "key", "left_semi").select("text_hash").distinct())
-        n = texts.count()
+        texts, n = compact(rows.join(again, "key", "left_semi").select("text_hash").distinct())
         one = lambda docs: prefix_table(docs, self.text, self.width, self.share, common).groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         if n > NODES:
             return one(self.docs)
@@ -162,9 +161,8 @@ class Search:
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node and set of these nodes, from one text of each."""
         width = self.width
-        nodes = materialize(nodes.distinct())
-        wanted = materialize(self.places.join(small(nodes, nodes.count(), NODES), "node", "left_semi").select("key", "node", "text_hash"))
-        n = wanted.count()
+        nodes, n = compact(nodes.distinct())
+        wanted, n = compact(self.places.join(small(nodes, n, NODES), "node", "left_semi").select("key", "node", "text_hash"))
         texts = self.docs.select(text_hash(F.col(self.text)).alias("text_hash"), F.col(self.text).alias("text"))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -174,27 +172,27 @@ class Search:
                 yield pa.RecordBatch.from_arrays([keys_of(sets), lists(sets)], names=["key", "set"])
 
         made = map_columns(texts.join(small(wanted.select("text_hash"), n, NODES), "text_hash", "left_semi"), [F.col("text")], "key long, set array<long>", step)
-        return materialize(made.join(small(wanted.select("key", "node"), n, NODES), "key").select("node", "set").dropDuplicates(["node"]))
+        return compact(made.join(small(wanted.select("key", "node"), n, NODES), "key").select("node", "set").dropDuplicates(["node"]), F.size("set") + 2)[0]
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of nodes u, v that are similar, as links. Prefixes are compared first; only sets of pairs that pass are made and moved."""
-        pairs = materialize(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if pairs.isEmpty():
+        pairs, n_pairs = compact(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if not n_pairs:
             return pairs
 
         def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
             return tuple(table.select(F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in columns]) for c in "uv")
 
-        nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-        a, b = sides(self.points.join(small(nodes, nodes.count(), NODES), "node", "left_semi"), ["n", "prefix"])
+        nodes, n_nodes = compact(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        a, b = sides(self.points.join(small(nodes, n_nodes, NODES), "node", "left_semi"), ["n", "prefix"])
         n, m = F.col("_n_u"), F.col("_n_v")
-        near = pairs.join(a, "u").join(b, "v").where(self.alike(n, m)).where(self.may_reach(F.size(F.array_intersect("_prefix_u", "_prefix_v")), n, m))
-        near = materialize(near.select("u", "v"))
-        if near.isEmpty():
+        near = pairs.repartition("u").join(a, "u").join(b, "v").where(self.alike(n, m)).where(self.may_reach(F.size(F.array_intersect("_prefix_u", "_prefix_v")), n, m))
+        near, n_near = compact(near.select("u", "v"))
+        if not n_near:
             return near
-        a, b = sides(self.sets(near.select(F.col("u").alias("node")).union(near.select("v"))), ["set"])
-        both = near.join(a, "u").join(b, "v")
-        return materialize(both.where(self.reaches(F.size(F.array_intersect("_set_u", "_set_v")), F.size("_set_u"), F.size("_set_v"))).select("u", "v"))
+        a, b = sides(self.sets(near.select(F.explode(F.array("u", "v")).alias("node"))), ["set"])
+        both = near.repartition("u").join(a, "u").join(b, "v")
+        return compact(both.where(self.reaches(F.size(F.array_intersect("_set_u", "_set_v")), F.size("_set_u"), F.size("_set_v"))).select("u", "v"))[0]
 
     def leads(self, i: Column, n: Column, both: Column) -> Column:
         """Whether place i of a set of n lies in what must share a shingle with a set that has `both` - n: two sets that are similar share one within n less the shingles that they need in common, and one more."""
@@ -212,14 +210,14 @@ class Search:
         """h, node, i, n and lone: the shingles of prefixes that several nodes have, and their places in them; lone is the share of the node's prefix that no other has."""
         first = self.points.select("node", F.posexplode("prefix").alias("i", "h"))
         shared = first.groupBy("h").count().where("count > 1").select("h")
-        met = materialize(first.join(shared, "h").select("h", "node", "i"))
+        met, _ = compact(first.join(shared, "h").select("h", "node", "i"))
         held = met.groupBy("node").count().join(self.points.select("node", "n", F.size("prefix").alias("_p")), "node").select("node", "n", (1 - F.col("count") / F.col("_p")).cast("float").alias("lone"))
-        return materialize(met.join(small(held, self.points.count(), NODES), "node"))
+        return compact(met.join(small(held, self.many, NODES), "node"))[0]
 
     def complete(self, links: DataFrame) -> DataFrame:
         """node and root, for every node that isn't the smallest of those it is connected with; links has links that are known."""
         met = self.buckets()
-        roots = materialize(components(links)) if not links.isEmpty() else None
+        roots = components(links) if not links.isEmpty() else None
         for k in range(ROUNDS + 1):
             rows = rooted(met, roots)
             place = F.struct(F.col("lone") if k == 0 else F.lit(0), F.xxhash64("node", F.lit(k)))
@@ -237,5 +235,5 @@ class Search:
             new = self.verified(found)
             if not new.isEmpty():
                 links = links.union(new)
-                roots = materialize(components(links))
+                roots = components(links)
         return roots if roots is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import queries, simhash, similar
+from emberline.llm import graph, queries, simhash, similar
+from emberline.llm.graph import components
+from emberline.storage import NUMBERS, compact
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,3 +112,37 @@ def test_bands_cover_all_sizes_of_similar_sets(spark):
     bands = {r["n"]: r["band"] for r in rows.select("n", similar.band(F.col("n")).alias("band")).collect()}
     for r in found.collect():
         assert {bands[m] for m in bands if 5 * min(m, r["n"]) >= 4 * max(m, r["n"])} <= set(r["bands"])
+
+
+def tasks_of(spark, run) -> int:
+    """Tasks of all stages of what run does."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for s in stages if (i := told.getStageInfo(s)))
+
+
+def test_small_tables_take_few_tasks_however_many_partitions_shuffles_have(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "101", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (102, 100)], "u long, v long").repartition(50)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {}
+        assert tasks_of(spark, lambda: got.update((r["node"], r["root"]) for r in components(edges).collect())) < 500
+        assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100, 103: 100}
+        monkeypatch.setattr(graph, "NUMBERS", 64)  # now they don't fit into one task
+        assert {r["node"]: r["root"] for r in components(edges).collect()} == got
+        table, rows = compact(edges.distinct())
+        assert (rows, table.count(), table.rdd.getNumPartitions()) == (43, 43, 1)
+        assert compact(edges, F.lit(NUMBERS))[0].rdd.getNumPartitions() == 44
+        assert compact(edges.where("u < 0"))[1] == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
