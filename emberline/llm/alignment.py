@@ -2,7 +2,7 @@
 
 Both encodings of a text are complete before they are compared. Where tokens of both end at the same byte and the next tokens
 begin with a blank, the text is cut: between two such anchors lies a window, a row of ids on either side. What a window
-aligns to depends on its ids alone, so it is worked out once and remembered by the tuple of its ids.
+aligns to depends on its ids alone, so it is worked out once, with all new windows of a batch, and remembered by the tuple of its ids.
 
 Over the corpus each id pair is counted by the documents that link it. Counts are added up within tasks before they are
 moved. For a document's sums the commonest pairs, a bounded number, are sent to all tasks; the others, none of which is in
@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -54,13 +52,15 @@ class Windows(dict):
 
     def __init__(self, a_size: np.ndarray, b_size: np.ndarray) -> None:
         super().__init__()
-        self.a_size, self.b_size = a_size.tolist(), b_size.tolist()
+        self.a_size, self.b_size = a_size, b_size
+        self.decimal = bpe.Offsets([b"%d," % i for i in range(max(len(a_size), len(b_size)))])
         self.forget()
 
     def forget(self) -> None:
         self.clear()
+        self.new: list[tuple[bytes, bytes]] = []
         self.texts: list[str] = []
-        self.groups, self.links, self.sizes, self.pairs, self.many = (array("q") for _ in range(5))
+        self.groups, self.links, self.sizes, self.pairs, self.many = (np.zeros(0, np.int64) for _ in range(5))
         self.uses = np.zeros(0, np.int64)
 
     def used(self, found: np.ndarray) -> None:
@@ -72,65 +72,60 @@ class Windows(dict):
             return
         at = np.sort(np.argsort(-self.uses, kind="stable")[: most // 2])
         keys = list(self)  # in the order of their numbers
-        groups, links, size, pairs, many = (np.array(x, np.int64) for x in (self.groups, self.links, self.sizes, self.pairs, self.many))
+        size = self.sizes
         k = size[at]
         flat = np.repeat((np.cumsum(size) - size)[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         keys, texts, uses = [keys[i] for i in at.tolist()], [self.texts[i] for i in at.tolist()], self.uses[at] // 2
         self.clear()
         self.update(zip(keys, range(len(keys)), strict=True))
         self.texts, self.uses = texts, uses
-        self.groups, self.links, self.sizes, self.pairs, self.many = (array("q", x.tobytes()) for x in (groups[at], links[at], k, pairs[flat], many[flat]))
+        self.groups, self.links, self.sizes, self.pairs, self.many = self.groups[at], self.links[at], k, self.pairs[flat], self.many[flat]
 
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        """Cut a window where tokens of both sides end together, and link all tokens within a cut."""
-        a, b = memoryview(key[0]).cast("i").tolist(), memoryview(key[1]).cast("i").tolist()
-        if len(a) == 1 or len(b) == 1:  # one group: nothing but the window's end is an end of the lone token
-            return self.add(key, [f"{a[0]}|{b[0]}" if len(a) == len(b) else ",".join(map(str, a)) + "|" + ",".join(map(str, b))], [x << ID_BITS | y for x in a for y in b])
-        a_size, b_size = self.a_size, self.b_size
-        texts: list[str] = []
-        pairs: list[int] = []
-        i = j = 0
-        while i < len(a):
-            start, begun = i, j
-            ahead = a_size[a[i]] - b_size[b[j]]  # bytes by which A's tokens go beyond B's
-            i, j = i + 1, j + 1
-            while ahead:
-                if ahead < 0:
-                    ahead += a_size[a[i]]
-                    i += 1
-                else:
-                    ahead -= b_size[b[j]]
-                    j += 1
-            if i - start == 1 == j - begun:
-                texts.append(f"{a[start]}|{b[begun]}")
-                pairs.append(a[start] << ID_BITS | b[begun])
-                continue
-            left, right = a[start:i], b[begun:j]
-            texts.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            pairs += [x << ID_BITS | y for x in left for y in right]
-        return self.add(key, texts, pairs)
-
-    def add(self, key: tuple[bytes, bytes], texts: list[str], pairs: list[int]) -> int:
-        """Remember a window's groups and links; most have no pair twice."""
-        n = self[key] = len(self.texts)
-        self.texts.append(texts[0] if len(texts) == 1 else ";".join(texts))
-        self.groups.append(len(texts))
-        self.links.append(len(pairs))
-        if len(pairs) == 1:
-            self.sizes.append(1)
-            self.pairs.append(pairs[0])
-            self.many.append(1)
-        elif len(found := set(pairs)) == len(pairs):
-            self.sizes.append(len(pairs))
-            self.pairs.extend(pairs)
-            self.many.extend([1] * len(pairs))
-        else:
-            counts = Counter(pairs)
-            self.sizes.append(len(found))
-            self.pairs.extend(counts)
-            self.many.extend(counts.values())
+        """Number a new window; learn() aligns it."""
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
+    def learn(self) -> None:
+        """Cut the new windows, all at once, where tokens of both sides end together, and link all tokens within a cut."""
+        if not self.new:
+            return
+        a, b = (np.frombuffer(b"".join([k[side] for k in self.new]), np.int32) for side in (0, 1))
+        n_b = np.array([len(k[1]) // 4 for k in self.new])
+        self.new = []
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.zeros(b_end[-1] + 1, np.uint8)
+        ends[a_end] = 1
+        ends[b_end] |= 2
+        shared = np.cumsum(ends == 3)
+        a_group, b_group = shared[a_end - 1], shared[b_end - 1]
+        in_a, in_b = np.bincount(a_group), np.bincount(b_group)
+        a_to, b_to = np.cumsum(in_a), np.cumsum(in_b)
+        window_end = np.cumsum(n_b)  # of the tokens of B
+        group_to = b_group[window_end - 1] + 1
+        groups = np.diff(group_to, prepend=0)
+        # the ids of a group, A's before B's, each with the mark behind it
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[np.arange(len(a)) + (b_to - in_b)[a_group]] = a
+        ids[np.arange(len(b)) + a_to[b_group]] = b
+        spelled = np.frombuffer(bytearray(self.decimal.joined(ids)), np.uint8)
+        to = np.cumsum(self.decimal.size[ids])
+        spelled[to[a_to + b_to - in_b - 1] - 1] = ord("|")
+        spelled[to[a_to + b_to - 1] - 1] = ord(";")
+        text, to = spelled.tobytes().decode(), to[(a_to + b_to)[group_to - 1] - 1].tolist()
+        self.texts += [text[i : j - 1] for i, j in zip([0, *to], to, strict=False)]
+        # distinct pairs of each window
+        k = in_b[a_group]
+        right = np.repeat((b_to - in_b)[a_group] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        pair = np.repeat(a.astype(np.int64), k) << ID_BITS | b[right]
+        window = np.repeat(np.arange(len(n_b)), groups)[np.repeat(a_group, k)]
+        by = np.lexsort((pair, window))
+        pair, window = pair[by], window[by]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0))
+        made = groups, np.bincount(window), np.bincount(window[first]), pair[first], np.diff(first, append=len(pair))
+        self.groups, self.links, self.sizes, self.pairs, self.many = (np.concatenate(x) for x in zip((self.groups, self.links, self.sizes, self.pairs, self.many), made, strict=True))
+
 
 class Bytes(bpe.Tokenizer):
     """Side A: units of text, each encoded once by a library. Ids of merged tokens must rise in the order of merges."""
@@ -223,22 +218,23 @@ class Aligner:
         raw_a, raw_b = a.tobytes(), b.tobytes()
         a_to, b_to = (4 * a_at).tolist(), (4 * b_at).tolist()
         found = np.fromiter((w[raw_a[i:j], raw_b[k:m]] for i, j, k, m in zip([0, *a_to], a_to, [0, *b_to], b_to, strict=False)), np.int64, len(at))
+        w.learn()
         w.used(found)
         last = np.searchsorted(at, np.cumsum(sizes), "right")  # windows up to each text's end
         first = np.concatenate(([0], last[:-1]))
         owner = np.repeat(np.arange(len(texts)), last - first)
-        total = lambda x: np.bincount(owner, weights=np.array(x, np.int64)[found], minlength=len(texts)).astype(np.int64)
+        total = lambda x: np.bincount(owner, weights=x[found], minlength=len(texts)).astype(np.int64)
         spelled = [w.texts[i] for i in found.tolist()]
         shas = [hashlib.sha256(";".join(spelled[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(first.tolist(), last.tolist(), strict=True)]
         # distinct windows of each text, then their pairs
         keys, many = np.unique(owner << 32 | found, return_counts=True)
         doc, win = keys >> 32, keys & 0xFFFFFFFF
-        size = np.array(w.sizes, np.int64)
+        size = w.sizes
         begin = (np.cumsum(size) - size)[win]
         k = size[win]
         flat = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        pair = np.array(w.pairs, np.int64)[flat]
-        links = np.array(w.many, np.int64)[flat] * np.repeat(many, k)
+        pair = w.pairs[flat]
+        links = w.many[flat] * np.repeat(many, k)
         by = np.lexsort((pair, doc := np.repeat(doc, k)))
         pair, doc, links = pair[by], doc[by], links[by]
         new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))) if len(pair) else np.zeros(0, np.int64)

@@ -119,3 +119,20 @@ def test_aligning_is_without_the_cycle_collector():
         assert seen.count("start") <= 1 and gc.isenabled()  # one may follow at the end
     finally:
         gc.callbacks.pop()
+
+
+def test_new_windows_are_aligned_together(monkeypatch):
+    """All windows of a batch in one call, one after the other alike; repeated ids within a window count their links."""
+    texts = [*ODD, "", " ".join(f"w{i}é{i * 37 % 101}" for i in range(300)), "ab" * 200 + " x" * 50]
+    calls = []
+    learn = alignment.Windows.learn
+    monkeypatch.setattr(alignment.Windows, "learn", lambda w: (calls.append(len(w.new)), learn(w))[1])
+    whole = alignment.Aligner(BYTE_BPE, MODEL).align(texts)
+    assert len(calls) == 1 and calls[0] > 200
+    a = alignment.Aligner(BYTE_BPE, MODEL)
+    parts = [a.align([t]) for t in texts]
+    for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs"):
+        assert [p[c][0] for p in parts] == list(whole[c])
+    for c in ("pair", "links"):
+        assert [x for p in parts for x in p[c].tolist()] == whole[c].tolist()
+    assert int(whole["links"].max()) > 1 and int(whole["links"].sum()) == int(whole["n_links"].sum())
